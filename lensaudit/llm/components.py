@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
+def _star(edges: DataFrame, turn: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """turn's result for edges and each u's least neighbour m. The minima go into the join as a written table: then a hot node's edges can be split."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    out = materialize(turn(edges, least))
+    discard(least)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _star(both, lambda e, least: e.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these; u > v in every edge."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    turned = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return turned.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return _star(edges, lambda e, least: e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -36,8 +43,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == state or not new["n"]:
             break
         state, old = new, now
-        now = materialize(_small_star(_large_star(old)))
+        large = _large_star(old)
+        now = _small_star(large)
         discard(old)
+        discard(large)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

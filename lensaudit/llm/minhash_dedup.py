@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 from .components import components
 
 #: 32 bands of 5: a pair at 0.8 is missed with probability 3e-6.
@@ -80,13 +80,6 @@ def _signatures(k: int):
     return run
 
 
-def _agreement(left: str, right: str):
-    """Share of equal 16-bit minima of two signatures, natively: zero bytes pairs of their hex are counted."""
-    a, b = F.hex(left), F.hex(right)
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), F.lit(0), lambda n, i: n + F.when(a.substr(i * 4 + 1, F.lit(4)) == b.substr(i * 4 + 1, F.lit(4)), 1).otherwise(0))
-    return same / F.lit(float(BANDS * ROWS))
-
-
 def _alike(threshold: float):
     """Rows (u, v, signatures) whose signatures agree well enough."""
 
@@ -134,39 +127,104 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
     return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u bigint, v bigint"))
 
 
-def _blocks(threshold: float):
-    """Pairs of different components within a block, or between two, whose signatures agree well enough."""
+def _short_sets(k: int):
+    """Rows (cls, text) to the sets of their shingles' hashes, cut to 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        left = rows.column("side").to_numpy() <= 0
-        right = rows.column("side").to_numpy() >= 0
-        cls, comp = rows.column("cls").to_numpy(), rows.column("comp").to_numpy()
-        signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(cls), -1)
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        us, vs = [cls[:0]], [cls[:0]]
+        for batch in batches:
+            for lo, hi, data, offs in slabs(batch.column(1), 1 << 19):
+                items, at = shingle_sets(data, offs, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((items >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["cls", "items"])
+
+    return run
+
+
+def _blocks(threshold: float):
+    """For each class the best partner of each other component, within a block or between two, where one comes near the threshold.
+
+    Pairs whose signatures agree well enough are compared on their short sets; one pair a class and component leaves the task.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = lambda name: rows.column(name).chunk(0)
+        side, cls, comp = (column(n).to_numpy() for n in ("side", "cls", "comp"))
+        signs = np.frombuffer(b"".join(column("signature").to_pylist()), np.uint16).reshape(len(cls), -1)
+        ends, flat = column("items").offsets.to_numpy(), column("items").values.to_numpy()
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        size = np.diff(ends)
+        a, b = np.flatnonzero(side >= 0), np.flatnonzero(side <= 0)
+        us, vs = [], []
         for i in a:
-            other = b[comp[b] != comp[i]]
+            other = b[(comp[b] != comp[i]) & (np.minimum(size[b], size[i]) >= (threshold - 0.01) * np.maximum(size[b], size[i]))]
             other = other[(signs[other] == signs[i]).mean(1) >= threshold - MARGIN]
-            us.append(np.minimum(cls[i], cls[other]))
-            vs.append(np.maximum(cls[i], cls[other]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            if not len(other):
+                continue
+            own = np.sort(sets[i])
+            items = np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(own, items), len(own) - 1)
+            shared = np.add.reduceat((own[at] == items).astype(np.int64), np.cumsum(size[other]) - size[other])
+            like = shared / (size[other] + size[i] - shared)
+            for x in np.unique(comp[other]):
+                best = np.flatnonzero(comp[other] == x)
+                best = best[np.argmax(like[best])]
+                if like[best] >= threshold - 0.01:
+                    us.append(cls[i])
+                    vs.append(cls[other[best]])
+        us, vs = np.array(us, np.int64), np.array(vs, np.int64)
+        return pa.table({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
 
     return run
 
 
-def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (u, v) of classes that share a bucket but no component, without those tried before."""
-    member = buckets.join(found.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi and n > 2").select("bucket", "n")
-    rows = member.join(open_, "bucket").join(classes.select("cls", "signature"), "cls")
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cls", "bucket"), parts).cast("int")
-    rows = rows.select("bucket", "cls", "comp", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    rows = rows.select("bucket", "cls", "comp", "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(threshold), "u bigint, v bigint").distinct()
-    return pairs.join(tried, ["u", "v"], "left_anti")
+def _hubs(bucketed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets that two classes or more share, and each such bucket's hub: the class that shares most over all buckets.
+
+    What a group of copies was made from shares more with each copy than copies do among themselves.
+    Aggregates go into joins as written tables: then a hot bucket's rows can be split.
+    """
+    sizes = materialize(bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = materialize(bucketed.join(sizes, "bucket"))
+    shares = materialize(buckets.groupBy("cls").agg(F.sum("n").alias("shares")))
+    hubs = materialize(buckets.join(shares, "cls").groupBy("bucket").agg(F.max(F.struct("shares", "cls")).alias("x")).select("bucket", F.col("x.cls").alias("hub")))
+    return buckets.select("bucket", "cls"), hubs
+
+
+def _parts(n: str):
+    return F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+
+
+def _part_of(n: str):
+    return F.pmod(F.xxhash64("cls", "key"), _parts(n)).cast("int")
+
+
+def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Candidate pairs (u, v) of classes that share a bucket, though the hubs left them in different components.
+
+    In each bucket the component with most rows is the major one. Classes of others are compared with all of the major component, once however
+    many buckets they share, and with each other within the bucket; both in pairs of blocks.
+    """
+    label = materialize(classes.select("cls").join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("comp")))
+    member = materialize(buckets.join(label, "cls"))
+    per = member.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
+    major = materialize(per.where("comps > 1 AND n > 2").select("bucket", F.col("x.comp").alias("major")))
+    apart = materialize(member.join(major, "bucket").where("comp <> major").select("bucket", "cls", "comp", "major"))
+    discard(member)
+    among = materialize(apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n"))
+    within = apart.join(among, "bucket").select("cls", "comp", F.col("bucket").alias("key"), "n").withColumn("own", _part_of("n")).withColumn("other", F.explode(F.sequence(F.lit(0), _parts("n") - 1)))
+    side = F.signum(F.col("own") - F.col("other")).cast("int")
+    within = within.select(F.lit(0).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cls", "comp")
+    outer = materialize(apart.select("cls", "comp", F.col("major").alias("key")).distinct())
+    inner = label.select("cls", "comp", F.col("comp").alias("key")).join(outer.select("key").distinct(), "key", "left_semi")
+    sizes = inner.groupBy("key").agg(F.count("*").alias("m")).join(outer.groupBy("key").agg(F.count("*").alias("n")), "key")
+    sizes = materialize(sizes)
+    shape = lambda one, side, i, j: one.join(sizes, "key").select(F.lit(1).alias("kind"), "key", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "cls", "comp")
+    every = lambda n: F.explode(F.sequence(F.lit(0), _parts(n) - 1))
+    rows = materialize(within.union(shape(inner, -1, _part_of("m"), every("n"))).union(shape(outer, 1, every("m"), _part_of("n"))))
+    wanted = classes.join(rows.select("cls").distinct(), "cls").select("cls", "signature", F.col("place.key").alias("key"))
+    texts = docs.join(wanted.select("cls", "key"), "key").select("cls", "text").mapInArrow(_short_sets(k), "cls bigint, items array<int>").dropDuplicates(["cls"])
+    load = materialize(texts.join(wanted, "cls").select("cls", "signature", "items"))
+    return rows.join(load, "cls").groupBy("kind", "key", "i", "j").applyInArrow(_blocks(threshold), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -185,16 +243,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = materialize(rows.where("n_shingles > 0").groupBy("cls").agg(F.min(place).alias("place"), F.first("signature").alias("signature")))
     bands = F.posexplode(F.array(*[F.substring("signature", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "part")
     bucketed = classes.select("cls", bands).select("cls", F.xxhash64("band", "part").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("bucket", "least")
-    buckets = materialize(bucketed.join(shared, "bucket"))
-    star = materialize(buckets.where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v")).distinct())
+    buckets, hubs = _hubs(bucketed)
+    star = materialize(buckets.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct())
     links = _confirmed(star, classes, docs, k, percent)
     found = components(links)
-    rest = materialize(_left_apart(buckets.select("bucket", "cls"), found, classes, star, percent / 100))
+    rest = materialize(_left_apart(buckets, found, classes, docs, k, percent / 100))
     if rest.take(1):
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_confirmed(rest, classes, docs, k, percent)))
     rooted = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "place", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("place.ident").alias("least"))
+    rooted = materialize(rooted)
+    least = materialize(rooted.groupBy("root").agg(F.min("place.ident").alias("least")))
     labels = rooted.join(least, "root").select("cls", "least")
     out = rows.select("ident", "n_shingles", "cls").join(labels, "cls", "left").select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("ident")).alias("component_id"))
     return out.select(F.col("ident").alias(id_column), "n_shingles", "component_id", F.col("ident").eqNullSafe(F.col("component_id")).alias("kept"))

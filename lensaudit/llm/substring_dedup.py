@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aranges, buffers, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import aranges, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 
 #: Words of an anchor; any window of `window` words has window - ANCHOR + 1 of them.
 ANCHOR = 10
@@ -98,42 +98,52 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = buffers(batch.column(1))
-            spans = batch.column(2).to_pylist()
-            total, gone, kept = [], [], []
-            for i, own in enumerate(spans):
-                words = data[offs[i] : offs[i + 1]].tobytes().split()
-                total.append(len(words))
-                if own:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, [x["start"] for x in own], 1)
-                    np.add.at(edge, [x["start"] + x["run"] + window - 1 for x in own], -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone.append(len(words) - int(stay.sum()))
-                    words = list(compress(words, stay.tolist()))
-                else:
-                    gone.append(0)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["ident", "n_words", "n_removed", "kept_text"])
+            spans = batch.column(2)
+            ends, none = spans.offsets.to_numpy(), spans.is_null().to_numpy(zero_copy_only=False)
+            start, many = (f.to_numpy() for f in spans.values.flatten())
+            for lo, hi, data, offs in slabs(batch.column(1), 4 << 20):
+                total, gone, kept = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), []
+                for i in range(lo, hi):
+                    words = data[offs[i - lo] : offs[i - lo + 1]].tobytes().split()
+                    total[i - lo] = len(words)
+                    if not none[i] and ends[i] < ends[i + 1]:
+                        own = slice(ends[i], ends[i + 1])
+                        edge = np.bincount(start[own], minlength=len(words) + 1)
+                        edge -= np.bincount(start[own] + many[own] + window - 1, minlength=len(words) + 1)
+                        stay = np.cumsum(edge[:-1]) == 0
+                        gone[i - lo] = len(words) - int(stay.sum())
+                        words = compress(words, stay.tolist())
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())], ["ident", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """Of docs (key, text): (key, start, run) for all windows whose words also start anywhere else."""
+    """Of docs (key, text): (key, spans of (start, run)) with all windows whose words also start anywhere else."""
     if window < ANCHOR:
         raise ValueError(f"a window has {ANCHOR} words at least")
     paths = materialize(docs.mapInArrow(_paths(window), "key bigint, start int, run int, anchor bigint, path bigint, words int"))
-    anchors = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("path", "words")).alias("lo"), F.max(F.struct("path", "words")).alias("hi")).where("n > 1")
-    shared = materialize(paths.join(anchors, "anchor").select("key", "start", "run", "path", "words", (F.col("lo") != F.col("hi")).alias("branches")))
+    extremes = [f(c).alias(f"{n}_{c}") for c in ("path", "words") for n, f in (("lo", F.min), ("hi", F.max))]
+    anchors = paths.groupBy("anchor").agg(F.count("*").alias("n"), *extremes).where("n > 1")
+    # A written table, not the aggregate itself, goes into the join: then a hot anchor's partition can be split.
+    anchors = materialize(anchors.select("anchor", F.expr("lo_path <> hi_path OR lo_words <> hi_words").alias("branches")))
+    shared = materialize(paths.join(anchors, "anchor").select("key", "start", "run", "path", "words", "branches"))
+    discard(paths)
+    discard(anchors)
     branching = shared.where("branches")
-    copies = branching.groupBy("path", "words").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one"))
+    copies = materialize(branching.groupBy("path", "words").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")))
     met = materialize(branching.join(copies, ["path", "words"]).select("key", "start", "run", "n", (F.struct("key", "start") == F.col("one")).alias("one")))
     open_ = met.where("n = 1 or one").groupBy("key").agg(F.collect_set(F.struct("start", "run", (F.col("n") > 1).alias("known"))).alias("spans"))
     edges = materialize(docs.join(open_, "key").select("key", "text", "spans").mapInArrow(_edges(window), "edge bigint, key bigint, start int, known boolean, words int"))
-    twice = edges.groupBy("edge", "words").agg(F.count("*").alias("n")).where("n > 1").select("edge", "words")
+    discard(copies)
+    twice = materialize(edges.groupBy("edge", "words").agg(F.count("*").alias("n")).where("n > 1").select("edge", "words"))
     single = edges.where("not known").join(twice, ["edge", "words"]).select("key", "start", F.lit(1).alias("run"))
-    return shared.where("not branches").select("key", "start", "run").union(met.where("n > 1").select("key", "start", "run")).union(single)
+    spans = shared.where("not branches").select("key", "start", "run").union(met.where("n > 1").select("key", "start", "run")).union(single)
+    out = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("start", "run")).alias("spans")))
+    for used in (shared, met, edges, twice):
+        discard(used)
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35) -> DataFrame:
@@ -145,7 +155,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
-    spans = repeated_spans(rows.select("key", "text"), window).groupBy("key").agg(F.collect_set(F.struct("start", "run")).alias("spans"))
+    spans = repeated_spans(rows.select("key", "text"), window)
     id_type = docs.schema[id_column].dataType.simpleString()
     out = rows.join(spans, "key", "left").select("ident", "text", "spans").mapInArrow(_cut(window), f"ident {id_type}, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("ident", id_column)

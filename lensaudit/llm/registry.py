@@ -12,12 +12,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_counts
+
+    return mix_counts(table(spark, sf_dir, "documents"), epochs=3, seed=7)
+
+
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import brown_scores
+    from .common import bucket_of
+
+    return brown_scores(table(spark, sf_dir, "documents"), bucket_of("doc_id", 5) == 1)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    out = encode(table(spark, sf_dir, "documents"), byte_vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -40,10 +72,29 @@ _SPACES = r"[\x20\x09-\x0D]+"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix_sources": r"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                       ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS draw FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+            w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+            c AS (SELECT *, row_number() OVER o AS k, 3.0::DOUBLE * source_size / weight AS ratio, coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS clamped,
+                  sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)),
+            l AS (SELECT arg_min((total - clamped) / rest, k) AS level FROM c WHERE (total - clamped) / rest <= ratio),
+            t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * level) AS target FROM c, l),
+            p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) AS ends
+                  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+            SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * ends - size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
         "op3_exact_dedup": rf"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+        "op4_embedding_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+            link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+            reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v),
+            n AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+            SELECT v.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(reach.v) AS component_id, v.vec_id = min(reach.v) AS kept
+            FROM v JOIN reach ON reach.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id GROUP BY v.vec_id""",
         "op7_substring_dedup": rf"""
             WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS words FROM documents),
             s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w),

@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default of 64 MB: both sides hold several.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df itself, with its session's Arrow batches bounded by bytes; rows of 10,000 long texts are too much for a small executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == "67108864b":
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again.
 
@@ -74,6 +86,17 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column).isNull(), F.col(id_column), F.col(text_column).isNull(), F.col(text_column))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(ident, text, label) for about `bound` labelled documents, drawn by a hash of the id; at most twice so many ids are broadcast.
+
+    learn: which labels may be used, an expression over the id. Null labels and ids are left out; of an id's labels the greatest counts.
+    """
+    usable = labels.where(learn & F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_of"), F.col(label).cast("int").alias("label"))
+    n = usable.count()
+    drawn = usable.where(F.pmod(F.xxhash64("_of"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(n, 1)))).groupBy("_of").agg(F.max("label").alias("label")).limit(2 * bound)
+    return docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")).join(F.broadcast(drawn), F.col("ident") == F.col("_of")).select("ident", "text", "label")
+
+
 # --- numpy over Arrow text -----------------------------------------------------------------------
 
 IS_SPACE = np.zeros(256, bool)
@@ -133,13 +156,13 @@ def slabs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end bytes of all words, and the number of the first word of each row (rows + 1)."""
+def word_spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end bytes of all words, and the number of the first word of each row (rows + 1); between: what bytes part words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     new = np.empty(n, bool)
     new[0] = True
     np.logical_not(word[:-1], out=new[1:])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, text_of
+from .common import SPACE_CLASS, bound_batches, text_of
 
 _SLOTS = 4
 _KICKS = 64
@@ -143,7 +143,7 @@ def digest(text_column: str = "text"):
 
 def live_index(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """(digest binary, ident: least id, copies) for each live digest of keyed (digest, ident); deleted: digests to take out, one row a copy."""
-    rows = keyed.select("digest", "ident", F.lit(1).cast("bigint").alias("copies"))
+    rows = bound_batches(keyed).select("digest", "ident", F.lit(1).cast("bigint").alias("copies"))
     local = rows.mapInArrow(_index, _ENTRY)
     if deleted is not None:
         local = local.unionByName(deleted.groupBy("digest").agg((-F.count("*")).alias("copies")).select("digest", F.lit(None).cast("bigint").alias("ident"), "copies"))

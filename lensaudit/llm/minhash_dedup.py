@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import bound_batches, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 from .components import components
 
 #: 32 bands of 5: a pair at 0.8 is missed with probability 3e-6.
@@ -227,16 +227,8 @@ def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame, docs:
     return rows.join(load, "cls").groupBy("kind", "key", "i", "j").applyInArrow(_blocks(threshold), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: its id, n_shingles, component_id, kept.
-
-    Links join documents with 100 * intersection >= percent * union of their sets of distinct shingles of k words
-    (lower case for A-Z). component_id is the least id reachable, null ids apart; kept: it is the document's own.
-    Without words or text a document links with nothing, and is its own component. A null id is never a component's
-    id: such a document has its group's, or null and kept if there is none. Rows that repeat an id and text share one result each. Empty tables
-    give empty results; other columns are not looked at.
-    """
-    docs = docs.select(F.col(id_column).cast("bigint").alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (ident, text, key): its rows (ident, key, n_shingles, cls), and for each class (cls, least: the component's first place)."""
     signed_docs = docs.select("ident", "text", "key").mapInArrow(_signatures(k), "ident bigint, key bigint, n_shingles bigint, total bigint, folded bigint, signature binary")
     rows = materialize(signed_docs.withColumn("cls", F.xxhash64("n_shingles", "total", "folded")))
     place = F.struct(F.col("ident").isNull().alias("none"), F.col("ident").alias("ident"), F.col("key").alias("key"))
@@ -245,14 +237,41 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     bucketed = classes.select("cls", bands).select("cls", F.xxhash64("band", "part").alias("bucket"))
     buckets, hubs = _hubs(bucketed)
     star = materialize(buckets.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct())
-    links = _confirmed(star, classes, docs, k, percent)
-    found = components(links)
+    found = components(_confirmed(star, classes, docs, k, percent))
     rest = materialize(_left_apart(buckets, found, classes, docs, k, percent / 100))
     if rest.take(1):
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_confirmed(rest, classes, docs, k, percent)))
-    rooted = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "place", F.coalesce("root", "cls").alias("root"))
-    rooted = materialize(rooted)
-    least = materialize(rooted.groupBy("root").agg(F.min("place.ident").alias("least")))
-    labels = rooted.join(least, "root").select("cls", "least")
-    out = rows.select("ident", "n_shingles", "cls").join(labels, "cls", "left").select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("ident")).alias("component_id"))
+    rooted = materialize(classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "place", F.coalesce("root", "cls").alias("root")))
+    least = materialize(rooted.groupBy("root").agg(F.min("place").alias("least")))
+    return rows.select("ident", "key", "n_shingles", "cls"), rooted.join(least, "root").select("cls", "least")
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return bound_batches(docs).select(F.col(id_column).cast("bigint").alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: its id, n_shingles, component_id, kept.
+
+    Links join documents with 100 * intersection >= percent * union of their sets of distinct shingles of k words
+    (lower case for A-Z). component_id is the least id reachable, null ids apart; kept: it is the document's own.
+    Without words or text a document links with nothing, and is its own component. A null id is never a component's
+    id: such a document has its group's, or null and kept if there is none. Rows that repeat an id and text share one
+    result each. Empty tables give empty results; other columns are not looked at.
+    """
+    rows, labels = _grouped(_keyed(docs, id_column, text_column), k, percent)
+    out = rows.join(labels, "cls", "left").select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least.ident")).otherwise(F.col("ident")).alias("component_id"))
     return out.select(F.col("ident").alias(id_column), "n_shingles", "component_id", F.col("ident").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, columns as they are, with one row of each group of near copies: the first by id, null ids last.
+
+    Documents without words stay, each row of them. Of rows that repeat an id and a text, one stays.
+    """
+    rows, labels = _grouped(_keyed(docs, id_column, text_column), k, percent)
+    firsts = labels.select(F.col("least.key").alias("_key")).distinct().withColumn("_one", F.lit(True))
+    empty = rows.where("n_shingles = 0").select(F.col("key").alias("_key")).distinct().withColumn("_one", F.lit(False))
+    kept = materialize(firsts.union(empty))
+    chosen = docs.select(F.struct("*").alias("_row"), row_key(id_column, text_column).alias("_key")).join(kept, "_key")
+    return chosen.withColumn("_n", F.when(F.col("_one"), F.lit(0)).otherwise(F.monotonically_increasing_id())).groupBy("_key", "_n").agg(F.first("_row").alias("_row")).select("_row.*")

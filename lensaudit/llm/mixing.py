@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from .common import SPACE_CLASS, materialize, text_of
 
 _LEAST = -(2**63)
+#: Sources up to which their table is broadcast; beyond it joins shuffle.
+BROADCAST_SOURCES = 20_000
 #: Bits of a draw, and of each of the two ranges that narrow its cut.
 _BITS, _RANGE = 60, 10
 
@@ -60,6 +62,12 @@ def _keyed(docs: DataFrame, id_column: str, source_column: str, text_column: str
     )
 
 
+def _source_table(spark, rows: list[tuple], shape) -> DataFrame:
+    """One row a source; sent to all tasks if its checked size allows, so that a hot source's rows stay where they are."""
+    out = spark.createDataFrame(rows, shape)
+    return F.broadcast(out) if len(rows) <= BROADCAST_SOURCES else out
+
+
 def _cut_range(rows: DataFrame, plan: DataFrame, shift: int) -> dict[tuple, tuple]:
     """By source: the range of draws in which the words so far reach what it lacks, and the words before that range."""
     key = ["_none", "_source"]
@@ -79,7 +87,7 @@ def plan_mix(rows: DataFrame, epochs: float, weights: Callable[[int], Sequence[f
     part = {t[:2]: x - whole[t[:2]] * t[2] for t, x in zip(totals, targets, strict=True)}
     low, high, before = dict.fromkeys(whole, 0), dict.fromkeys(whole, (1 << _BITS) - 1), dict.fromkeys(whole, 0)
     shape = "_none boolean, _source string, _low bigint, _high bigint, _before bigint, _part double"
-    narrowed = lambda: spark.createDataFrame([(*k, low[k], high[k], before[k], float(part[k])) for k in whole], shape)
+    narrowed = lambda: _source_table(spark, [(*k, low[k], high[k], before[k], float(part[k])) for k in whole], shape)
     for level in (1, 2) if totals else ():
         shift = _BITS - level * _RANGE
         for k, (at, start) in _cut_range(rows, narrowed(), shift).items():
@@ -108,7 +116,7 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     """
     rows = _keyed(docs.select(id_column, source_column, text_column), id_column, source_column, text_column, seed)
     rows = materialize(rows.select(F.col(f"_row.{id_column}").alias("_ident"), "_none", "_source", "size", "_draw", "_id"))
-    plan = rows.sparkSession.createDataFrame(plan_mix(rows, epochs, weights), _PLAN)
+    plan = _source_table(rows.sparkSession, plan_mix(rows, epochs, weights), _PLAN)
     out = rows.join(plan, ["_none", "_source"])
     return out.select(F.col("_ident").alias(id_column), "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"))
 
@@ -116,6 +124,6 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", source_column: str =
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", epochs: float = 3, weights: Callable[[int], Sequence[float]] = repeating, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as mix_counts() takes it, columns as they are."""
     sized = materialize(_keyed(docs.select(id_column, source_column, text_column), id_column, source_column, text_column, seed).drop("_row"))
-    plan = docs.sparkSession.createDataFrame(plan_mix(sized, epochs, weights), _PLAN)
+    plan = _source_table(docs.sparkSession, plan_mix(sized, epochs, weights), _PLAN)
     rows = _keyed(docs, id_column, source_column, text_column, seed).join(plan, ["_none", "_source"])
     return rows.select("_row", F.explode(F.array_repeat(F.lit(1), _repeats().cast("int"))).alias("_time")).select("_row.*")

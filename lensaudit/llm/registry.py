@@ -50,6 +50,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of
+    from .quality_rules import fit_quality, score_quality
+
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) == 0
+    scored = score_quality(docs, fit_quality(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -57,14 +66,38 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of
+    from .language_id import fit_languages, predict_languages
+
+    docs, held_out = table(spark, sf_dir, "documents"), bucket_of("doc_id", 3) == 1
+    found = predict_languages(docs, fit_languages(docs, ~held_out), F.col("doc_id"))
+    return found.select(F.col("carried").alias("doc_id"), "lang_pred", "score", "rejected").withColumn("held_out", held_out)
+
+
+def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) == 0
+    scored = score_toxicity(docs, fit_toxicity(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()} | {"pipeline": pipeline}
 
 
 _SPACES = r"[\x20\x09-\x0D]+"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aranges, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import aranges, bound_batches, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 
 #: Words of an anchor; any window of `window` words has window - ANCHOR + 1 of them.
 ANCHOR = 10
@@ -48,7 +48,7 @@ def _paths(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, hi, data, offs in slabs(batch.column(1)):
+            for lo, hi, data, offs in slabs(batch.column(1), 1 << 18):
                 words, first = _words(data, offs)
                 count = np.maximum(np.diff(first) - window + 1, 0)
                 start = aranges(first[:-1], count)
@@ -77,7 +77,7 @@ def _edges(window: int):
             keys, spans = batch.column(0).to_numpy(), batch.column(2)
             ends = spans.offsets.to_numpy()
             start, many, known = (f.to_numpy(zero_copy_only=False) for f in spans.values.flatten())
-            for lo, hi, data, offs in slabs(batch.column(1)):
+            for lo, hi, data, offs in slabs(batch.column(1), 1 << 18):
                 words, first = _words(data, offs)
                 sums, more = sequence_sums(words), sequence_sums(mix(words))
                 own = slice(ends[lo], ends[hi])
@@ -101,7 +101,7 @@ def _cut(window: int):
             spans = batch.column(2)
             ends, none = spans.offsets.to_numpy(), spans.is_null().to_numpy(zero_copy_only=False)
             start, many = (f.to_numpy() for f in spans.values.flatten())
-            for lo, hi, data, offs in slabs(batch.column(1), 4 << 20):
+            for lo, hi, data, offs in slabs(batch.column(1)):
                 total, gone, kept = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), []
                 for i in range(lo, hi):
                     words = data[offs[i - lo] : offs[i - lo + 1]].tobytes().split()
@@ -154,7 +154,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     two places each, so their windows all go. kept_text has the other words, joined by one space. An empty table gives an
     empty result; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+    rows = bound_batches(docs).select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
     spans = repeated_spans(rows.select("key", "text"), window)
     id_type = docs.schema[id_column].dataType.simpleString()
     out = rows.join(spans, "key", "left").select("ident", "text", "spans").mapInArrow(_cut(window), f"ident {id_type}, n_words bigint, n_removed bigint, kept_text string")

@@ -95,6 +95,7 @@ def plan_mix(rows: DataFrame, epochs: float, weights: Callable[[int], Sequence[f
     cut = {k: (low[k] - 1, _LEAST) for k in whole}
     if totals:
         last = rows.join(narrowed(), key).where((F.col("_draw") >= F.col("_low")) & (F.col("_draw") <= F.col("_high")))
+        last = last.groupBy(*key, "_draw", "_id", "_before", "_part").agg(F.sum("size").alias("size"))
         ends = last.withColumn("_end", F.col("_before") + F.sum("size").over(Window.partitionBy(*key).orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, 0)))
         taken = ends.where("2 * _end - size < 2 * _part").groupBy(*key).agg(F.max(F.struct("_draw", "_id")).alias("x"))
         cut |= {(r["_none"], r["_source"]): (r["x"]["_draw"], r["x"]["_id"]) for r in taken.collect()}
@@ -111,7 +112,7 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", source_column: str =
 
     weights gives a weight for each source by its place in code-point order, null last. Each document is taken whole times or
     once more, so never above epochs times its size, as long as epochs is whole; a source's taken words miss its target by half a document at most.
-    Rows that repeat an id have the same draw and go together, except at the cut itself. A null id draws as the empty text. A source
+    Rows that repeat an id have the same draw and go together, as one document. A null id draws as the empty text. A source
     without words has the target 0. An empty table gives an empty result; other columns are not looked at.
     """
     rows = _keyed(docs.select(id_column, source_column, text_column), id_column, source_column, text_column, seed)

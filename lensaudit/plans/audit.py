@@ -21,6 +21,7 @@ from ..functions import kernels
 from ..operators import duplicates, isolation, projection, relational, vectors
 from ..report import charts
 from ..report.markdown import Section, key_value_table, report
+from ..shipping import ship_code
 from ..sources import images, records
 
 #: Outside folders that a manifest may refer to.
@@ -253,6 +254,7 @@ MULTI_VIEW = "Several views of one specimen aren't grouped yet. A manifest with
 def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model") -> DataFrame:
     """All stages and their files; returns the final spine."""
     config.validate()
+    ship_code(spark)
     out = Outputs(config.output_dir)
     at = f"file://{out.path('spine.parquet')}"
     ingest(spark, config, embed).write.mode("overwrite").parquet(at)

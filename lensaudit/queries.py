@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import tiles
 from .operators import duplicates, isolation, projection, relational, vectors
+from .shipping import ship_code
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -211,7 +213,7 @@ def tsne_projection(spark, d):
     return projection.tsne(table(spark, d, "embeddings"), "vec_id", "embedding", most=500)
 
 
-_NOT_QUERIES = {"table", "rounded", "words", "text_metrics", "queries", "oracle_sql"}
+_NOT_QUERIES = {"table", "rounded", "words", "text_metrics", "queries", "oracle_sql", "ship_code"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

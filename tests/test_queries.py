@@ -44,3 +44,15 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_import_without_the_text_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "lensaudit"), tmp_path / "lensaudit", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry.__file__, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'effect_by_group' in q and not any(n[:2] == 'op' for n in q) and 'pipeline' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 #: Fixed by the contracts: what separates words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -37,6 +39,7 @@ BATCH_BYTES = "4m"
 
 def bound_batches(df: DataFrame) -> DataFrame:
     """df itself, with its session's Arrow batches bounded by bytes; rows of 10,000 long texts are too much for a small executor."""
+    ship_code(df.sparkSession)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(name) == "67108864b":
         df.sparkSession.conf.set(name, BATCH_BYTES)

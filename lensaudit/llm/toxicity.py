@@ -61,7 +61,7 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 5e-4) -> PuModel:
+def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> PuModel:
     """Logistic classifier on the presence of features that minimises the non-negative PU risk.
 
     risk = prior * R+(P) + max(0, R-(U) - prior * R-(P)). Where the corrected negative part falls below 0, a step goes up on that part

@@ -69,7 +69,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts) * idf
+    x = counts * np.sqrt(idf)  # counts as they are: of a text in two languages the larger part decides
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-12)
 
 

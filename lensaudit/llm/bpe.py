@@ -23,6 +23,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L
 #: Encodings of pre-tokens that a worker keeps: at most twice so many, the older half goes first.
 CACHED = 300_000
 _NEVER = 1 << 60
+_NOTHING: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,13 +85,13 @@ class Bpe:
         key = a << 20 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= 4 * CACHED:
+            if len(self._fits) >= CACHED:
                 self._fits.clear()
             known = self._fits[key] = self._stable(a, b, _NEVER)
         return known
 
     def _reversed_tokens(self, ids: set[int]) -> dict:
-        """Automaton that reads a text backwards: node -> byte -> (node, token that begins there or -1).
+        """Automaton that reads a text backwards: node -> byte -> node, and at 256 the token that begins there; a node without more bytes is the token itself.
 
         Tokens whose own bytes encode to something else can't come up and are left out.
         """
@@ -101,10 +102,17 @@ class Bpe:
         root: dict = {}
         for i in ids:
             if good[i]:
-                node = root
-                for byte in self.bytes[i][:0:-1]:
-                    node = node.setdefault(byte, [{}, -1])[0]
-                node.setdefault(self.bytes[i][0], [{}, -1])[1] = i
+                node, token = root, self.bytes[i]
+                for byte in token[:0:-1]:
+                    step = node.setdefault(byte, {})
+                    if step.__class__ is int:
+                        step = node[byte] = {256: step}
+                    node = step
+                step = node.get(token[0])
+                if step is None:
+                    node[token[0]] = i
+                else:
+                    step[256] = i
         return root
 
     def _encode_piece(self, piece: str) -> bytes:
@@ -119,7 +127,10 @@ class Bpe:
                 if step is None:
                     break
                 at -= 1
-                node, token = step
+                if step.__class__ is int:
+                    node, token = _NOTHING, step
+                else:
+                    node, token = step, step.get(256, -1)
                 if token >= 0 and (not at or (last[at] >= 0 and compatible(last[at], token))):
                     last[end], lengths[end] = token, end - at
                     break

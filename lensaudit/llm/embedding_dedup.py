@@ -20,7 +20,7 @@ from .components import components
 
 TREES = 5
 #: Vectors that a leaf should hold, and at most a block of it.
-LEAF, BLOCK = 256, 1024
+LEAF, BLOCK = 256, 512
 #: Bound of the sample that the splits are fitted on: rows, and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 32_768, 64 << 20
 

@@ -19,9 +19,9 @@ def _star(edges: DataFrame, turn: Callable[[DataFrame, DataFrame], DataFrame]) -
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least node around it."""
+    """Each node's larger neighbours are linked to the least node around it; small-star, which follows, drops repeated edges."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both, lambda e, least: e.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+    return _star(both, lambda e, least: e.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bound_batches, text_of
+from .common import SPACE_CLASS, bound_batches, materialize, text_of
 
+#: Keys that a shard's index holds, about: some 100 MB of Python objects.
+SHARD_KEYS = 250_000
 _SLOTS = 4
 _KICKS = 64
 
@@ -147,7 +149,9 @@ def live_index(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     local = rows.mapInArrow(_index, _ENTRY)
     if deleted is not None:
         local = local.unionByName(deleted.groupBy("digest").agg((-F.count("*")).alias("copies")).select("digest", F.lit(None).cast("bigint").alias("ident"), "copies"))
-    return local.repartition("digest").mapInArrow(_index, _ENTRY)
+    local = materialize(local)
+    shards = max(int(local.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-local.count() // SHARD_KEYS))
+    return local.repartition(shards, "digest").mapInArrow(_index, _ENTRY)
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -31,11 +31,11 @@ def words(text: Column) -> Column:
 
 def text_metrics(docs: DataFrame) -> DataFrame:
     """Per document: mean word length, share of distinct words, share of characters beyond ASCII."""
-    w, text = words(F.col("text")), F.coalesce(F.col("text"), F.lit(""))
-    n = F.nullif(F.size(w), F.lit(0))
-    shown = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    measures = lambda w: F.struct(F.length(F.array_join(w, "")).alias("shown"), F.size(F.array_distinct(w)).alias("distinct"), F.nullif(F.size(w), F.lit(0)).alias("n"))
     beyond = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
-    return docs.withColumns({"word_length": shown / n, "distinct_words": F.size(F.array_distinct(w)) / n, "beyond_ascii": beyond / F.nullif(F.length(text), F.lit(0))})
+    out = docs.withColumn("_w", C.let(words(F.col("text")), measures))
+    return out.withColumns({"word_length": F.col("_w.shown") / F.col("_w.n"), "distinct_words": F.col("_w.distinct") / F.col("_w.n"), "beyond_ascii": beyond / F.nullif(F.length(text), F.lit(0))}).drop("_w")
 
 
 DOC_METRICS = ("n_chars", "word_length", "distinct_words")

@@ -61,11 +61,11 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> PuModel:
+def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 0.1) -> PuModel:
     """Logistic classifier on the presence of features that minimises the non-negative PU risk.
 
     risk = prior * R+(P) + max(0, R-(U) - prior * R-(P)). Where the corrected negative part falls below 0, a step goes up on that part
-    instead, so that positives among the unlabelled aren't learned as negatives by heart.
+    instead, so that positives among the unlabelled aren't learned as negatives by heart. Squared weights are penalised by penalty over the number of positives.
     """
     size = 1 << BITS
     if not positive:
@@ -76,7 +76,7 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     spread = np.sqrt((in_p * (1 - in_p) + 1 / n_p) / n_p + (in_u * (1 - in_u) + 1 / n_u) / n_u)
     strength = np.where(in_p * n_p >= 3, np.abs(in_p - in_u) / spread, 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:WEIGHED])
-    chosen = chosen[strength[chosen] > 3]
+    chosen = chosen[strength[chosen] > 2]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -98,7 +98,7 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             g_p, g_u = prior * down_p - prior * up_p, up_u
         else:
             g_p, g_u = prior * up_p, -up_u
-        grad = np.append(np.bincount(p_col, g_p[p_row], len(w)) + np.bincount(u_col, g_u[u_row], len(w)) + decay * w, g_p.sum() + g_u.sum())
+        grad = np.append(np.bincount(p_col, g_p[p_row], len(w)) + np.bincount(u_col, g_u[u_row], len(w)) + penalty / n_p * w, g_p.sum() + g_u.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]

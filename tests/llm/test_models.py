@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lensaudit.llm import registry
+from lensaudit.llm import brown_lm, registry
 from lensaudit.llm.bpe import Bpe, decode, encode
 from lensaudit.llm.brown_lm import brown_scores, exchange_classes
 from lensaudit.llm.common import bucket_of
@@ -82,6 +82,41 @@ def test_brown_beats_the_unigram_model_on_held_out_text(spark, sf_dir):
     assert held[2] > 20 and held[0] > held[1]
 
 
+def test_brown_places_rare_words_by_their_own_contexts(spark):
+    """Words of one ending, far beyond the most frequent, that follow different words: the shape alone can't tell them apart."""
+    common = " ".join(f"w{i}" for i in range(900))
+    left, right = [f"l{i}zz" for i in range(30)], [f"r{i}zz" for i in range(30)]
+    rows = [(i, common, "", "") for i in range(5)] + [(10 + i, f"w1 a{i % 10} w2", "", "") for i in range(200)] + [(10 + i, f"w3 b{i % 10} w4", "", "") for i in range(200)]
+    rows += [(210 + i, f"w1 {x} w2", "", "") for i, x in enumerate(left)] + [(250 + i, f"w3 {x} w4", "", "") for i, x in enumerate(right)]
+    rows += [(300, "w1 l1zz w2", "", ""), (301, "w1 r1zz w2", "", ""), (302, "w3 r1zz w4", "", ""), (303, "w3 l1zz w4", "", "")]
+    got = {r["doc_id"]: r for r in brown_scores(frame(spark, rows), F.col("doc_id") >= 300).collect()}
+    assert all(got[i]["n_known"] == 4 for i in range(300, 304))
+    assert got[300]["score"] > got[301]["score"] + 0.3 and got[302]["score"] > got[303]["score"] + 0.3
+
+
+def test_brown_assigns_as_one_exchange_would(monkeypatch):
+    """Gains of a word's classes against the likelihood counted anew with the word in each class."""
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    rng = np.random.default_rng(3)
+    between = rng.integers(30, 90, (4, 4))
+    context, n = np.array([5, 6, 11, 3, 14]), np.array([2, 20, 1, 3, 30])  # of shape 0, in class 2
+    put = np.zeros((2, 4))
+    np.add.at(put[0], context // 4, n)
+    np.add.at(put[1], context % 4, n)
+    between[:, 2] += put[0].astype(int)
+    between[2] += put[1].astype(int)
+    x = lambda a: float((a * np.log(np.maximum(a, 1))).sum())
+    worth = []
+    for c in range(4):
+        before, after = between.T.astype(float), between.astype(float)
+        for a, p in ((before, put[0]), (after, put[1])):
+            a[2] -= p
+            a[c] += p
+        worth.append(sum(x(a) - x(a.sum(1)) for a in (before, after)))
+    shape, total, cls = brown_lm.Assigner(between, np.array([2])).assign(np.zeros(5, int), context, n)
+    assert (shape[0], total[0], cls[0]) == (0, 56, int(np.argmax(worth)))
+
+
 def test_exchange_finds_words_that_behave_alike():
     counts = np.zeros((8, 8))
     counts[:4, 4:] = counts[4:, :4] = 10

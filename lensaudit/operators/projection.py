@@ -1,4 +1,4 @@
-"""Two-dimensional projections of vectors: PCA over all rows, exact t-SNE for small tables."""
+"""Two-dimensional projections of vectors: PCA over all rows; exact t-SNE of a bounded sample, in which all other rows are placed."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .vectors import vectors_from
 
-#: Rows up to which t-SNE is computed; its cost is quadratic.
+#: Rows that t-SNE is fitted on, all of a smaller table, as its cost is quadratic; fitted rows whose coordinates a further row is placed by, and their perplexity.
 TSNE_ROWS = 2000
+NEAR, NEAR_PERPLEXITY = 15, 5.0
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,17 +98,48 @@ def tsne_layout(x: np.ndarray, perplexity: float, seed: int = 42, steps: int = 5
     return y - y.mean(0)
 
 
+def place(x: np.ndarray, fitted: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coordinates for rows x: means of the layout y over the nearest of the fitted rows, weighted as t-SNE weights neighbours."""
+    k = min(NEAR, len(fitted))
+    out = np.empty((len(x), 2))
+    for lo in range(0, len(x), 512):
+        part = x[lo : lo + 512]
+        rough = (part * part).sum(1)[:, None] - 2 * part @ fitted.T + (fitted * fitted).sum(1)[None]
+        near = np.argpartition(rough, k - 1, axis=1)[:, :k]
+        d = ((part[:, None] - fitted[near]) ** 2).sum(2)
+        d -= d.min(1, keepdims=True)
+        low, high, beta = np.zeros(len(part)), np.full(len(part), np.inf), 1 / np.maximum(d.mean(1), 1e-300)
+        for _ in range(60):
+            p = np.exp(-d * beta[:, None])
+            p /= p.sum(1, keepdims=True)
+            wide = -(p * np.log(np.maximum(p, 1e-300))).sum(1) > np.log(min(NEAR_PERPLEXITY, k / 2))
+            low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+            beta = np.where(np.isinf(high), np.minimum(beta * 2, 1e300), (low + high) / 2)
+        out[lo : lo + 512] = (p[:, :, None] * y[near]).sum(1)
+    return out
+
+
 def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSNE_ROWS, prefix: str = "tsne") -> DataFrame:
-    """(index, x, y), null below 5 rows. Above `most` rows the layout is that of the rows first by hash; the others have null coordinates."""
-    spark = df.sparkSession
+    """(index, x, y), null below 5 rows. Above `most` rows the layout is fitted on those first by hash, and each other row is placed by its neighbours among them."""
     rows = df.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), vector)
     some = rows.orderBy(F.xxhash64(index), index).limit(most).toArrow()
-    shape = f"{index} bigint, {prefix}_x double, {prefix}_y double"
+    names = [index, f"{prefix}_x", f"{prefix}_y"]
     n = some.num_rows
     if n < 5:
-        at = spark.createDataFrame([], shape)
-    else:
-        x = np.array(some.column(vector).to_pylist(), float)
-        y = tsne_layout(x, max(2, min(30, n // 4)), seed)
-        at = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(some.column(index).to_pylist(), y, strict=True)], shape)
-    return rows.select(index).join(at, index, "left")
+        return rows.select(index, *[F.lit(None).cast("double").alias(c) for c in names[1:]])
+    fitted = np.array(some.column(vector).to_pylist(), float)
+    y = tsne_layout(fitted, max(2, min(30, n // 4)), seed)
+    ids = some.column(index).to_pylist()
+    shared = df.sparkSession.sparkContext.broadcast((ids, fitted, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fitted, y = shared.value
+        where = {(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids, fitted, strict=True))}
+        for batch, x in vectors_from(batches, 1):
+            if len(x):
+                own = np.array([where.get((i, v.tobytes()), -1) for i, v in zip(batch.column(0).to_pylist(), x, strict=True)])
+                at = y[own]
+                at[own < 0] = place(x[own < 0], fitted, y)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], names)
+
+    return rows.mapInArrow(run, f"{index} bigint, {prefix}_x double, {prefix}_y double")

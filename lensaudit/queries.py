@@ -210,7 +210,7 @@ def pca_projection(spark, d):
 
 
 def tsne_projection(spark, d):
-    return projection.tsne(table(spark, d, "embeddings"), "vec_id", "embedding", most=500)
+    return projection.tsne(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 _NOT_QUERIES = {"table", "rounded", "words", "text_metrics", "queries", "oracle_sql", "ship_code"}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lensaudit import queries
 from lensaudit.functions import columns as C
 from lensaudit.operators import duplicates, isolation, projection, relational, vectors
 
@@ -168,3 +169,24 @@ def test_projections(spark):
     y = projection.tsne_layout(two, 10, steps=300)
     near = np.linalg.norm(y[:, None] - y[None], axis=2).argsort(1)[:, 1:4]
     assert ((near < 40) == (np.arange(80) < 40)[:, None]).mean() > 0.95
+
+
+def test_tsne_gives_every_row_coordinates(spark):
+    """Beyond the fitted rows: null before, now among the fitted rows of the same group."""
+    rng = np.random.default_rng(7)
+    group = np.arange(160) % 4
+    x = rng.normal(size=(160, 5)) + 40 * np.eye(4, 5)[group]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i bigint, v array<double>")
+    rows = projection.tsne(df.repartition(3), "i", "v", most=60).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(160)) and all(r["tsne_x"] is not None and r["tsne_y"] is not None for r in rows)
+    y = np.array([[r["tsne_x"], r["tsne_y"]] for r in rows])
+    near = np.linalg.norm(y[:, None] - y[None], axis=2).argsort(1)[:, 1:4]
+    assert (group[near] == group[:, None]).mean() > 0.95
+    fitted = rng.normal(size=(20, 3))
+    assert projection.place(fitted + 1e-9, fitted, np.arange(40.0).reshape(20, 2)).shape == (20, 2)
+    assert np.isfinite(projection.place(np.zeros((2, 3)), np.zeros((20, 3)), np.ones((20, 2)))).all()
+
+
+def test_tsne_query_lays_out_more_than_500_rows(spark):
+    got = queries.tsne_projection(spark, "/root/testdata/sf0.1").agg(F.count("*"), F.count("tsne_x")).first()
+    assert tuple(got) == (2000, 2000)

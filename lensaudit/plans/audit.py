@@ -24,8 +24,6 @@ from ..report.markdown import Section, key_value_table, report
 from ..shipping import ship_code
 from ..sources import images, records
 
-#: Outside folders that a manifest may refer to.
-FOLDERS = 1000
 SIZES = ("width", "height", "aspect_ratio", "file_size_bytes")
 SCORES = ("outlier_quality_isolation", "outlier_embedding_nn", "outlier_class_centroid", "outlier_score", "outlier_reason")
 COLOURS = ("label", "brightness", "blur_score", "analysis_domain", "source_domain")
@@ -68,11 +66,8 @@ def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | No
     if config.csv_path:
         manifest = records.read_manifest(spark, config.csv_path)
         rows = records.csv_records(manifest, config.image_column, config.label_column, config.source_column, config.path_root, cwd, config.max_images)
-        parents = [r[0] for r in rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("p")).distinct().limit(FOLDERS + 1).collect() if r[0]]
-        if len(parents) > FOLDERS:
-            roots, recursive = [config.path_root or cwd], True
-        else:
-            roots, recursive = [p for p in parents if os.path.isdir(p)], False
+        parents = rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("p")).distinct()
+        roots, recursive = [r["p"] for r in parents.toLocalIterator() if r["p"] and os.path.isdir(r["p"])], False
     else:
         roots, recursive = [config.dataset_root], config.recursive
     if roots:

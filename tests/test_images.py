@@ -116,6 +116,22 @@ def test_audit_of_a_manifest(spark, folder, tmp_path):
         audit.ingest(spark, AuditConfig(csv_path=str(path)).validate())
 
 
+def test_a_manifest_of_many_folders_outside_its_root(spark, tmp_path):
+    """More than 1,000 folders: only path_root was listed, and all images elsewhere were lost."""
+    image, lines = encode_png(solid(1, 2, 3, size=(4, 4))), ["image_path,label"]
+    for i in range(1005):
+        at = tmp_path / "elsewhere" / f"f{i}"
+        at.mkdir(parents=True)
+        (at / "x.png").write_bytes(image)
+        lines.append(f"{at}/x.png,a")
+    lines.append(f"{tmp_path}/elsewhere/gone/x.png,a")
+    (tmp_path / "root").mkdir()
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join(lines) + "\n")
+    rows = audit.ingest(spark, AuditConfig(csv_path=str(path), path_root=str(tmp_path / "root"), output_dir=str(tmp_path / "o")).validate()).orderBy("row_index").collect()
+    assert [r["is_readable"] for r in rows] == [True] * 1005 + [False] and rows[-1]["load_error"] == "no such file"
+
+
 def test_nothing_readable_and_nothing_at_all(spark, tmp_path):
     for name, files in (("none", {}), ("bad", {"x.png": b"junk"})):
         root = tmp_path / name

@@ -71,7 +71,7 @@ def _ramp(t: float) -> str:
 
 
 def scatter(title: str, rows: Sequence[tuple]) -> str:
-    """rows: (x, y, colour value); numbers give a colour scale, anything else a legend."""
+    """rows: (x, y, colour value), or with a fourth, the rows of a bin; numbers give a colour scale, anything else a legend."""
     rows = [r for r in rows if None not in r]
     if not rows:
         return _svg(title, [])
@@ -85,7 +85,8 @@ def scatter(title: str, rows: Sequence[tuple]) -> str:
         names = sorted({str(r[2]) for r in rows})
         colour = lambda v: PALETTE[names.index(str(v)) % 10]
         legend = [f'<circle cx="{WIDE - 130}" cy="{46 + i * 14}" r="4" fill="{PALETTE[i % 10]}"/><text x="{WIDE - 120}" y="{50 + i * 14}">{html.escape(n)}</text>' for i, n in enumerate(names[:20])]
-    return _svg(title, [*(f'<circle cx="{x(a):.1f}" cy="{y(b):.1f}" r="3" fill="{colour(v)}" fill-opacity="0.8"/>' for a, b, v in rows), *legend])
+    count = lambda n: f"><title>{n[0]} rows</title></circle>" if n else "/>"
+    return _svg(title, [*(f'<circle cx="{x(a):.1f}" cy="{y(b):.1f}" r="3" fill="{colour(v)}" fill-opacity="0.8"{count(n)}' for a, b, v, *n in rows), *legend])
 
 
 def heat_map(title: str, names: Sequence[str], r: dict[tuple[str, str], float | None]) -> str:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -132,6 +134,20 @@ def test_a_manifest_of_many_folders_outside_its_root(spark, tmp_path):
     assert [r["is_readable"] for r in rows] == [True] * 1005 + [False] and rows[-1]["load_error"] == "no such file"
 
 
+def test_scatter_charts_show_all_rows(spark, tmp_path, monkeypatch):
+    """Of more than 5,000 rows only the first by hash were drawn."""
+    monkeypatch.setattr(audit.projection, "tsne", lambda df, index, vector, seed: audit.projection.pca(df, index, vector, "tsne"))
+    rng = np.random.default_rng(2)
+    rows = [(i, f"/{i}.png", "ab"[i % 2], None, "d", "explicit", float(i % 9), 1.0, [float(x) for x in rng.normal(size=3)]) for i in range(5200)]
+    spine = spark.createDataFrame(rows, "row_index bigint, image_path string, label string, source_domain string, analysis_domain string, analysis_domain_kind string, brightness double, blur_score double, embedding array<float>")
+    audit.embed_and_project(spine, AuditConfig(dataset_root=str(tmp_path)), audit.Outputs(str(tmp_path / "out")), "none")
+    for name in ("pca_by_label", "tsne_by_brightness"):
+        svg = (tmp_path / f"out/embeddings/{name}.svg").read_text()
+        assert sum(int(n) for n in re.findall(r"<title>(\d+) rows</title>", svg)) == 5200 and "5200 rows in" in svg
+    found, n = audit._points(spine.limit(40).withColumns({"x": audit.F.col("brightness"), "y": audit.F.lit(1.0)}), "x", "y", "label")
+    assert n == len(found) == 40 and {len(r) for r in found} == {3}
+
+
 def test_nothing_readable_and_nothing_at_all(spark, tmp_path):
     for name, files in (("none", {}), ("bad", {"x.png": b"junk"})):
         root = tmp_path / name

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_of
+from .common import operator, text_of
 
 #: Fixed by the tokenizer: how byte-level BPE splits text before merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -219,6 +219,7 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+@operator
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: its id, ids (binary: little-endian unsigned 32-bit integers), n_tokens, decoded (the text the ids give).
 
@@ -226,12 +227,13 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     are, an empty table gives an empty result, other columns are not looked at.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    out = bound_batches(docs).select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")).mapInArrow(_encoded(_vocabulary(docs, path)), f"ident {kind}, ids binary, decoded string")
+    out = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")).mapInArrow(_encoded(_vocabulary(docs, path)), f"ident {kind}, ids binary, decoded string")
     return out.select(F.col("ident").alias(id_column), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
+@operator
 def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """The texts of ids as encode() gives them; null ids give the empty text, bytes that aren't UTF-8 U+FFFD."""
     kind = encoded.schema[id_column].dataType.simpleString()
-    rows = bound_batches(encoded).select(F.col(id_column).alias("ident"), F.coalesce(F.col(ids_column), F.lit(b"")).alias("ids"))
+    rows = encoded.select(F.col(id_column).alias("ident"), F.coalesce(F.col(ids_column), F.lit(b"")).alias("ids"))
     return rows.mapInArrow(_decoded(_vocabulary(encoded, path)), f"ident {kind}, text string").withColumnRenamed("ident", id_column)

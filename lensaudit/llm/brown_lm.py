@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bound_batches, discard, materialize, signed, slabs, span_hashes, text_of, word_spans
+from .common import ASCII_LOWER, discard, materialize, operator, signed, slabs, span_hashes, text_of, word_spans
 
 #: Words that the driver clusters; words whose counts and classes are broadcast; shapes of the others; classes.
 WORDS, KNOWN, SHAPES, CLASSES = 768, 131_072, 256, 64
@@ -340,6 +340,7 @@ def _pair_matrix(found: DataFrame, side: int) -> np.ndarray:
     return pairs.reshape(side, side)
 
 
+@operator
 def brown_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: its id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
@@ -348,7 +349,7 @@ def brown_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", t
     from leaves all tokens unknown; an empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = bound_batches(docs).select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learn = rows.where("NOT held_out").select("text")
     vocabulary = materialize(learn.mapInArrow(_count, "token bigint, shape smallint, n bigint").groupBy("token").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import functools
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,59 +19,169 @@ from ..shipping import ship_code
 
 #: Fixed by the contracts: what separates words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Sets the second 64 bits of a key apart from the first.
+_SECOND = 0x5DEECE66D
 
 
 # --- session -------------------------------------------------------------------------------------
 
+#: Folders of local sessions that have no spark.checkpoint.dir, by application.
+_FOLDERS: dict[str, str] = {}
+
+
+def _path(spark: SparkSession, at: str):
+    """A path and its file system, as Hadoop has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where a local session has none, a temporary one is set."""
+    """The folder of spark.checkpoint.dir, which is only read; a local session without one gets a temporary folder, deleted at its end."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="lensaudit-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _FOLDERS:
+        at = _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="lensaudit-")
+        path, system = _path(spark, f"file://{at}")
+        system.deleteOnExit(path)
+    return f"file://{_FOLDERS[context.applicationId]}"
 
 
 #: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default of 64 MB: both sides hold several.
-BATCH_BYTES = "4m"
-
-
-def bound_batches(df: DataFrame) -> DataFrame:
-    """df itself, with its session's Arrow batches bounded by bytes; rows of 10,000 long texts are too much for a small executor."""
-    ship_code(df.sparkSession)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(name) == "67108864b":
-        df.sparkSession.conf.set(name, BATCH_BYTES)
-    return df
+_BATCHES, _SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+#: With this on, Spark deletes a plan's shuffle files when its action ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For jobs: bound the session's Arrow batches by bytes. Rows of 10,000 long texts are too much for a small executor; operators leave the setting alone."""
+    if spark.conf.get(_BATCHES) == _SPARKS_OWN:
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Bounded batches and early deletion of shuffle files for the actions of an operator; afterwards all is as it was."""
+    before = {name: spark.conf.get(name, None) for name in (_BATCHES, _CLEANUP)}
+    bound_batches(spark)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+class _Runs(threading.local):
+    """Tables written by the operators that are running in this thread, the innermost last."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = []
+
+
+_RUNS = _Runs()
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(j).toUri().getPath() for j in range(roots.size())}
+    return found
+
+
+def operator(f: Callable) -> Callable:
+    """For functions of a table (their first argument): code is shipped, settings hold while f runs, and all tables that f wrote are deleted
+    when it returns, but for those that its result reads. These go when the driver ends."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs):
+        spark = df.sparkSession
+        ship_code(spark)
+        own: list[str] = []
+        used: set[str] = set()
+        _RUNS.stack.append(own)
+        try:
+            with _settings(spark):
+                out = f(df, *args, **kwargs)
+                used = _read_by(out) if isinstance(out, DataFrame) else used
+        finally:
+            _RUNS.stack.pop()
+            for at in own:
+                path, system = _path(spark, at)
+                if path.toUri().getPath() not in used:
+                    system.delete(path, True)
+                elif _RUNS.stack:
+                    _RUNS.stack[-1].append(at)
+        return out
+
+    return run
 
 
 def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again.
 
-    A lost executor loses nothing, as the folder outlives executors. Shuffle files that only the written
-    plan needed are released. files: rebalance into about so many files (default: as the plan has them).
+    A lost executor loses nothing, as the folder outlives executors. The table goes with its operator(), or when the driver ends.
+    files: rebalance into about so many files (default: as the plan has them).
     """
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     (df.repartition(files) if files else df).write.parquet(out)
+    path, system = _path(spark, out)
+    system.deleteOnExit(path)
+    if _RUNS.stack:
+        _RUNS.stack[-1].append(out)
     table = spark.read.schema(df.schema).parquet(out)
     table._llm_path = out
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return table
 
 
+#: Bytes of a written table up to which any of its partitions fits a task, however skewed its keys are.
+SMALL = 32 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """By the sizes of a written table's files; no job."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+
+
+def splittable(df: DataFrame, source: DataFrame) -> DataFrame:
+    """An aggregate that goes into a join with source, as a written table where source is large: then a hot key's partition can be split."""
+    return df if is_small(source) else materialize(df)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of materialize() that no later plan reads."""
     at = getattr(table, "_llm_path", None)
     if at:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, system = _path(table.sparkSession, at)
+        system.delete(path, True)
+        system.cancelDeleteOnExit(path)
+        for own in _RUNS.stack:
+            if at in own:
+                own.remove(at)
+
+
+def chosen_rows(docs: DataFrame, id_column: str, verdicts: DataFrame, pick: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that verdicts (ident, keep; a row for each of docs) keep, columns as they are.
+
+    Where an id stands for one row, the id decides. Rows that repeat an id, or have none, go to pick as (_row, _ident), which returns (_row).
+    """
+    per = verdicts.groupBy("ident").agg(F.count("*").alias("n"), F.bool_or("keep").alias("keep"))
+    away = materialize(per.where("n > 1 OR NOT keep OR ident IS NULL").select(F.col("ident").alias("_away"), "n"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_column).alias("_ident"))
+    matches = F.col("_ident").eqNullSafe(F.col("_away"))
+    sure = rows.join(away, matches, "left_anti").select("_row")
+    odd = away.where("n > 1 OR _away IS NULL")
+    if odd.take(1):
+        sure = sure.union(pick(rows.join(odd, matches, "left_semi")).select("_row"))
+    return sure.select("_row.*")
 
 
 # --- native expressions --------------------------------------------------------------------------
@@ -85,8 +197,9 @@ def bucket_of(column: str, n: int) -> Column:
 
 
 def row_key(id_column: str, text_column: str) -> Column:
-    """A key of 64 bits that rows share only when both id and text agree."""
-    return F.xxhash64(F.col(id_column).isNull(), F.col(id_column), F.col(text_column).isNull(), F.col(text_column))
+    """128 bits that rows share only when both id and text agree."""
+    both = (F.col(id_column).isNull(), F.col(id_column), F.col(text_column).isNull(), F.col(text_column))
+    return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(_SECOND), *both).alias("b"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialize
+from .common import discard, materialize, operator
 from .components import components
 
 TREES = 5
@@ -172,6 +172,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold), "cls bigint, links bigint, root bigint")
 
 
+@operator
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row a vector: its id, n_links (other vectors linked directly), component_id (least id reachable), kept (it is its own).
 
@@ -182,7 +183,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     """
     vec = F.col(vector_column)
     sound = F.coalesce(F.size(vec) > 0, F.lit(False)) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = bound_batches(vectors).select(F.col(id_column).cast("bigint").alias("ident"), F.when(F.coalesce(sound, F.lit(False)), vec).alias("vec")).withColumn("cls", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("ident"), F.when(F.coalesce(sound, F.lit(False)), vec).alias("vec")).withColumn("cls", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
     classes = materialize(rows.where("vec IS NOT NULL").groupBy("cls", "vec").agg(F.count("*").alias("copies"), F.min("ident").alias("least")))
     met = materialize(_links(classes, threshold))
     found = components(met.select(F.col("cls").alias("u"), F.col("root").alias("v")))

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bound_batches, materialize, text_of
+from .common import SPACE_CLASS, chosen_rows, materialize, operator, text_of
 
-#: Keys that a shard's index holds, about: some 100 MB of Python objects.
+#: Keys that an index holds, about: some 100 MB of Python objects. A task's own index is handed on at so many, a shard is cut to so many.
 SHARD_KEYS = 250_000
 _SLOTS = 4
 _KICKS = 64
@@ -113,29 +113,41 @@ class CuckooIndex:
         return self.size
 
 
-_ENTRY = "digest binary, ident bigint, copies bigint"
+def _rows(index: CuckooIndex, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    rows = list(index)
+    for lo in range(0, len(rows), 20_000):
+        part = rows[lo : lo + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in zip((0, 2, 1), kinds, strict=True)], names)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(whole: bool):
     """Rows (digest, ident, copies) to one row a live digest; negative copies delete.
 
-    Deletions wait for the insertions of their batch, and those of a key that isn't live yet for the end.
+    Deletions wait for the insertions of their batch, and those of a key that isn't live yet for the end. whole: the task has all rows
+    of its digests; if not, there are only insertions, and the index is handed on whenever it has SHARD_KEYS keys.
     """
-    index, owed = CuckooIndex(), {}
-    for batch in batches:
-        for digest, ident, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if copies > 0:
-                index.insert(digest, ident, copies)
-            elif copies < 0:
-                owed[digest] = owed.get(digest, 0) - copies
-        for digest in [d for d in owed if index.find(d) is not None and index.find(d)[1] >= owed[d]]:
-            index.delete(digest, owed.pop(digest))
-    for digest, copies in owed.items():
-        index.delete(digest, copies)
-    rows = list(index)
-    for lo in range(0, len(rows), 20_000):
-        part = rows[lo : lo + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in ((0, pa.binary()), (2, pa.int64()), (1, pa.int64()))], ["digest", "ident", "copies"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, owed = CuckooIndex(), {}
+        names, kinds = ["digest", "ident", "copies"], None
+        for batch in batches:
+            kinds = [c.type for c in batch.columns]
+            for digest, ident, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if copies > 0:
+                    index.insert(digest, ident, copies)
+                elif copies < 0:
+                    owed[digest] = owed.get(digest, 0) - copies
+            for digest in [d for d in owed if index.find(d) is not None and index.find(d)[1] >= owed[d]]:
+                index.delete(digest, owed.pop(digest))
+            if not whole and len(index) >= SHARD_KEYS:
+                yield from _rows(index, names, kinds)
+                index = CuckooIndex()
+        for digest, copies in owed.items():
+            index.delete(digest, copies)
+        if kinds:
+            yield from _rows(index, names, kinds)
+
+    return run
 
 
 def digest(text_column: str = "text"):
@@ -143,41 +155,54 @@ def digest(text_column: str = "text"):
     return F.sha2(F.regexp_replace(text_of(text_column), f"{SPACE_CLASS}+", " "), 256)
 
 
+@operator
 def live_index(keyed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
-    """(digest binary, ident: least id, copies) for each live digest of keyed (digest, ident); deleted: digests to take out, one row a copy."""
-    rows = bound_batches(keyed).select("digest", "ident", F.lit(1).cast("bigint").alias("copies"))
-    local = rows.mapInArrow(_index, _ENTRY)
+    """(digest binary, ident: least id, copies) for each live digest of keyed (digest, ident); deleted: digests to take out, one row a copy.
+
+    Ids are of any type that has an order; null ids are above all others. Repeated rows count as copies; deletions of digests that aren't live do nothing.
+    Empty tables give an empty index. Other columns are not looked at.
+    """
+    kind = keyed.schema["ident"].dataType.simpleString()
+    entry = f"digest binary, ident {kind}, copies bigint"
+    rows = keyed.select("digest", "ident", F.lit(1).cast("bigint").alias("copies"))
+    local = rows.mapInArrow(_index(False), entry)
     if deleted is not None:
-        local = local.unionByName(deleted.groupBy("digest").agg((-F.count("*")).alias("copies")).select("digest", F.lit(None).cast("bigint").alias("ident"), "copies"))
+        local = local.unionByName(deleted.groupBy("digest").agg((-F.count("*")).alias("copies")).select("digest", F.lit(None).cast(kind).alias("ident"), "copies"))
     local = materialize(local)
     shards = max(int(local.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-local.count() // SHARD_KEYS))
-    return local.repartition(shards, "digest").mapInArrow(_index, _ENTRY)
+    return local.repartition(shards, "digest").mapInArrow(_index(True), entry)
+
 
+def _digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_column).alias("ident"), F.unhex(digest(text_column)).alias("digest")))
 
+
+@operator
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: its id, keep_id, group_size, kept, text_sha256.
 
-    Null texts count as empty. Of equal texts the row with the least id stays; null ids are above all others,
-    and a group of null ids only has a null keep_id. Rows that repeat an id with its text are all marked kept
-    if that id is the least. An empty table gives an empty result; other columns are not looked at.
+    Null texts count as empty; texts of any length are digested whole. Of equal texts the row with the least id stays (ids of any type that
+    has an order); null ids are above all others, and a group of null ids only has a null keep_id. Rows that repeat an id with its text are all
+    marked kept if that id is the least. An empty table gives an empty result; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), digest(text_column).alias("_sha"))
-    index = live_index(rows.select(F.unhex("_sha").alias("digest"), F.col("_id").cast("bigint").alias("ident")))
-    found = index.select(F.lower(F.hex("digest")).alias("_sha"), F.col("ident").alias("keep_id"), F.col("copies").alias("group_size"))
-    return rows.join(found, "_sha").select(
-        F.col("_id").alias(id_column), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256")
-    )
+    rows = _digested(docs, id_column, text_column)
+    found = live_index(rows).select("digest", F.col("ident").alias("keep_id"), F.col("copies").alias("group_size"))
+    out = rows.join(found, "digest").select("ident", "keep_id", "group_size", F.col("ident").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.withColumnRenamed("ident", id_column)
 
 
+@operator
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, with one row of each group of equal texts.
+    """The rows of docs, columns as they are, with one row of each group of equal texts: that of the least id, any one of rows that repeat it.
 
-    Rows are told apart by id and then by their place in the plan's own partitions, so rows repeated as a whole stay once.
+    Nulls, ids, long texts and empty tables as in exact_dedup(); extra columns of any name go along.
     """
-    place = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.monotonically_increasing_id().alias("r"))
-    rows = docs.select(F.struct("*").alias("_row"), place.alias("_at"), digest(text_column).alias("_sha"))
-    index = live_index(rows.select(F.unhex("_sha").alias("digest"), F.col("_at.i").cast("bigint").alias("ident")))
-    found = index.select(F.lower(F.hex("digest")).alias("_sha"), F.col("ident").alias("_keep"))
-    least = rows.select("_sha", F.col("_at.i").alias("_i"), F.col("_at.r").alias("_r")).join(found, "_sha").where(F.col("_i").eqNullSafe(F.col("_keep")))
-    least = least.groupBy("_sha").agg(F.min("_r").alias("_least"))
-    return rows.join(least, (rows["_sha"] == least["_sha"]) & (F.col("_at.r") == F.col("_least"))).select("_row.*")
+    rows = _digested(docs, id_column, text_column)
+    index = materialize(live_index(rows).select("digest", F.col("ident").alias("keep_id")))
+    verdicts = rows.join(index, "digest").select("ident", F.col("ident").eqNullSafe(F.col("keep_id")).alias("keep"))
+
+    def pick(odd: DataFrame) -> DataFrame:
+        own = odd.select("_row", "_ident", F.unhex(digest(f"_row.{text_column}")).alias("digest")).join(index, "digest")
+        return own.where(F.col("_ident").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("_row").alias("_row"))
+
+    return chosen_rows(docs, id_column, verdicts, pick)

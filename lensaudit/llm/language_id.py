@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, bound_batches, slabs, text_of
+from .common import ASCII_LOWER, operator, slabs, text_of
 
 #: Hashed features; centroids a language; sampled documents a language that centroids are fitted on, and in all.
 FEATURES, CENTROIDS, SAMPLE, SAMPLE_ALL = 8192, 4, 400, 4000
@@ -103,9 +103,10 @@ class LanguageModel:
         return own, score, score < self.least[own]
 
 
+@operator
 def fit_languages(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> LanguageModel | None:
     """Document frequencies over all rows that may be learned from, centroids from a bounded sample; None if there are no such rows."""
-    rows = bound_batches(docs).where(learn & F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}")).select(F.col(id_column).alias("ident"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
+    rows = docs.where(learn & F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}")).select(F.col(id_column).alias("ident"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -149,6 +150,7 @@ def _predict(shared):
     return run
 
 
+@operator
 def predict_languages(docs: DataFrame, model: LanguageModel | None, carried: Column, text_column: str = "text") -> DataFrame:
     """(carried, lang_pred, score, rejected) for each row.
 
@@ -156,11 +158,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, carried: Col
     nearest centroid, 0 for `und`; of equal cosines the language first in order counts. rejected: `und`, or farther from its
     language than nearly all sampled documents are. Each row stands for itself: repeated rows and null ids are kept; empty tables give empty results.
     """
-    rows = bound_batches(docs).select(carried.alias("carried"), text_of(text_column).alias("text"), F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(carried.alias("carried"), text_of(text_column).alias("text"), F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     shape = T.StructType([T.StructField("carried", rows.schema["carried"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), shape)
 
 
+@operator
 def keep_known(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> DataFrame:
     """The rows of docs that are not rejected, columns as they are."""
     model = fit_languages(docs, learn, text_column, lang_column, id_column)

@@ -1,29 +1,32 @@
 """Near-duplicates by word shingles: universal-hash minima, banding, signature check, exact check, components.
 
-Documents with one and the same shingle set are one class from the start, so a hot group of exact copies is one
-row. Within a bucket every class is compared with the bucket's least class only; classes that this leaves apart,
-though they share a bucket, are compared in blocks afterwards, so no link between different texts is lost and
-no group is expanded into all its pairs.
+Documents with one and the same shingle set are one class from the start, so a hot group of exact copies is one row. What makes a class is a
+cryptographic digest of the full sorted set. Within a bucket every class is compared with the bucket's hub only. Classes that this leaves in different
+components, though they share a bucket, are joined on their rarest shingles: two sets that are alike enough must share one of a fifth of
+their shingles, taken in any one order, and in the order of frequency passages that many documents share come last. All of a pair's rarest shingles
+are looked at, so no link between different texts is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import chosen_rows, discard, materialize, mix, operator, sequence_hashes, sequence_sums, slabs, span_hashes, splittable, text_of, word_spans
 from .components import components
 
 #: 32 bands of 5: a pair at 0.8 is missed with probability 3e-6.
 BANDS, ROWS = 32, 5
 #: What the share of equal minima may fall short of the threshold before the exact check; five standard deviations.
 MARGIN = 0.16
-#: Classes in a block of the second comparison.
-BLOCK = 512
+#: Bits of a shingle's hash by which its frequency is counted, only to order shingles.
+COUNTED_BITS = 18
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,21 +64,32 @@ def _signatures(k: int):
                 items, at = shingle_sets(data, offs, k)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
-                total, folded = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 minima = np.zeros((hi - lo, BANDS * ROWS), np.uint16)
                 if len(some):
                     starts = at[:-1][some]
-                    total[some] = np.add.reduceat(mix(items + np.uint64(11)), starts)
-                    folded[some] = np.bitwise_xor.reduceat(mix(items ^ np.uint64(0x9E3779B97F4A7C15)), starts)
-                    total[some] += size[some].astype(np.uint64)
                     for j in range(BANDS * ROWS):
                         least = np.minimum.reduceat(items * _A[j] + _B[j], starts)
                         minima[some, j] = mix(least) >> np.uint64(48)
                 signs = pa.array([x.tobytes() for x in minima], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), signed(total), signed(folded), signs],
-                    ["ident", "key", "n_shingles", "total", "folded", "signature"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), _digests(items, at), signs], ["ident", "n_shingles", "digest", "signature"])
+
+    return run
+
+
+def _digests(items: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A digest of 128 bits for each full sorted set."""
+    return pa.array([blake2b(items[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def _sets(k: int):
+    """Rows (carried, text) to (carried, digest, items): the sorted set of shingles, and its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in slabs(batch.column(1), 1 << 19):
+                items, at = shingle_sets(data, offs, k)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _digests(items, at), lists], ["carried", "digest", "items"])
 
     return run
 
@@ -92,186 +106,171 @@ def _alike(threshold: float):
     return run
 
 
-def _confirm(k: int, percent: int):
+def _confirm(percent: int):
+    """Rows (u, v, full sets) that are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [{}, {}]
             good = np.zeros(batch.num_rows, bool)
-            for side, column in enumerate((2, 3)):
-                for lo, hi, data, offs in slabs(batch.column(column), 1 << 19):
-                    items, at = shingle_sets(data, offs, k)
-                    for i in range(hi - lo):
-                        sides[side][lo + i] = items[at[i] : at[i + 1]]
-            for i in range(batch.num_rows):
-                a, b = sides[0][i], sides[1][i]
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a, b = (x.values.to_numpy().view(np.uint64) for x in (a, b))
+                if len(a) and len(b):
+                    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                    shared = int((a[at] == b).sum())
+                    good[i] = 100 * shared >= percent * (len(a) + len(b) - shared) and shared > 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The candidate pairs (u, v) that pass first the signature check, then the exact one on the full sets."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (u, v) whose signatures agree well enough."""
     sign = classes.select("cls", "signature")
-    near = (
-        pairs.join(sign.select(F.col("cls").alias("u"), F.col("signature").alias("su")), "u")
-        .join(sign.select(F.col("cls").alias("v"), F.col("signature").alias("sv")), "v")
-        .select("u", "v", "su", "sv")
-        .mapInArrow(_alike(percent / 100), "u bigint, v bigint")
-    )
-    near = materialize(near)
-    wanted = near.select(F.col("u").alias("cls")).union(near.select(F.col("v").alias("cls"))).distinct()
-    texts = materialize(docs.join(classes.join(wanted, "cls").select("cls", F.col("place.key").alias("key")), "key").groupBy("cls").agg(F.first("text").alias("text")))
-    both = near.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("tv")), "v")
-    return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_confirm(k, percent), "u bigint, v bigint"))
-
-
-def _short_sets(k: int):
-    """Rows (cls, text) to the sets of their shingles' hashes, cut to 32 bits."""
+    both = pairs.join(sign.select(F.col("cls").alias("u"), F.col("signature").alias("su")), "u").join(sign.select(F.col("cls").alias("v"), F.col("signature").alias("sv")), "v")
+    return materialize(both.select("u", "v", "su", "sv").mapInArrow(_alike(percent / 100), "u bigint, v bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in slabs(batch.column(1), 1 << 19):
-                items, at = shingle_sets(data, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((items >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["cls", "items"])
 
-    return run
-
-
-def _blocks(threshold: float):
-    """For each class the best partner of each other component, within a block or between two, where one comes near the threshold.
-
-    Pairs whose signatures agree well enough are compared on their short sets; one pair a class and component leaves the task.
-    """
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, items) for the classes of wanted, made anew from the text of each class's first document. Texts are shuffled only if there are too many ids to be sent to all tasks."""
+    keys = materialize(classes.join(wanted, "cls").select("cls", "digest", "place.ident"))
+    texts = docs.join(keys.select(F.col("ident").alias("_wanted")).distinct(), F.col("ident").eqNullSafe(F.col("_wanted")), "left_semi")
+    made = texts.select(F.lit(True).alias("carried"), "text").mapInArrow(_sets(k), "carried boolean, digest binary, items array<bigint>")
+    return materialize(made.join(keys.select("digest", "cls"), "digest").groupBy("cls").agg(F.first("items").alias("items")))
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        column = lambda name: rows.column(name).chunk(0)
-        side, cls, comp = (column(n).to_numpy() for n in ("side", "cls", "comp"))
-        signs = np.frombuffer(b"".join(column("signature").to_pylist()), np.uint16).reshape(len(cls), -1)
-        ends, flat = column("items").offsets.to_numpy(), column("items").values.to_numpy()
-        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-        size = np.diff(ends)
-        a, b = np.flatnonzero(side >= 0), np.flatnonzero(side <= 0)
-        us, vs = [], []
-        for i in a:
-            other = b[(comp[b] != comp[i]) & (np.minimum(size[b], size[i]) >= (threshold - 0.01) * np.maximum(size[b], size[i]))]
-            other = other[(signs[other] == signs[i]).mean(1) >= threshold - MARGIN]
-            if not len(other):
-                continue
-            own = np.sort(sets[i])
-            items = np.concatenate([sets[j] for j in other])
-            at = np.minimum(np.searchsorted(own, items), len(own) - 1)
-            shared = np.add.reduceat((own[at] == items).astype(np.int64), np.cumsum(size[other]) - size[other])
-            like = shared / (size[other] + size[i] - shared)
-            for x in np.unique(comp[other]):
-                best = np.flatnonzero(comp[other] == x)
-                best = best[np.argmax(like[best])]
-                if like[best] >= threshold - 0.01:
-                    us.append(cls[i])
-                    vs.append(cls[other[best]])
-        us, vs = np.array(us, np.int64), np.array(vs, np.int64)
-        return pa.table({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
 
-    return run
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that pass the exact check on the full sets."""
+    both = near.join(sets.select(F.col("cls").alias("u"), F.col("items").alias("iu")), "u").join(sets.select(F.col("cls").alias("v"), F.col("items").alias("iv")), "v")
+    return materialize(both.select("u", "v", "iu", "iv").mapInArrow(_confirm(percent), "u bigint, v bigint"))
 
 
 def _hubs(bucketed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of buckets that two classes or more share, and each such bucket's hub: the class that shares most over all buckets.
 
     What a group of copies was made from shares more with each copy than copies do among themselves.
-    Aggregates go into joins as written tables: then a hot bucket's rows can be split.
     """
     sizes = materialize(bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = materialize(bucketed.join(sizes, "bucket"))
-    shares = materialize(buckets.groupBy("cls").agg(F.sum("n").alias("shares")))
-    hubs = materialize(buckets.join(shares, "cls").groupBy("bucket").agg(F.max(F.struct("shares", "cls")).alias("x")).select("bucket", F.col("x.cls").alias("hub")))
-    return buckets.select("bucket", "cls"), hubs
+    discard(sizes)
+    shares = splittable(buckets.groupBy("cls").agg(F.sum("n").alias("shares")), buckets)
+    hubs = buckets.join(shares, "cls").groupBy("bucket").agg(F.max(F.struct("shares", "cls")).alias("x")).select("bucket", F.col("x.cls").alias("hub"))
+    return buckets, splittable(hubs, buckets)
 
 
-def _parts(n: str):
-    return F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNTED_BITS, np.int64)
+    for batch in batches:
+        items = batch.column(0).flatten().to_numpy().view(np.uint64)
+        total += np.bincount((items >> np.uint64(64 - COUNTED_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
 
-def _part_of(n: str):
-    return F.pmod(F.xxhash64("cls", "key"), _parts(n)).cast("int")
+def _rarest(counts, percent: int):
+    """Rows (cls, comp, items) to one row for each shingle among the rarest, of which two sets that are alike enough share one: (item, cls, comp, size)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                items = batch.column(2)[i].values.to_numpy().view(np.uint64)
+                many = len(items) - -(-percent * len(items) // 100) + 1
+                order = np.lexsort((items, often[(items >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)]))[:many]
+                own = [pa.array(np.full(many, batch.column(j)[i].as_py())) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(items[order].view(np.int64)), *own, pa.array(np.full(many, len(items)))], ["item", "cls", "comp", "size"])
 
-def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Candidate pairs (u, v) of classes that share a bucket, though the hubs left them in different components.
+    return run
 
-    In each bucket the component with most rows is the major one. Classes of others are compared with all of the major component, once however
-    many buckets they share, and with each other within the bucket; both in pairs of blocks.
-    """
-    label = materialize(classes.select("cls").join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("comp")))
-    member = materialize(buckets.join(label, "cls"))
-    per = member.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
-    major = materialize(per.where("comps > 1 AND n > 2").select("bucket", F.col("x.comp").alias("major")))
-    apart = materialize(member.join(major, "bucket").where("comp <> major").select("bucket", "cls", "comp", "major"))
-    discard(member)
-    among = materialize(apart.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n"))
-    within = apart.join(among, "bucket").select("cls", "comp", F.col("bucket").alias("key"), "n").withColumn("own", _part_of("n")).withColumn("other", F.explode(F.sequence(F.lit(0), _parts("n") - 1)))
-    side = F.signum(F.col("own") - F.col("other")).cast("int")
-    within = within.select(F.lit(0).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cls", "comp")
-    outer = materialize(apart.select("cls", "comp", F.col("major").alias("key")).distinct())
-    inner = label.select("cls", "comp", F.col("comp").alias("key")).join(outer.select("key").distinct(), "key", "left_semi")
-    sizes = inner.groupBy("key").agg(F.count("*").alias("m")).join(outer.groupBy("key").agg(F.count("*").alias("n")), "key")
-    sizes = materialize(sizes)
-    shape = lambda one, side, i, j: one.join(sizes, "key").select(F.lit(1).alias("kind"), "key", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "cls", "comp")
-    every = lambda n: F.explode(F.sequence(F.lit(0), _parts(n) - 1))
-    rows = materialize(within.union(shape(inner, -1, _part_of("m"), every("n"))).union(shape(outer, 1, every("m"), _part_of("n"))))
-    wanted = classes.join(rows.select("cls").distinct(), "cls").select("cls", "signature", F.col("place.key").alias("key"))
-    texts = docs.join(wanted.select("cls", "key"), "key").select("cls", "text").mapInArrow(_short_sets(k), "cls bigint, items array<int>").dropDuplicates(["cls"])
-    load = materialize(texts.join(wanted, "cls").select("cls", "signature", "items"))
-    return rows.join(load, "cls").groupBy("kind", "key", "i", "j").applyInArrow(_blocks(threshold), "u bigint, v bigint").distinct()
 
+def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, comp) of the classes in buckets of three or more whose hub left them in different components."""
+    label = splittable(classes.select("cls").join(found, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("comp")), buckets)
+    member = splittable(buckets.where("n > 2").join(label, "cls").select("bucket", "cls", "comp"), buckets)
+    mixed = splittable(member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), buckets)
+    return materialize(member.join(mixed, "bucket").select("cls", "comp").distinct())
 
-def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs (ident, text, key): its rows (ident, key, n_shingles, cls), and for each class (cls, least: the component's first place)."""
-    signed_docs = docs.select("ident", "text", "key").mapInArrow(_signatures(k), "ident bigint, key bigint, n_shingles bigint, total bigint, folded bigint, signature binary")
-    rows = materialize(signed_docs.withColumn("cls", F.xxhash64("n_shingles", "total", "folded")))
-    place = F.struct(F.col("ident").isNull().alias("none"), F.col("ident").alias("ident"), F.col("key").alias("key"))
-    classes = materialize(rows.where("n_shingles > 0").groupBy("cls").agg(F.min(place).alias("place"), F.first("signature").alias("signature")))
-    bands = F.posexplode(F.array(*[F.substring("signature", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "part")
-    bucketed = classes.select("cls", bands).select("cls", F.xxhash64("band", "part").alias("bucket"))
-    buckets, hubs = _hubs(bucketed)
-    star = materialize(buckets.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct())
-    found = components(_confirmed(star, classes, docs, k, percent))
-    rest = materialize(_left_apart(buckets, found, classes, docs, k, percent / 100))
-    if rest.take(1):
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_confirmed(rest, classes, docs, k, percent)))
-    rooted = materialize(classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "place", F.coalesce("root", "cls").alias("root")))
-    least = materialize(rooted.groupBy("root").agg(F.min("place").alias("least")))
-    return rows.select("ident", "key", "n_shingles", "cls"), rooted.join(least, "root").select("cls", "least")
 
+def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) of different components that share one of their rarest shingles and are of like size.
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return bound_batches(docs).select(F.col(id_column).cast("bigint").alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+    Of the rows of a shingle those of its largest component meet only the others', which are few where the hubs did their work.
+    """
+    spark = apart.sparkSession
+    counts = np.zeros(1 << COUNTED_BITS, np.int64)
+    got = sets.select("items").mapInArrow(_frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    rare = apart.join(sets, "cls").select("cls", "comp", "items").mapInArrow(_rarest(spark.sparkContext.broadcast(counts), percent), "item bigint, cls bigint, comp bigint, size bigint")
+    rare = materialize(rare)
+    per = rare.groupBy("item", "comp").agg(F.count("*").alias("n")).groupBy("item").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
+    mixed = splittable(per.where("comps > 1").select("item", F.col("x.comp").alias("major")), rare)
+    rows = splittable(rare.join(mixed, "item"), rare)
+    one = rows.where("comp <> major").select("item", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
+    both = one.join(rows, "item").where(f"ca <> comp AND 100 * least(sa, size) >= {percent} * greatest(sa, size)")
+    return both.select(F.least("a", "cls").alias("u"), F.greatest("a", "cls").alias("v")).distinct()
 
 
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (ident, text): its rows (ident, n_shingles, digest), and for each class (digest, least: the component's first place)."""
+    kind = docs.schema["ident"].dataType.simpleString()
+    rows = materialize(docs.select("ident", "text").mapInArrow(_signatures(k), f"ident {kind}, n_shingles bigint, digest binary, signature binary"))
+    place = F.struct(F.col("ident").isNull().alias("none"), F.col("ident").alias("ident"), F.col("digest").alias("digest"))
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(place).alias("place"), F.first("signature").alias("signature"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
+    bands = F.posexplode(F.array(*[F.substring("signature", 2 * ROWS * i + 1, 2 * ROWS) for i in range(BANDS)])).alias("band", "part")
+    buckets, hubs = _hubs(classes.select("cls", bands).select("cls", F.xxhash64("band", "part").alias("bucket")))
+    star = buckets.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct()
+    near = _near(star, classes, percent)
+    sets = _full_sets(near.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), classes, docs, k)
+    found = components(_linked(near, sets, percent))
+    discard(sets)
+    apart = _left_apart(buckets, found, classes)
+    discard(buckets)
+    if apart.take(1):
+        sets = _full_sets(apart.select("cls"), classes, docs, k)
+        more = _linked(_near(_rare_pairs(apart, sets, percent), classes, percent), sets, percent)
+        if more.take(1):
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    rooted = splittable(classes.join(found, F.col("cls") == F.col("node"), "left").select("digest", "place", F.coalesce("root", "cls").alias("root")), classes)
+    least = splittable(rooted.groupBy("root").agg(F.min("place").alias("least")), classes)
+    return rows.select("ident", "n_shingles", "digest"), rooted.join(least, "root").select("digest", "least")
+
+
+def _plain(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"))
+
+
+@operator
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: its id, n_shingles, component_id, kept.
 
     Links join documents with 100 * intersection >= percent * union of their sets of distinct shingles of k words
-    (lower case for A-Z). component_id is the least id reachable, null ids apart; kept: it is the document's own.
-    Without words or text a document links with nothing, and is its own component. A null id is never a component's
+    (lower case for A-Z), whole texts of any length. component_id is the least id reachable (ids of any type that has an order), null ids apart; kept: it is
+    the document's own. Without words or text a document links with nothing, and is its own component. A null id is never a component's
     id: such a document has its group's, or null and kept if there is none. Rows that repeat an id and text share one
     result each. Empty tables give empty results; other columns are not looked at.
     """
-    rows, labels = _grouped(_keyed(docs, id_column, text_column), k, percent)
-    out = rows.join(labels, "cls", "left").select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least.ident")).otherwise(F.col("ident")).alias("component_id"))
+    rows, labels = _grouped(_plain(docs, id_column, text_column), k, percent)
+    out = rows.join(labels, "digest", "left").select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least.ident")).otherwise(F.col("ident")).alias("component_id"))
     return out.select(F.col("ident").alias(id_column), "n_shingles", "component_id", F.col("ident").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@operator
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, columns as they are, with one row of each group of near copies: the first by id, null ids last.
 
-    Documents without words stay, each row of them. Of rows that repeat an id and a text, one stays.
+    Documents without words stay, each row of them. Of rows that repeat an id and a set of shingles, one stays. Else as near_duplicates().
     """
-    rows, labels = _grouped(_keyed(docs, id_column, text_column), k, percent)
-    firsts = labels.select(F.col("least.key").alias("_key")).distinct().withColumn("_one", F.lit(True))
-    empty = rows.where("n_shingles = 0").select(F.col("key").alias("_key")).distinct().withColumn("_one", F.lit(False))
-    kept = materialize(firsts.union(empty))
-    chosen = docs.select(F.struct("*").alias("_row"), row_key(id_column, text_column).alias("_key")).join(kept, "_key")
-    return chosen.withColumn("_n", F.when(F.col("_one"), F.lit(0)).otherwise(F.monotonically_increasing_id())).groupBy("_key", "_n").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows, labels = _grouped(_plain(docs, id_column, text_column), k, percent)
+    first = F.col("ident").eqNullSafe(F.col("least.ident")) & (F.col("digest") == F.col("least.digest"))
+    judged = materialize(rows.join(labels, "digest", "left").select("ident", "digest", "n_shingles", ((F.col("n_shingles") == 0) | first).alias("keep")))
+
+    def pick(odd: DataFrame) -> DataFrame:
+        kind = odd.schema["_row"].dataType
+        shape = T.StructType([T.StructField("carried", T.StructType([T.StructField("_row", kind), T.StructField("_ident", odd.schema["_ident"].dataType)])), T.StructField("digest", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))])
+        made = odd.select(F.struct("_row", "_ident").alias("carried"), text_of(f"_row.{text_column}").alias("text")).mapInArrow(_sets(k), shape)
+        kept = judged.where("keep").select(F.col("ident").alias("i"), F.col("digest").alias("d")).distinct()
+        found = made.join(kept, F.col("carried._ident").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
+        empty = found.where(F.size("items") == 0).select("carried._row")
+        return empty.union(found.where(F.size("items") > 0).groupBy("i", "d").agg(F.first("carried._row").alias("_row")).select("_row"))
+
+    return chosen_rows(docs, id_column, judged.select("ident", "keep"), pick)

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CLASS, materialize, text_of
+from .common import SPACE_CLASS, materialize, operator, text_of
 
-_LEAST = -(2**63)
 #: Sources up to which their table is broadcast; beyond it joins shuffle.
 BROADCAST_SOURCES = 20_000
 #: Bits of a draw, and of each of the two ranges that narrow its cut.
@@ -50,7 +49,7 @@ def draw(ident: Column, seed: int) -> Column:
 
 _PLAN = T.StructType(
     [T.StructField("_none", T.BooleanType()), T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]
-    + [T.StructField(n, T.LongType()) for n in ("_whole", "_cut", "_cut_id")]
+    + [T.StructField("_whole", T.LongType()), T.StructField("_cut", T.LongType()), T.StructField("_cut_id", T.StringType())]
 )
 
 
@@ -58,7 +57,7 @@ def _keyed(docs: DataFrame, id_column: str, source_column: str, text_column: str
     source = F.col(source_column).cast("string")
     return docs.select(
         F.struct("*").alias("_row"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_source"), word_count(text_column).alias("size"),
-        draw(F.col(id_column), seed).alias("_draw"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LEAST)).alias("_id"),
+        draw(F.col(id_column), seed).alias("_draw"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"),
     )
 
 
@@ -92,7 +91,7 @@ def plan_mix(rows: DataFrame, epochs: float, weights: Callable[[int], Sequence[f
         shift = _BITS - level * _RANGE
         for k, (at, start) in _cut_range(rows, narrowed(), shift).items():
             low[k], high[k], before[k] = at << shift, ((at + 1) << shift) - 1, start
-    cut = {k: (low[k] - 1, _LEAST) for k in whole}
+    cut = {k: (low[k] - 1, "") for k in whole}
     if totals:
         last = rows.join(narrowed(), key).where((F.col("_draw") >= F.col("_low")) & (F.col("_draw") <= F.col("_high")))
         last = last.groupBy(*key, "_draw", "_id", "_before", "_part").agg(F.sum("size").alias("size"))
@@ -107,12 +106,14 @@ def _repeats() -> Column:
     return F.col("_whole") + F.when(extra, 1).otherwise(0)
 
 
+@operator
 def mix_counts(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", epochs: float = 3, weights: Callable[[int], Sequence[float]] = repeating, seed: int = 7) -> DataFrame:
     """One row a document: its id, size (words; null text: 0), source_size, target (its source's), taken (words, repeats counted).
 
     weights gives a weight for each source by its place in code-point order, null last. Each document is taken whole times or
     once more, so never above epochs times its size, as long as epochs is whole; a source's taken words miss its target by half a document at most.
-    Rows that repeat an id have the same draw and go together, as one document. A null id draws as the empty text. A source
+    Rows that repeat an id have the same draw and go together, as one document. Ids may be of any type; a null id draws as the empty text. Texts of any
+    length are counted whole. A source
     without words has the target 0. An empty table gives an empty result; other columns are not looked at.
     """
     rows = _keyed(docs.select(id_column, source_column, text_column), id_column, source_column, text_column, seed)
@@ -122,8 +123,12 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     return out.select(F.col("_ident").alias(id_column), "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"))
 
 
+@operator
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", epochs: float = 3, weights: Callable[[int], Sequence[float]] = repeating, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as mix_counts() takes it, columns as they are."""
+    """The rows of docs, each as often as mix_counts() takes it, columns as they are, extra ones of any name too; repeated rows each so often.
+
+    Nulls, ids, long texts, ties and empty tables as in mix_counts().
+    """
     sized = materialize(_keyed(docs.select(id_column, source_column, text_column), id_column, source_column, text_column, seed).drop("_row"))
     plan = _source_table(docs.sparkSession, plan_mix(sized, epochs, weights), _PLAN)
     rows = _keyed(docs, id_column, source_column, text_column, seed).join(plan, ["_none", "_source"])

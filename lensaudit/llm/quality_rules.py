@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, labelled_sample, slabs, span_hashes, text_of, word_spans
+from .common import labelled_sample, operator, slabs, span_hashes, text_of, word_spans
 
 #: Sampled labelled documents; trees, their depth, and the rows each is grown on.
 SAMPLE, TREES, DEPTH, TREE_ROWS = 20_000, 30, 3, 4000
@@ -75,7 +75,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(rows: DataFrame) -> DataFrame:
     """Of (ident, text): (ident, statistics)."""
-    kind = bound_batches(rows).schema["ident"].dataType.simpleString()
+    kind = rows.schema["ident"].dataType.simpleString()
     return rows.select("ident", "text").mapInArrow(_measured, f"ident {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
@@ -168,6 +168,7 @@ def train_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4, seed: int =
     return RuleModel([(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6], bias)
 
 
+@operator
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "quality") -> RuleModel:
     sample = labelled_sample(docs, labels, label, SAMPLE, learn, id_column, text_column)
     got = measure(sample.select(F.col("label").alias("ident"), "text"))
@@ -175,6 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: st
     return train_rules(table[list(STATISTICS)].to_numpy(), table["ident"].to_numpy(dtype=float))
 
 
+@operator
 def score_quality(docs: DataFrame, model: RuleModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) for each row, 0 to 1; null texts count as empty. Repeated rows and null ids are kept, empty tables give empty results."""
     stats = measure(docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches, bucket_of
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,7 +22,6 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brown_lm import brown_scores
-    from .common import bucket_of
 
     return brown_scores(table(spark, sf_dir, "documents"), bucket_of("doc_id", 5) == 1)
 
@@ -51,7 +52,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import bucket_of
     from .quality_rules import fit_quality, score_quality
 
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) == 0
@@ -67,7 +67,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import bucket_of
     from .language_id import fit_languages, predict_languages
 
     docs, held_out = table(spark, sf_dir, "documents"), bucket_of("doc_id", 3) == 1
@@ -76,7 +75,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import bucket_of
     from .toxicity import fit_toxicity, score_toxicity
 
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) == 0
@@ -114,9 +112,9 @@ def oracle_sql() -> dict[str, str]:
                   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)),
             l AS (SELECT arg_min((total - clamped) / rest, k) AS level FROM c WHERE (total - clamped) / rest <= ratio),
             t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * level) AS target FROM c, l),
-            p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) AS ends
+            p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) AS ends, sum(d.size) OVER (PARTITION BY d.source, draw, doc_id) AS together
                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-            SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * ends - size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+            SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * ends - together < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
         "op3_exact_dedup": rf"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

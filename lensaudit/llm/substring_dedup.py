@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aranges, bound_batches, discard, materialize, mix, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
+from .common import aranges, discard, materialize, mix, operator, row_key, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 
 #: Words of an anchor; any window of `window` words has window - ANCHOR + 1 of them.
 ANCHOR = 10
@@ -146,6 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     return out
 
 
+@operator
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35) -> DataFrame:
     """One row a document: its id, n_words, n_removed, kept_text.
 
@@ -154,7 +155,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     two places each, so their windows all go. kept_text has the other words, joined by one space. An empty table gives an
     empty result; other columns are not looked at.
     """
-    rows = bound_batches(docs).select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+    rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
     spans = repeated_spans(rows.select("key", "text"), window)
     id_type = docs.schema[id_column].dataType.simpleString()
     out = rows.join(spans, "key", "left").select("ident", "text", "spans").mapInArrow(_cut(window), f"ident {id_type}, n_words bigint, n_removed bigint, kept_text string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, labelled_sample, slabs, span_hashes, text_of, word_spans
+from .common import labelled_sample, operator, slabs, span_hashes, text_of, word_spans
 
 #: Bits of a feature's number; features that the classifier weighs; lengths in bytes of word beginnings that are features.
 BITS, WEIGHED, BEGINNINGS = 20, 4096, (4, 5, 6, 7)
@@ -107,11 +107,12 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return PuModel(weights, float(b))
 
 
+@operator
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> PuModel:
     """From confirmed toxic documents and unlabelled text, with the share of toxic labels as the class prior; learn: usable ids, for labels and text."""
     share = labels.where(learn & F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     toxic = labelled_sample(docs, labels.where(F.col(label) == 1), label, POSITIVES, learn, id_column, text_column)
-    n = bound_batches(docs).where(learn).count()
+    n = docs.where(learn).count()
     drawn = docs.where(learn).where(F.pmod(F.xxhash64(id_column, text_column), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(n, 1))))
     gather = lambda rows: [x.values.to_numpy() for x in rows.mapInArrow(_lists, "features array<int>").toArrow().column(0)]
     return train_pu(gather(toxic.select("text")), gather(drawn.select(text_of(text_column).alias("text"))), float(share or 0.0))
@@ -128,8 +129,9 @@ def _score(shared):
     return run
 
 
+@operator
 def score_toxicity(docs: DataFrame, model: PuModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) for each row, 0 to 1; a null or empty text has the bias alone. Repeated rows and null ids are kept, empty tables give empty results."""
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = bound_batches(docs).select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"))
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"ident {kind}, score double").withColumnRenamed("ident", id_column)

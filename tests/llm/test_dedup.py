@@ -5,9 +5,11 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lensaudit.llm import exact_dedup as exact_module
 from lensaudit.llm import minhash_dedup
 from lensaudit.llm.components import components
 from lensaudit.llm.embedding_dedup import near_vectors
@@ -150,13 +152,68 @@ def chain_rows(n=60):
     return rows
 
 
-def test_classes_that_hubs_leave_apart_are_found(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+def test_classes_that_hubs_leave_apart_are_found(spark):
     rows = chain_rows()
     got = [tuple(r) for r in near_duplicates(frame(spark, rows), k=4).collect()]
     assert sorted(got) == sorted(plain_groups(rows, 4))
 
 
+def test_near_tied_partners_and_shared_passages(spark):
+    """Sets around the threshold that share a long passage: each pair has many near-tied partners, of which only some are linked."""
+    rng, passage = np.random.default_rng(5), [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"d{i % 30}x{j}" for j in range(14)]
+        for _ in range(i % 3):
+            own[int(rng.integers(14))] = f"e{i}"
+        rows.append((i, " ".join(passage + own if i % 2 else own + passage), "en", "s"))
+    got = [tuple(r) for r in near_duplicates(frame(spark, rows), k=4).collect()]
+    assert sorted(got) == sorted(plain_groups(rows, 4))
+
+
+def test_rarest_shingles_bring_every_linked_pair_together():
+    """The lossless part of the second search: two sets of 80 % or more share one of their rarest shingles, whatever the counts say."""
+    rng = np.random.default_rng(7)
+    counts = type("Shared", (), {"value": rng.integers(0, 5, 1 << minhash_dedup.COUNTED_BITS)})
+    for n in (1, 2, 5, 9, 40, 333):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for gone in range(n):
+            other = np.sort(np.concatenate((base[gone:], rng.integers(0, 2**63, gone // 2, dtype=np.uint64))))
+            shared, union = n - gone, n + gone // 2
+            sets = pa.array([base.view(np.int64), other.view(np.int64)], pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), sets], ["cls", "comp", "items"])
+            rows = [b.to_pydict() for b in minhash_dedup._rarest(counts, 80)(iter([batch]))]
+            assert 100 * shared < 80 * union or set(rows[0]["item"]) & set(rows[1]["item"])
+
+
+def test_sets_of_one_digest_only_are_one_class(spark, monkeypatch):
+    """Sums and exclusive ors of shingles can agree by chance; the digest takes in the whole sorted set, and ids may be of any type."""
+    items = np.array([1, 2, 3, 1, 2, 4, 5, 6], np.uint64)
+    a, b, c = minhash_dedup._digests(items, np.array([0, 3, 6, 8])).to_pylist()
+    assert len({a, b, c}) == 3 and all(len(x) == 16 for x in (a, b, c))
+    df = spark.createDataFrame([("b", "one two three four five"), ("a", "One two three four FIVE"), (None, "one two three four five"), ("c", None)], "doc_id string, text string")
+    assert sorted(map(tuple, near_duplicates(df, k=4).collect()), key=repr) == [("a", 2, "a", True), ("b", 2, "a", False), ("c", 0, "c", True), (None, 2, "a", False)]
+    assert sorted(r["keep_id"] for r in exact_dedup(df).collect()) == ["a", "b", "b", "c"]
+    assert {r["doc_id"] for r in drop_copies(df).collect()} == {"a", "b", "c"} and {r["doc_id"] for r in drop_near_copies(df, k=4).collect()} == {"a", "c"}
+
+
+def test_indexes_are_handed_on_when_full(spark, monkeypatch):
+    monkeypatch.setattr(exact_module, "SHARD_KEYS", 10)
+    rows = [(i, f"text {i % 40}", "", "") for i in range(200)]
+    out = exact_dedup(frame(spark, rows)).collect()
+    assert all(r["group_size"] == 5 and r["keep_id"] == r["doc_id"] % 40 for r in out) and len(out) == 200
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) * 32 for i in range(25)]), pa.array(range(25)), pa.array([1] * 25)], ["digest", "ident", "copies"])
+    parts = list(exact_module._index(False)(iter([batch.slice(0, 12), batch.slice(12)])))
+    assert [p.num_rows for p in parts] == [12, 13]
+
+
+def test_dropping_copies_doesnt_depend_on_the_layout(spark):
+    rows = [(i % 50, f"text {i % 20}", "en", "s") for i in range(300)]
+    docs = frame(spark, rows)
+    for laid in (docs, docs.repartition(7), docs.orderBy(F.rand(3))):
+        assert sorted((r["doc_id"], r["text"]) for r in drop_copies(laid).collect()) == sorted((i % 10, f"text {i}") for i in range(20))
+
+
 def test_drop_near_copies_keeps_one_of_each_group(spark):
     rows = [r for r in odd_rows()] + chain_rows(12)
     docs = frame(spark, rows)

@@ -1,14 +1,16 @@
 """Byte-level BPE by dynamic programming over prefixes, and decoding.
 
-For each prefix of a pre-token exactly one token can come last in its encoding. Candidates are the tokens that end there,
-found by walking an automaton of reversed tokens back from the end; a candidate is right if it is compatible with the
-last token of the prefix before it, that is, if the two, side by side, encode to themselves. Back-pointers give the ids.
+For each prefix of a pre-token exactly one token can come last in its encoding. A suffix automaton over the tokens reads a pre-token once: its state is
+the longest suffix of the prefix that begins a token, suffix links lead to shorter ones, and dictionary links from token to token among these. A token that
+ends a prefix is right if it is compatible with the last token of the prefix before it, that is, if the two, side by side, encode to themselves.
+Back-pointers give the ids.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,11 @@ from .common import operator, text_of
 
 #: Fixed by the tokenizer: how byte-level BPE splits text before merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Encodings of pre-tokens that a worker keeps: at most twice so many, the older half goes first.
-CACHED = 300_000
+#: Encodings that a worker keeps, of pre-tokens and of words: at most twice so many, the older half goes first.
+CACHED = 150_000
+#: Pairs of tokens whose compatibility a worker keeps.
+PAIRS = 500_000
 _NEVER = 1 << 60
-_NOTHING: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,8 +62,10 @@ class Bpe:
         self._split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._pre_tokens = regex.compile(PRE_TOKENS).findall
         self._fits: dict[int, bool] = {}
-        self._automaton = self._reversed_tokens(set(ids.values()) - set(self.special.values()))
-        self.cache = _Cache(self._encode_piece)
+        self._build(self._reachable(set(ids.values()) - set(self.special.values())))
+        self._piece = _Cache(self._encode_piece)
+        self._first = _Cache(self._encode_span)
+        self._later = _Cache(lambda word: self._encode_span(" " + word))
 
     def _stable(self, a: int, b: int, until: int) -> bool:
         """No merge joins a and b across their border before the time `until`.
@@ -85,85 +90,143 @@ class Bpe:
         key = a << 20 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= CACHED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._stable(a, b, _NEVER)
         return known
 
-    def _reversed_tokens(self, ids: set[int]) -> dict:
-        """Automaton that reads a text backwards: node -> byte -> node, and at 256 the token that begins there; a node without more bytes is the token itself.
-
-        Tokens whose own bytes encode to something else can't come up and are left out.
-        """
+    def _reachable(self, ids: set[int]) -> list[int]:
+        """Tokens that can come up; the own bytes of the others encode to something else."""
         good: dict[int, bool] = {}
         for i in sorted(ids, key=lambda i: self.born[i]):
             a, b = self.left[i], self.right[i]
             good[i] = (len(self.bytes[i]) == 1) if a < 0 else good[a] and good[b] and self._stable(a, b, self.born[i])
-        root: dict = {}
-        for i in ids:
-            if good[i]:
-                node, token = root, self.bytes[i]
-                for byte in token[:0:-1]:
-                    step = node.setdefault(byte, {})
-                    if step.__class__ is int:
-                        step = node[byte] = {256: step}
-                    node = step
-                step = node.get(token[0])
-                if step is None:
-                    node[token[0]] = i
-                else:
-                    step[256] = i
-        return root
-
-    def _encode_piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        n = len(data)
-        last, lengths = [-1] * (n + 1), [0] * (n + 1)
-        root, compatible = self._automaton, self.compatible
-        for end in range(1, n + 1):
-            node, at = root, end
+        return [i for i in ids if good[i]]
+
+    def _build(self, tokens: list[int]) -> None:
+        """The suffix automaton: steps (state, byte) -> state, suffix links, the token that a state is, and dictionary links to the longest token among a state's suffixes."""
+        steps: dict[int, int] = {}
+        above, byte_in, depth, token_of = [0], [0], [0], [-1]
+        for i in tokens:
+            state = 0
+            for byte in self.bytes[i]:
+                after = steps.get(state << 8 | byte)
+                if after is None:
+                    after = steps[state << 8 | byte] = len(above)
+                    above.append(state)
+                    byte_in.append(byte)
+                    depth.append(depth[state] + 1)
+                    token_of.append(-1)
+                state = after
+            token_of[state] = i
+        suffix, shorter = [0] * len(above), [0] * len(above)
+        for state in sorted(range(1, len(above)), key=depth.__getitem__):
+            at, byte = above[state], byte_in[state]
             while at:
-                step = node.get(data[at - 1])
-                if step is None:
+                at = suffix[at]
+                if (at << 8 | byte) in steps:
+                    suffix[state] = steps[at << 8 | byte]
                     break
-                at -= 1
-                if step.__class__ is int:
-                    node, token = _NOTHING, step
-                else:
-                    node, token = step, step.get(256, -1)
-                if token >= 0 and (not at or (last[at] >= 0 and compatible(last[at], token))):
-                    last[end], lengths[end] = token, end - at
+            to = suffix[state]
+            shorter[state] = to if token_of[to] >= 0 else shorter[to]
+        self._steps, self._suffix, self._shorter, self._depth, self._token = steps, suffix, shorter, depth, token_of
+        self._match = [state if token >= 0 else shorter[state] for state, token in enumerate(token_of)]
+
+    def _fall(self, state: int, byte: int) -> int:
+        """The step from a state that has none of its own: that of its longest suffix that has one."""
+        while state:
+            state = self._suffix[state]
+            after = self._steps.get(state << 8 | byte)
+            if after is not None:
+                return after
+        return 0
+
+    def _encode_piece(self, piece: str) -> tuple[bytes, bytes]:
+        data = piece.encode()
+        step, fall, longest, shorter, depth, token_of, fits, compatible = self._steps.get, self._fall, self._match, self._shorter, self._depth, self._token, self._fits.get, self.compatible
+        last, back = [-1], [0]  # of each prefix: its last token, and the prefix before that
+        state = end = 0
+        for byte in data:
+            end += 1
+            after = step(state << 8 | byte)
+            state = fall(state, byte) if after is None else after
+            match, found, at = longest[state], -1, 0
+            while match:
+                token, at = token_of[match], end - depth[match]
+                if not at:
+                    found = token
+                    break
+                known = fits(last[at] << 20 | token)
+                if known or (known is None and last[at] >= 0 and compatible(last[at], token)):
+                    found = token
                     break
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at -= lengths[at]
-        return np.array(ids[::-1], "<u4").tobytes()
+                match = shorter[match]
+            last.append(found)
+            back.append(at)
+        ids = []
+        while end:
+            ids.append(last[end])
+            end = back[end]
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids))
+
+    def _encode_span(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a text that begins and ends where pre-tokens do."""
+        if not text:
+            return b"", b""
+        ids, decoded = zip(*map(self._piece.__getitem__, self._pre_tokens(text)), strict=True)
+        return b"".join(ids), b"".join(decoded)
+
+    def _encode_plain(self, text: str) -> tuple[bytes, bytes]:
+        """Without special tokens. A lone space between words always begins a pre-token, and one or two line ends between lines are one each; so words are looked up one by one."""
+        lines = text.split("\n")
+        if not lines[-1] or "\n\n\n" in text or any(line and " ".join(line.split()) != line for line in lines):
+            return self._encode_span(text)
+        found = []
+        for line in lines:
+            if line:
+                first, *later = line.split(" ")
+                found.append(self._first[first])
+                found += map(self._later.__getitem__, later)
+            found.append(self._first["\n"])
+        found.pop()
+        ids, decoded = zip(*found, strict=True)
+        return b"".join(ids), b"".join(decoded)
+
+    def _bytes_of(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def encode_decode(self, text: str) -> tuple[bytes, str]:
+        """The ids as little-endian unsigned 32-bit integers, special tokens in the text recognised; and the text that the ids' bytes give."""
+        parts = self._split_special.split(text) if self._split_special else [text]
+        if len(parts) == 1:
+            ids, decoded = self._encode_plain(text)
+        else:
+            special = lambda x: (i := np.array([self.special[x]], "<u4").tobytes(), self._bytes_of(i))
+            ids, decoded = (b"".join(x) for x in zip(*(special(x) if i % 2 else self._encode_plain(x) for i, x in enumerate(parts)), strict=True))
+        return ids, decoded.decode("utf-8", "replace")
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; special tokens in the text are recognised."""
-        get = self.cache.__getitem__
-        if not self._split_special:
-            return b"".join(map(get, self._pre_tokens(text)))
-        parts = self._split_special.split(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if i % 2 else b"".join(map(get, self._pre_tokens(x))) for i, x in enumerate(parts))
+        return self.encode_decode(text)[0]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self._bytes_of(ids).decode("utf-8", "replace")
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    """What make returns for short texts; a dictionary, so that a hit costs no Python call."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, bytes]]):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece) or self.make(piece)
-        if len(piece) <= 64:
+    def __missing__(self, text: str) -> tuple[bytes, bytes]:
+        found = self.older.get(text) or self.make(text)
+        if len(text) <= 64:
             if len(self) >= CACHED:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = found
+            self[text] = found
         return found
 
 
@@ -194,7 +257,7 @@ def _run(vocabulary, work, limit: int = 4 << 20):
 
 
 def _encoded(vocabulary):
-    rows = _run(vocabulary, lambda bpe, text: (ids := bpe.encode(text), bpe.decode(ids)))
+    rows = _run(vocabulary, lambda bpe, text: bpe.encode_decode(text))
 
     def run(batches):
         for idents, held in rows(batches):
@@ -223,8 +286,8 @@ def _vocabulary(df: DataFrame, path: str):
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document: its id, ids (binary: little-endian unsigned 32-bit integers), n_tokens, decoded (the text the ids give).
 
-    Null texts count as empty and have no ids. Rows are independent of each other: repeated rows and null ids are kept as they
-    are, an empty table gives an empty result, other columns are not looked at.
+    Null texts count as empty and have no ids; texts of any length are encoded whole, one row of them at a time. Rows are independent of each other:
+    repeated rows and null ids are kept as they are, an empty table gives an empty result, other columns are not looked at.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     out = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")).mapInArrow(_encoded(_vocabulary(docs, path)), f"ident {kind}, ids binary, decoded string")

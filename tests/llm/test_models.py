@@ -239,3 +239,25 @@ def test_queries_give_digests(spark, sf_dir):
     got = {r["doc_id"]: r for r in registry.op5_bpe(spark, sf_dir).collect()}
     for r in registry.table(spark, sf_dir, "documents").limit(20).collect():
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_automaton_reads_each_piece_once_and_finds_all_tokens():
+    """States, suffix links and dictionary links against all tokens that end a prefix."""
+    import random
+
+    with open(registry.byte_vocabulary(), "rb") as f:
+        bpe = Bpe(f.read())
+    rng, tokens = random.Random(3), {bpe.bytes[i]: i for i in bpe._token if i >= 0}
+    assert len(tokens) > 40_000 and len(bpe._suffix) == len(bpe._depth) == 1 + len(bpe._steps)
+    for _ in range(200):
+        data = b"".join(rng.choice([b" the", b"ing", b"abab", "é".encode(), b"zq", b"  ", b"tion", b"0"]) for _ in range(5))
+        state = 0
+        for end in range(1, len(data) + 1):
+            while (after := bpe._steps.get(state << 8 | data[end - 1])) is None and state:
+                state = bpe._suffix[state]
+            state = after or 0
+            match, found = (state if bpe._token[state] >= 0 else bpe._shorter[state]), []
+            while match:
+                found.append(bpe._token[match])
+                match = bpe._shorter[match]
+            assert found == [tokens[data[i:end]] for i in range(end) if data[i:end] in tokens]

@@ -236,6 +236,9 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch):
     from lensaudit.llm import embedding_dedup
 
     monkeypatch.setattr(embedding_dedup, "LEAF", 40)
+    monkeypatch.setattr(embedding_dedup, "BIG", 100)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 70)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((60, 32))
@@ -265,6 +268,31 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width, size, leaf", [(64, 60_000, 128), (256, 20_000, 40)])
+def test_recall_of_deep_trees(width, size, leaf):
+    """Pairs at a cosine of 0.95 to 0.96 among many other vectors, in trees of some eight levels and more."""
+    from lensaudit.llm import embedding_dedup as module
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((size, width)) + 0.8 * rng.standard_normal((30, width))[rng.integers(0, 30, size)])
+    first, away = base[:2000], unit(rng.standard_normal((2000, width)))
+    away = unit(away - (away * first).sum(1, keepdims=True) * first)
+    cosine = rng.uniform(0.95, 0.96, (2000, 1))
+    second = cosine * first + np.sqrt(1 - cosine**2) * away
+    overlap = 0.5 * np.sqrt(0.1 / width)
+    sample = base[rng.choice(size, 8192, replace=False)]
+    met, held, depth = np.zeros(2000, bool), [], []
+    for t in range(module.TREES):
+        tree = module.fit_tree(sample, size / len(sample), overlap, [t, 5], leaf)
+        of = [np.split(leaves[np.argsort(rows, kind="stable")], np.cumsum(np.bincount(rows, minlength=2000))[:-1]) for rows, leaves in (tree.leaves(first), tree.leaves(second))]
+        met |= np.array([bool(set(a) & set(b)) for a, b in zip(*of, strict=True)])
+        sizes = np.bincount(tree.leaves(base)[1])
+        held.append(sizes.sum() / size)
+        depth.append(np.log2(size / np.median(sizes[sizes > 0])))
+    assert met.mean() >= 0.97 and min(depth) >= 8, (met.mean(), held, depth)
+
+
 # --- passages ---
 
 

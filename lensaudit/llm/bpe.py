@@ -22,8 +22,8 @@ from .common import operator, text_of
 
 #: Fixed by the tokenizer: how byte-level BPE splits text before merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Encodings that a worker keeps, of pre-tokens and of words: at most twice so many, the older half goes first.
-CACHED = 150_000
+#: Encodings of pre-tokens that a worker keeps: at most twice so many, the older half goes first.
+CACHED = 300_000
 #: Pairs of tokens whose compatibility a worker keeps.
 PAIRS = 500_000
 _NEVER = 1 << 60
@@ -64,8 +64,6 @@ class Bpe:
         self._fits: dict[int, bool] = {}
         self._build(self._reachable(set(ids.values()) - set(self.special.values())))
         self._piece = _Cache(self._encode_piece)
-        self._first = _Cache(self._encode_span)
-        self._later = _Cache(lambda word: self._encode_span(" " + word))
 
     def _stable(self, a: int, b: int, until: int) -> bool:
         """No merge joins a and b across their border before the time `until`.
@@ -130,7 +128,9 @@ class Bpe:
             to = suffix[state]
             shorter[state] = to if token_of[to] >= 0 else shorter[to]
         self._steps, self._suffix, self._shorter, self._depth, self._token = steps, suffix, shorter, depth, token_of
-        self._match = [state if token >= 0 else shorter[state] for state, token in enumerate(token_of)]
+        chain = [(token, depth[state], shorter[state]) for state, token in enumerate(token_of)]
+        #: Of each state: its longest token, that token's length, and the state of the next shorter one.
+        self._match = [chain[state] if token >= 0 else chain[shorter[state]] for state, token in enumerate(token_of)]
 
     def _fall(self, state: int, byte: int) -> int:
         """The step from a state that has none of its own: that of its longest suffix that has one."""
@@ -143,26 +143,24 @@ class Bpe:
 
     def _encode_piece(self, piece: str) -> tuple[bytes, bytes]:
         data = piece.encode()
-        step, fall, longest, shorter, depth, token_of, fits, compatible = self._steps.get, self._fall, self._match, self._shorter, self._depth, self._token, self._fits.get, self.compatible
+        step, fall, matches, fits, compatible = self._steps.get, self._fall, self._match, self._fits.get, self.compatible
         last, back = [-1], [0]  # of each prefix: its last token, and the prefix before that
         state = end = 0
         for byte in data:
             end += 1
             after = step(state << 8 | byte)
             state = fall(state, byte) if after is None else after
-            match, found, at = longest[state], -1, 0
-            while match:
-                token, at = token_of[match], end - depth[match]
+            token, length, shorter = matches[state]
+            while token >= 0:
+                at = end - length
                 if not at:
-                    found = token
                     break
                 known = fits(last[at] << 20 | token)
                 if known or (known is None and last[at] >= 0 and compatible(last[at], token)):
-                    found = token
                     break
-                match = shorter[match]
-            last.append(found)
-            back.append(at)
+                token, length, shorter = matches[shorter]
+            last.append(token)
+            back.append(end - length)
         ids = []
         while end:
             ids.append(last[end])
@@ -170,29 +168,13 @@ class Bpe:
         ids.reverse()
         return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids))
 
-    def _encode_span(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and decoded bytes of a text that begins and ends where pre-tokens do."""
+    def _encode_plain(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a text without special tokens."""
         if not text:
             return b"", b""
         ids, decoded = zip(*map(self._piece.__getitem__, self._pre_tokens(text)), strict=True)
         return b"".join(ids), b"".join(decoded)
 
-    def _encode_plain(self, text: str) -> tuple[bytes, bytes]:
-        """Without special tokens. A lone space between words always begins a pre-token, and one or two line ends between lines are one each; so words are looked up one by one."""
-        lines = text.split("\n")
-        if not lines[-1] or "\n\n\n" in text or any(line and " ".join(line.split()) != line for line in lines):
-            return self._encode_span(text)
-        found = []
-        for line in lines:
-            if line:
-                first, *later = line.split(" ")
-                found.append(self._first[first])
-                found += map(self._later.__getitem__, later)
-            found.append(self._first["\n"])
-        found.pop()
-        ids, decoded = zip(*found, strict=True)
-        return b"".join(ids), b"".join(decoded)
-
     def _bytes_of(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -3,8 +3,9 @@
 Documents with one and the same shingle set are one class from the start, so a hot group of exact copies is one row. What makes a class is a
 cryptographic digest of the full sorted set. Within a bucket every class is compared with the bucket's hub only. Classes that this leaves in different
 components, though they share a bucket, are joined on their rarest shingles: two sets that are alike enough must share one of a fifth of
-their shingles, taken in any one order, and in the order of frequency passages that many documents share come last. All of a pair's rarest shingles
-are looked at, so no link between different texts is lost, and no group is expanded into all its pairs.
+their shingles, taken in any one order, and in the order of frequency passages that many documents share come last. Classes that meet there are compared
+in blocks inside tasks, signatures first and full sets then, and one confirmed link for a class and component leaves a task. All classes that share one of
+their rarest shingles are looked at, so no component is split that a link between different texts joins, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BANDS, ROWS = 32, 5
 MARGIN = 0.16
 #: Bits of a shingle's hash by which its frequency is counted, only to order shingles.
 COUNTED_BITS = 18
+#: Classes, and shingles, in a block of the second search; sets that are checked at once.
+BLOCK, BLOCK_ITEMS, AT_ONCE = 512, 1 << 22, 64
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,11 +193,8 @@ def _left_apart(buckets: DataFrame, found: DataFrame, classes: DataFrame) -> Dat
     return materialize(member.join(mixed, "bucket").select("cls", "comp").distinct())
 
 
-def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) of different components that share one of their rarest shingles and are of like size.
-
-    Of the rows of a shingle those of its largest component meet only the others', which are few where the hubs did their work.
-    """
+def _met(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cls, comp, size): for each component key the classes that are its own or share one of their rarest shingles with it, where it has most rows of that shingle."""
     spark = apart.sparkSession
     counts = np.zeros(1 << COUNTED_BITS, np.int64)
     got = sets.select("items").mapInArrow(_frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -202,11 +202,60 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rare = apart.join(sets, "cls").select("cls", "comp", "items").mapInArrow(_rarest(spark.sparkContext.broadcast(counts), percent), "item bigint, cls bigint, comp bigint, size bigint")
     rare = materialize(rare)
     per = rare.groupBy("item", "comp").agg(F.count("*").alias("n")).groupBy("item").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
-    mixed = splittable(per.where("comps > 1").select("item", F.col("x.comp").alias("major")), rare)
-    rows = splittable(rare.join(mixed, "item"), rare)
-    one = rows.where("comp <> major").select("item", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
-    both = one.join(rows, "item").where(f"ca <> comp AND 100 * least(sa, size) >= {percent} * greatest(sa, size)")
-    return both.select(F.least("a", "cls").alias("u"), F.greatest("a", "cls").alias("v")).distinct()
+    mixed = materialize(per.where("comps > 1").select("item", F.col("x.comp").alias("key")))
+    out = materialize(rare.join(mixed, "item").select("key", "cls", "comp", "size").distinct())
+    discard(rare)
+    return out
+
+
+def _blocks(percent: int):
+    """Two blocks of classes (cls, comp, signature, items; left and right by side) to confirmed links (u, v): for each left class one to each other component that it is linked with."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = lambda name: rows.column(name).chunk(0)
+        left, cls, comp = (column(n).to_numpy(zero_copy_only=False) for n in ("left", "cls", "comp"))
+        signs = np.frombuffer(b"".join(column("signature").to_pylist()), np.uint16).reshape(len(cls), -1)
+        ends, flat = column("items").offsets.to_numpy(), column("items").values.to_numpy().view(np.uint64)
+        size = np.diff(ends)
+        b = np.flatnonzero(~left)
+        us, vs = [], []
+        for i in np.flatnonzero(left):
+            other = b[(comp[b] != comp[i]) & (100 * np.minimum(size[b], size[i]) >= percent * np.maximum(size[b], size[i]))]
+            like = (signs[other] == signs[i]).mean(1)
+            order = np.argsort(-like, kind="stable")[: int((like >= percent / 100 - MARGIN).sum())]
+            other, own = other[order], flat[ends[i] : ends[i + 1]]
+            for c in np.unique(comp[other]):
+                near = other[comp[other] == c]
+                for lo in range(0, len(near), AT_ONCE):
+                    some = near[lo : lo + AT_ONCE]
+                    items = np.concatenate([flat[ends[j] : ends[j + 1]] for j in some])
+                    at = np.minimum(np.searchsorted(own, items), len(own) - 1)
+                    shared = np.add.reduceat((own[at] == items).astype(np.int64), np.cumsum(size[some]) - size[some])
+                    good = 100 * shared >= percent * (size[some] + size[i] - shared)
+                    if good.any():
+                        us.append(cls[i])
+                        vs.append(cls[some[np.argmax(good)]])
+                        break
+        us, vs = np.array(us, np.int64), np.array(vs, np.int64)
+        return pa.table({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
+
+    return run
+
+
+def _links_between(apart: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) between classes of different components: all of a component's visitors against all of its rows, in pairs of blocks."""
+    met = _met(apart, sets, percent)
+    guest = F.col("comp") != F.col("key")
+    parts = lambda n, items: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(items / F.lit(BLOCK_ITEMS))).cast("int")
+    sizes = met.groupBy("key").agg(parts(F.count_if(guest), F.sum(F.when(guest, F.col("size")))).alias("is"), parts(F.count("*"), F.sum("size")).alias("js"))
+    dealt = met.join(splittable(sizes, met), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("cls", "key"), F.col(n)).cast("int")
+    left = dealt.where(guest).select("key", "cls", "comp", F.lit(True).alias("left"), own("is").alias("i"), every("js").alias("j"))
+    right = dealt.select("key", "cls", "comp", F.lit(False).alias("left"), every("is").alias("i"), own("js").alias("j"))
+    load = sets.join(classes.select("cls", "signature"), "cls")
+    return materialize(left.union(right).join(load, "cls").groupBy("key", "i", "j").applyInArrow(_blocks(percent), "u bigint, v bigint"))
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +276,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     discard(buckets)
     if apart.take(1):
         sets = _full_sets(apart.select("cls"), classes, docs, k)
-        more = _linked(_near(_rare_pairs(apart, sets, percent), classes, percent), sets, percent)
+        more = _links_between(apart, sets, classes, percent)
         if more.take(1):
             found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     rooted = splittable(classes.join(found, F.col("cls") == F.col("node"), "left").select("digest", "place", F.coalesce("root", "cls").alias("root")), classes)

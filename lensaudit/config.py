@@ -33,7 +33,7 @@ class AuditConfig:
     hamming_threshold: int = 6
     effect_threshold: float = 0.8
     effect_rows: int = 10
-    report_title: str = "Prototype Dataset Analysis Report"
+    report_title: str = "Image audit"
     #: Rows of a report's lists.
     report_rows: int = field(default=8)
 

@@ -20,7 +20,7 @@ from ..functions import columns as C
 from ..functions import kernels
 from ..operators import duplicates, isolation, projection, relational, vectors
 from ..report import charts
-from ..report.markdown import Section, key_value_table, report
+from ..report.markdown import Section, report
 from ..shipping import ship_code
 from ..sources import images, records
 
@@ -128,9 +128,9 @@ def summarise(spine: DataFrame, config: AuditConfig, out: Outputs, ingestion: Se
     out.text("class_counts.svg", charts.bars("Images per class", rows))
     out.text("image_size_distributions.svg", charts.histogram_panels("Image sizes", [(c, _bins(readable, c)) for c in SIZES[:3]]))
     n = relational.totals(spine, "label", F.col("is_readable")).first()
-    lines = [f"- Number of images: `{n['n_rows']}`", f"- Readable images: `{n['n_readable']}`", f"- Number of classes: `{n['n_classes']}`", f"- Duplicate filenames: `{doubles.count()}`", f"- Missing/corrupted images: `{n['n_unreadable']}`"]
-    section = Section("Dataset Summary", "\n".join([*lines, "", "### Class counts", key_value_table(rows), "", "### Ingestion note", ingestion.markdown]))
-    out.text("dataset_summary.md", section.markdown + "\n")
+    facts = [("images listed", n["n_rows"]), ("decoded", n["n_readable"]), ("not decoded", n["n_unreadable"]), ("labels among the decoded", n["n_classes"]), ("file names that occur again", doubles.count())]
+    section = Section("What the dataset holds", facts, [("Decoded images by label", ("label", "images"), rows)])
+    out.text("dataset_summary.md", ingestion.markdown() + "\n" + section.markdown())
     return section
 
 
@@ -154,8 +154,8 @@ def assess_quality(spine: DataFrame, config: AuditConfig, out: Outputs) -> Secti
     r = relational.correlation(spine, config.quality_metrics)
     out.csv("quality/quality_metric_correlation.csv", r)
     out.text("quality/quality_metric_correlation.svg", charts.heat_map("Quality Metric Correlation", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
-    section = Section("Image Quality Analysis", f"Computed per-image quality metrics for readable images.\n\n- Metrics: {', '.join(config.quality_metrics)}\n- Histograms written to `{out.folder / 'quality'}`\n- Extremes tables and montages written to `{out.folder / 'quality'}`")
-    out.text("quality/quality_summary.md", section.markdown + "\n")
+    section = Section("Image measures", [("measures", ", ".join(config.quality_metrics)), ("charts, extremes and montages", f"`{out.folder / 'quality'}`")])
+    out.text("quality/quality_summary.md", section.markdown())
     return section
 
 
@@ -175,12 +175,10 @@ def assess_bias(spine: DataFrame, config: AuditConfig, out: Outputs) -> Section:
     flagged = relational.suspicious(tables)
     out.csv("suspicious_shortcut_signals.csv", flagged)
     n = balance.agg(F.min("count"), F.max("count")).first()
-    lines = [f"- Class imbalance range: `{n[0]}` to `{n[1]}` images per class", f"- Suspicious quality-vs-group signals: `{flagged.count()}`"]
-    lines.append(f"- Domains come from `{kind[0]}`; their effects are part of the analysis." if kind else "- No domains were available; only effects by class were analysed.")
-    if top := _first(flagged, config.report_rows):
-        lines += ["", "Potential shortcut signals:", *(f"- `{r['group_type']}={r['group_name']}` differs on `{r['metric']}` with Cohen's d `{r['cohens_d_vs_rest']:.2f}`" for r in top)]
-    section = Section("Bias And Shortcut Learning Analysis", "\n".join(lines))
-    out.text("bias_analysis.md", section.markdown + "\n")
+    facts = [("rows of the smallest label", n[0]), ("rows of the largest label", n[1]), ("effects that are large enough to serve as a shortcut", flagged.count()), ("where domains come from", kind[0] if kind else "there are none")]
+    lines = [f"`{r['metric']}` of {r['group_type']} `{r['group_name']}`: {r['cohens_d_vs_rest']:.2f} pooled deviations from all other rows" for r in _first(flagged, config.report_rows)]
+    section = Section("Labels, domains and shortcuts", facts, lines=lines)
+    out.text("bias_analysis.md", section.markdown())
     return section
 
 
@@ -192,10 +190,10 @@ def find_duplicates(spine: DataFrame, config: AuditConfig, out: Outputs) -> Sect
     out.csv("near_duplicate_pairs.csv", near)
     top = _first(near, config.duplicate_k)
     _montage(spine.sparkSession, out, "near_duplicate_pairs_montage.png", [r[c] for r in top for c in ("left_image_path", "right_image_path")], config, 2)
-    lines = [f"- Exact hash-match groups: `{exact.select('cluster_id').distinct().count()}`", f"- Near-duplicate pairs within threshold: `{near.count()}`", f"- Hamming threshold per hash: `{config.hamming_threshold}`"]
-    lines += [f"- `{Path(r['left_image_path']).name}` vs `{Path(r['right_image_path']).name}` with ahash `{r['ahash_distance']}` and dhash `{r['dhash_distance']}`" for r in top[: config.report_rows]]
-    section = Section("Duplicate Detection", "\n".join(lines))
-    out.text("duplicate_detection.md", section.markdown + "\n")
+    facts = [("groups with one average hash", exact.select("cluster_id").distinct().count()), ("near pairs", near.count()), ("bits that each hash of a pair may differ in", config.hamming_threshold)]
+    lines = [f"`{Path(r['left_image_path']).name}`, `{Path(r['right_image_path']).name}`: {r['ahash_distance']} bits apart by average, {r['dhash_distance']} by difference hash" for r in top[: config.report_rows]]
+    section = Section("Repeated images", facts, lines=lines)
+    out.text("duplicate_detection.md", section.markdown())
     return section
 
 
@@ -222,7 +220,7 @@ def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, statu
     n = spine.where("embedding IS NOT NULL").count()
     names = [f"{p}_{a}" for p in ("pca", "tsne") for a in "xy"]
     if not n:
-        return spine.withColumns({c: F.lit(None).cast("double") for c in names}), Section("Embedding Analysis", "No readable images were available for embedding extraction.")
+        return spine.withColumns({c: F.lit(None).cast("double") for c in names}), Section("Vectors and projections", remark="No row has a vector.")
     at = projection.pca(spine, "row_index", "embedding").join(projection.tsne(spine, "row_index", "embedding", config.seed), "row_index")
     spine = spine.join(at, "row_index", "left")
     for p in ("pca", "tsne") if n >= 5 else ("pca",):
@@ -234,8 +232,8 @@ def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, statu
     size = spine.where("embedding IS NOT NULL").select(F.size("embedding")).first()[0]
     cells = [F.get("embedding", F.lit(i)).alias(f"embedding_{i:03d}") for i in range(size)]
     out.csv("embeddings/embedding_table.csv", spine.orderBy("row_index").select("image_path", "label", "source_domain", "analysis_domain", "analysis_domain_kind", *cells, *names))
-    section = Section("Embedding Analysis", f"- Embedding model status: `{status}`\n- Readable images embedded: `{n}`\n- Projection methods available: `{'pca, tsne' if n >= 5 else 'pca'}`\n- Embedding plots written to `{out.folder / 'embeddings'}`")
-    out.text("embeddings/embedding_summary.md", section.markdown + "\n")
+    section = Section("Vectors and projections", [("made by", status), ("rows with a vector", n), ("projections drawn", "PCA and t-SNE" if n >= 5 else "PCA"), ("charts and table", f"`{out.folder / 'embeddings'}`")])
+    out.text("embeddings/embedding_summary.md", section.markdown())
     return spine, section
 
 
@@ -244,7 +242,7 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
     n = candidates.count()
     if not n:
         empty = {c: F.lit(None).cast("string" if c == "outlier_reason" else "double") for c in SCORES}
-        return spine.withColumns(empty), Section("Outlier Detection", "No quality features were available, so outlier analysis was skipped.")
+        return spine.withColumns(empty), Section("Rows that stand out", remark="No row has all measures, so none is scored.")
     base = candidates.select("row_index", "label", "embedding")
     forest = isolation.isolation_scores(relational.standardise(candidates.select("row_index", *config.quality_metrics), config.quality_metrics), "row_index", config.quality_metrics, seed=config.seed)
     if candidates.where("embedding IS NOT NULL").take(1):
@@ -258,14 +256,13 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
     out.csv("top_suspicious_samples.csv", ranked.limit(config.outlier_k))
     top = _first(ranked.select("image_path", "outlier_score", "outlier_reason"), config.outlier_k)
     _montage(spine.sparkSession, out, "top_suspicious_samples_montage.png", [r["image_path"] for r in top], config)
-    lines = [f"- Candidate images scored: `{n}`", f"- Top suspicious samples exported: `{len(top)}`", "- Scores point at inputs to look at: other content, failed acquisitions, unusual examples."]
-    lines += [f"- `{Path(r['image_path']).name}` score `{r['outlier_score']:.2f}` because {r['outlier_reason']}" for r in top[: config.report_rows]]
-    section = Section("Outlier Detection", "\n".join(lines))
-    out.text("outlier_summary.md", section.markdown + "\n")
+    lines = [f"`{Path(r['image_path']).name}` ({r['outlier_score']:.2f}): {r['outlier_reason']}" for r in top[: config.report_rows]]
+    section = Section("Rows that stand out", [("rows scored", n), ("rows in `top_suspicious_samples.csv`", len(top))], lines=lines, remark="The mean of up to three scores between 0 and 1. A high one says that a row differs from others, not why.")
+    out.text("outlier_summary.md", section.markdown())
     return full, section
 
 
-MULTI_VIEW = "Several views of one specimen aren't grouped yet. A manifest with a case and a view column would let a later stage check which views are there and compare the measures and embeddings of this audit within a case.\n"
+MULTI_VIEW = Section("Views of one object", remark="Each image is judged by itself. Manifest columns that name the object and the view would be passed through to all tables, but nothing joins rows by them.")
 
 
 def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model") -> DataFrame:
@@ -282,9 +279,9 @@ def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None =
     out.csv("corrupted_or_unreadable_images.csv", unreadable(spine))
     n = relational.totals(spine, "label", F.col("is_readable")).first()
     kind = spine.select("analysis_domain_kind").first()
-    mode = "csv" if config.csv_path else "folder"
-    ingestion = Section("Data Ingestion", f"Ingestion mode: `{mode}`.\n\n- Total rows discovered: `{n['n_rows']}`\n- Readable images: `{n['n_readable']}`\n- Unreadable images: `{n['n_unreadable']}`\n- Corrupted image log: `corrupted_or_unreadable_images.csv`\n- Analysis domain kind: `{kind[0] if kind else 'none'}`")
-    sections = [summarise(spine, config, out, ingestion), assess_quality(spine, config, out)]
+    facts = [("source", f"manifest `{config.csv_path}`" if config.csv_path else f"folder `{config.dataset_root}`"), ("rows", n["n_rows"]), ("rows in `corrupted_or_unreadable_images.csv`", n["n_unreadable"]), ("where domains come from", kind[0] if kind else "there are none")]
+    ingestion = Section("Input", facts)
+    sections = [ingestion, summarise(spine, config, out, ingestion), assess_quality(spine, config, out)]
     out.csv("dataset_manifest_with_quality.csv", ordered(spine.select(*base, *config.quality_metrics)))
     sections += [assess_bias(spine, config, out), find_duplicates(spine, config, out)]
     spine, section = embed_and_project(spine, config, out, embed_status)
@@ -293,8 +290,8 @@ def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None =
     spine, section = find_outliers(spine, config, out)
     sections.append(section)
     out.csv("dataset_manifest_final.csv", ordered(spine.drop("ahash_bits", "dhash_bits")))
-    out.text("multiview_placeholder.md", MULTI_VIEW)
-    sections.append(Section("Multi-view Placeholder", MULTI_VIEW))
+    out.text("multiview_placeholder.md", MULTI_VIEW.markdown())
+    sections.append(MULTI_VIEW)
     configuration = {"dataset_root": config.dataset_root, "csv_path": config.csv_path, "output_dir": config.output_dir, "max_images": config.max_images}
     out.text("final_report.md", report(config.report_title, configuration, sections))
     return spine

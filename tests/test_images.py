@@ -102,7 +102,7 @@ def test_audit_of_a_folder(spark, folder, tmp_path):
     scores = [r["outlier_score"] for r in rows if r["is_readable"]]
     assert all(0 <= s <= 1 for s in scores) and all(r["outlier_score"] is None for r in rows if not r["is_readable"])
     cli.main(["html", "--input-md", str(out / "final_report.md")])
-    assert "<h1>Prototype Dataset Analysis Report</h1>" in (out / "final_report.html").read_text()
+    assert "<h1>Image audit</h1>" in (out / "final_report.html").read_text()
 
 
 def test_audit_of_a_manifest(spark, folder, tmp_path):
@@ -156,7 +156,7 @@ def test_nothing_readable_and_nothing_at_all(spark, tmp_path):
             (root / f).write_bytes(data)
         spine = audit.run_audit(spark, AuditConfig(dataset_root=str(root), output_dir=str(tmp_path / f"{name}-out")))
         assert spine.count() == len(files)
-        assert f"- Number of images: `{len(files)}`" in (tmp_path / f"{name}-out/final_report.md").read_text()
+        assert f"| images listed | {len(files)} |" in (tmp_path / f"{name}-out/final_report.md").read_text()
 
 
 def test_max_images_and_config(spark, folder, tmp_path):

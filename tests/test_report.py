@@ -1,5 +1,5 @@
 from lensaudit.report import charts
-from lensaudit.report.markdown import Section, html_body, html_page, key_value_table, report
+from lensaudit.report.markdown import Section, html_body, html_page, report
 
 
 def test_markdown_to_html():
@@ -12,8 +12,11 @@ def test_markdown_to_html():
 
 
 def test_report():
-    text = report("T", {"a": 1}, [Section("S", key_value_table([("x", 2)])), Section("E", "")])
-    assert text == "# T\n\n## Run configuration\n- `a`: 1\n\n## S\n\n| key | value |\n| --- | ---: |\n| x | 2 |\n\n## E\n\nNo summary available.\n"
+    text = report("T", {"a": 1}, [Section("S", [("x", 2)], [("by", ("k|", "v"), [("y", 3)])], ["one"]), Section("E", remark="empty")])
+    assert text == (
+        "# T\n\n- S\n- E\n- Settings\n\n## S\n\n| fact | value |\n| --- | ---: |\n| x | 2 |\n\nby:\n\n| k\u00a6 | v |\n| --- | ---: |\n| y | 3 |\n\n- one\n"
+        "\n## E\n\nempty\n\n## Settings\n\n- a: `1`\n"
+    )
 
 
 def test_charts_of_nothing():

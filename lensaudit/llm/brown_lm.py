@@ -345,7 +345,7 @@ def brown_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", t
     """One row a document: its id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     The model learns from the documents where held_out is false, and scores all. A null or empty text is its end alone. base_score is the
-    unigram model with half a count added and one unknown word. Repeated rows and null ids are scored as any other; nothing to learn
+    unigram model with half a count added and one unknown word. Repeated rows and null ids are scored as any other, texts of any length whole; nothing to learn
     from leaves all tokens unknown; an empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession

@@ -170,6 +170,11 @@ def train_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4, seed: int =
 
 @operator
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "quality") -> RuleModel:
+    """Rules and weights from about SAMPLE labelled documents, whose ids learn allows.
+
+    Null labels and ids teach nothing; of an id's labels the greatest counts; an id's rows all teach; null texts count as empty, texts are measured whole.
+    From one class only, or from empty tables, the model is a bias alone. Columns beyond the named ones are not looked at.
+    """
     sample = labelled_sample(docs, labels, label, SAMPLE, learn, id_column, text_column)
     got = measure(sample.select(F.col("label").alias("ident"), "text"))
     table = got.toArrow().to_pandas().sort_values([*STATISTICS, "ident"])
@@ -178,6 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: st
 
 @operator
 def score_quality(docs: DataFrame, model: RuleModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) for each row, 0 to 1; null texts count as empty. Repeated rows and null ids are kept, empty tables give empty results."""
+    """(id, score) for each row, 0 to 1; null texts count as empty, texts are measured whole. Repeated rows and null ids are kept, empty tables give empty results, other
+    columns are not looked at."""
     stats = measure(docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text")))
     return stats.select(F.col("ident").alias(id_column), model.column().alias("score"))

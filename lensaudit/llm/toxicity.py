@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, operator, slabs, span_hashes, text_of, word_spans
+from .common import labelled_sample, materialize, operator, slabs, span_hashes, text_of, word_spans
 
-#: Bits of a feature's number; features that the classifier weighs; lengths in bytes of word beginnings that are features.
-BITS, WEIGHED, BEGINNINGS = 20, 4096, (4, 5, 6, 7)
-#: Sampled documents: confirmed toxic, and unlabelled.
-POSITIVES, UNLABELLED = 3000, 9000
+#: Bits of a feature's number; lengths in bytes of word beginnings that are features.
+BITS, BEGINNINGS = 20, (4, 5, 6, 7)
+#: Sampled documents: confirmed toxic, and unlabelled; features of either that the driver holds, about (4 bytes each). Where there are more, fewer documents are drawn.
+POSITIVES, UNLABELLED, HELD = 3000, 9000, 16_000_000
 
 _LETTERS = np.ones(256, bool)  # what parts words: anything but ASCII letters and bytes of other scripts
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -75,8 +75,7 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     in_u = np.bincount(np.concatenate(unlabelled), minlength=size) / n_u if unlabelled else np.zeros(size)
     spread = np.sqrt((in_p * (1 - in_p) + 1 / n_p) / n_p + (in_u * (1 - in_u) + 1 / n_u) / n_u)
     strength = np.where(in_p * n_p >= 3, np.abs(in_p - in_u) / spread, 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:WEIGHED])
-    chosen = chosen[strength[chosen] > 2]
+    chosen = np.flatnonzero(strength > 2)
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -109,13 +108,24 @@ def train_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
 @operator
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> PuModel:
-    """From confirmed toxic documents and unlabelled text, with the share of toxic labels as the class prior; learn: usable ids, for labels and text."""
+    """From confirmed toxic documents and unlabelled text, with the share of toxic labels as the class prior; learn: usable ids, for labels and text.
+
+    Null labels and ids teach nothing; of an id's labels the greatest counts; repeated rows and null or empty texts are drawn like any other; texts are read
+    whole. Without a toxic label, or from empty tables, the model is a bias alone. Columns beyond the named ones are not looked at.
+    """
     share = labels.where(learn & F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     toxic = labelled_sample(docs, labels.where(F.col(label) == 1), label, POSITIVES, learn, id_column, text_column)
     n = docs.where(learn).count()
     drawn = docs.where(learn).where(F.pmod(F.xxhash64(id_column, text_column), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(n, 1))))
-    gather = lambda rows: [x.values.to_numpy() for x in rows.mapInArrow(_lists, "features array<int>").toArrow().column(0)]
-    return train_pu(gather(toxic.select("text")), gather(drawn.select(text_of(text_column).alias("text"))), float(share or 0.0))
+    return train_pu(_gathered(toxic.select("text")), _gathered(drawn.select(text_of(text_column).alias("text"))), float(share or 0.0))
+
+
+def _gathered(rows: DataFrame) -> list[np.ndarray]:
+    """The distinct features of each of the sampled texts, of so many texts that the driver holds about HELD at most."""
+    made = materialize(rows.mapInArrow(_lists, "features array<int>"))
+    total = made.agg(F.sum(F.size("features"))).first()[0] or 0
+    kept = made.where(F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, HELD / max(total, 1)))) if total > HELD else made
+    return sorted((x.values.to_numpy() for x in kept.toArrow().column(0)), key=lambda x: (len(x), x.tobytes()))
 
 
 def _score(shared):
@@ -131,7 +141,8 @@ def _score(shared):
 
 @operator
 def score_toxicity(docs: DataFrame, model: PuModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) for each row, 0 to 1; a null or empty text has the bias alone. Repeated rows and null ids are kept, empty tables give empty results."""
+    """(id, score) for each row, 0 to 1; a null or empty text has the bias alone; texts are read whole. Repeated rows and null ids are kept, empty tables give empty
+    results, other columns are not looked at."""
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("ident"), text_of(text_column).alias("text"))
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"ident {kind}, score double").withColumnRenamed("ident", id_column)

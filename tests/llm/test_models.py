@@ -261,3 +261,175 @@ def test_automaton_reads_each_piece_once_and_finds_all_tokens():
                 found.append(bpe._token[match])
                 match = bpe._shorter[match]
             assert found == [tokens[data[i:end]] for i in range(end) if data[i:end] in tokens]
+
+
+# --- the models against plain versions ---
+
+
+def plain_features(text):
+    """Hashed 1- to 3-byte sequences as the docstrings say, byte by byte."""
+    from lensaudit.llm import language_id as module
+
+    data, x = (text or "").encode(), []
+    for i, byte in enumerate(data):
+        seen = int(module._SEEN[byte])
+        x.append(seen + 32 if i and data[i - 1] == 0xC3 and 0x80 <= byte <= 0x9E else seen)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(x) - n + 1):
+            step = 0
+            for v in x[i : i + n]:
+                step = (step * 263 + v) % 2**32
+            if any(v != 32 for v in x[i : i + n]):
+                out[((step * 2654435761 + n * 40503) % 2**32) >> 19] += 1
+    out.pop(0, None)
+    return out
+
+
+def test_languages_against_a_plain_version(spark):
+    rows = odd_rows() + [(200 + i, f"{t} {i} É", lang, "s") for i in range(12) for lang, t in (("en", "the cat and the dog went"), ("de", "der Hund und die Katze waren"))]
+    docs = frame(spark, rows)
+    model = fit_languages(docs, F.lit(True))
+    taught = [plain_features(r[1]) for r in rows if r[2] is not None and r[1] and any(c.isalpha() for c in r[1])]
+    for f in {f for x in taught for f in x}:
+        n = sum(f in x for x in taught)
+        assert model.idf[f] == pytest.approx(math.log((len(taught) + 1) / (n + 1)) + 0.05, rel=1e-5)
+    assert (model.idf > 0).sum() == len({f for x in taught for f in x}) and set(model.languages) == {"en", "fr", "de"}
+    assert Counter(model.owner.tolist()) == {0: 4, 1: 4, 2: 3} or max(Counter(model.owner.tolist()).values()) <= 4
+    got = Counter()
+    for r in predict_languages(docs, model, F.struct("doc_id", "text")).collect():
+        counts = plain_features(r["carried"]["text"])
+        x = np.zeros(len(model.idf))
+        for f, n in counts.items():
+            x[f] = n * math.sqrt(model.idf[f])
+        likes = model.centroids @ (x / max(np.linalg.norm(x), 1e-12))
+        if r["lang_pred"] != "und":
+            best = int(np.argmax(likes))
+            assert r["score"] == pytest.approx(min(max(likes[best], 0), 1), abs=1e-5)
+            assert likes[[i for i, o in enumerate(model.owner) if model.languages[o] == r["lang_pred"]]].max() == pytest.approx(likes[best], abs=1e-6)
+            assert r["rejected"] == (r["score"] < model.least[model.languages.index(r["lang_pred"])])
+        got[r["lang_pred"] == "und", not (r["carried"]["text"] and any(c.isalpha() for c in r["carried"]["text"]))] += 1
+    assert set(got) == {(True, True), (False, False)}
+
+
+def test_every_language_is_learned_however_many(spark, monkeypatch):
+    from lensaudit.llm import language_id as module
+
+    monkeypatch.setattr(module, "SAMPLE_ALL", 20)
+    docs = frame(spark, [(i, f"word{i} text{i}", f"l{i % 60}", "") for i in range(600)])
+    assert len(fit_languages(docs, F.lit(True)).languages) == 60
+
+
+def test_first_split_against_all_splits():
+    from lensaudit.llm.quality_rules import grow
+
+    rng = np.random.default_rng(4)
+    x, residual = np.round(rng.random((60, 3)), 1), rng.normal(size=60)
+    residual[x[:, 1] > 0.6] += 1
+    cuts = [np.unique(x[:, j]) for j in range(3)]
+    best = max(
+        (sum(residual[s].sum() ** 2 / s.sum() for s in (x[:, j] <= c, x[:, j] > c)), -j, -c) for j in range(3) for c in cuts[j] if 5 <= (x[:, j] <= c).sum() <= 55
+    )
+    rules = grow(x, residual, cuts, 1)
+    assert [(r[0][0], r[0][1], r[0][2]) for r, _ in rules] == [(-best[1], side, -best[2]) for side in (False, True)]
+    for rule, value in rules:
+        (j, above, cut), = rule
+        assert value == pytest.approx(residual[(x[:, j] > cut) == above].mean())
+
+
+def test_lasso_meets_its_conditions():
+    """At the least value, slopes of weights that are 0 are within the penalty, and all others meet it."""
+    from lensaudit.llm.quality_rules import lasso_logistic
+
+    rng = np.random.default_rng(5)
+    r = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1] + 0.5)))).astype(float)
+    w, b = lasso_logistic(r, y, 0.02, steps=5000)
+    p = 1 / (1 + np.exp(-(r @ w + b)))
+    slope = r.T @ (p - y) / 400
+    assert abs((p - y).mean()) < 1e-4 and 0 < (w == 0).sum() < 12
+    assert np.all(np.abs(slope[w == 0]) <= 0.02 + 1e-4) and np.allclose(slope[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-4)
+
+
+def test_pu_steps_against_a_plain_version():
+    """The same descent written out document by document, with the risk's slopes taken by differences."""
+    rng = np.random.default_rng(2)
+    positive = [np.unique(np.append(rng.integers(0, 6, 2), 7)) for _ in range(20)]
+    unlabelled = [np.unique(np.append(rng.integers(0, 6, 3), 7 if i % 4 == 0 else 6)) for i in range(40)]
+    prior, steps = 0.25, 3
+    model = train_pu(positive, unlabelled, prior, steps=steps, penalty=0.0)
+    chosen = np.flatnonzero(model.weights)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    score = lambda v, d: sigmoid(v[-1] + sum(v[k] for k, f in enumerate(chosen) if f in d))
+
+    def parts(v):
+        plus = np.mean([-math.log(score(v, d)) for d in positive])
+        minus = np.mean([-math.log(1 - score(v, d)) for d in unlabelled]) - prior * np.mean([-math.log(1 - score(v, d)) for d in positive])
+        return prior * plus, minus
+
+    v, m, s = np.append(np.zeros(len(chosen)), math.log(prior / (1 - prior))), 0.0, 0.0
+    for t in range(1, steps + 1):
+        worth = (lambda u: sum(parts(u))) if parts(v)[1] >= 0 else (lambda u: -parts(u)[1])
+        slope = np.array([(worth(v + e) - worth(v - e)) / 2e-6 for e in 1e-6 * np.eye(len(v))])
+        m, s = 0.9 * m + 0.1 * slope, 0.999 * s + 0.001 * slope * slope
+        v = v - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    assert 7 in chosen and np.allclose(model.weights[chosen], v[:-1], atol=1e-4) and model.bias == pytest.approx(v[-1], abs=1e-4)
+
+
+def test_pu_holds_a_bounded_number_of_features(spark, monkeypatch):
+    from lensaudit.llm import toxicity as module
+
+    docs = frame(spark, [(i, " ".join("".join(chr(97 + (i * 50 + j) // 26**k % 26) for k in range(3)) for j in range(50)), "", "") for i in range(200)])
+    monkeypatch.setattr(module, "HELD", 3000)
+    held = module._gathered(docs.select("text"))
+    assert 1000 < sum(map(len, held)) < 6000
+
+
+def test_class_model_is_a_probability():
+    """For each class: transitions add up to 1, and so do the emissions of its words and of one unknown word a shape."""
+    rng = np.random.default_rng(1)
+    n = brown_lm.CLASSES
+    between = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.3)
+    between[5] = 0
+    tokens = between.sum(0)
+    known = [rng.multinomial(t - min(t, 3), np.ones(min(t, 3)) / max(min(t, 3), 1)) + 1 if t else np.zeros(0, int) for t in tokens]
+    unknown = rng.integers(1, 5, n)
+    moves, mass = brown_lm._model(between, np.array([len(k) for k in known]) + unknown)
+    assert np.allclose((10**moves).sum(1), 1)
+    for c in range(n):
+        assert ((known[c] + 0.5).sum() + 0.5 * unknown[c]) / 10 ** mass[c] == pytest.approx(1)
+
+
+LONG = 400_000
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of some MB beside short ones; half of it comes a second time."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(5000)])[rng.integers(0, 5000, LONG)]
+    text = " ".join(words)
+    return frame(spark, [(1, text, "en", "a"), (2, text.replace(" ", "\n", 9), "en", "b"), (3, " ".join(words[: LONG // 2]), "en", "a"), (4, "short text of a few words", "de", "b"), (5, None, None, None)])
+
+
+@pytest.mark.parametrize("name", ["mix", "brown", "exact", "bpe", "quality", "substring", "language", "toxicity", "near"])
+def test_texts_of_some_megabytes(spark, long_docs, name):
+    from lensaudit.llm.exact_dedup import exact_dedup
+    from lensaudit.llm.minhash_dedup import near_duplicates
+    from lensaudit.llm.substring_dedup import substring_dedup
+
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 6)], "doc_id bigint, quality int, toxic int")
+    model = {"quality": fit_quality, "toxicity": fit_toxicity}
+    run = {
+        "mix": lambda d: mix_counts(d), "brown": lambda d: brown_scores(d, F.lit(False)), "exact": exact_dedup, "bpe": lambda d: encode(d, registry.byte_vocabulary()), "substring": substring_dedup, "near": near_duplicates,
+        "quality": lambda d: score_quality(d, model["quality"](d, labels, F.lit(True))), "toxicity": lambda d: score_toxicity(d, model["toxicity"](d, labels, F.lit(True))),
+        "language": lambda d: predict_languages(d, fit_languages(d, F.lit(True)), F.col("doc_id")).withColumnRenamed("carried", "doc_id"),
+    }
+    got = {r["doc_id"]: r for r in run[name](long_docs).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert name != "mix" or got[1]["size"] == LONG
+    assert name != "brown" or got[1]["n_tokens"] == got[1]["n_known"] == LONG + 1
+    assert name != "exact" or (got[2]["keep_id"], got[3]["keep_id"]) == (1, 3)
+    assert name != "substring" or (got[1]["n_removed"], got[3]["n_removed"], got[4]["n_removed"]) == (LONG, LONG // 2, 0)
+    assert name != "near" or (got[2]["component_id"], got[3]["component_id"], got[1]["n_shingles"]) == (1, 3, LONG - 4)
+    assert name != "bpe" or got[1]["decoded"].count(" ") == LONG - 1

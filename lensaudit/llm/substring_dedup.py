@@ -162,7 +162,8 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         raise ValueError(f"a window has {ANCHOR} words at least")
     paths = materialize(docs.mapInArrow(_paths(window), "key bigint, start int, run int, anchor bigint, path bigint"))
     anchors = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.min("path").alias("least"), F.max("path").alias("most")).where("n > 1")
-    anchors = splittable(anchors.select("anchor", F.expr("least <> most").alias("branches")), paths)
+    # A written table, not the aggregate itself, goes into the join: then a hot anchor's partition can be split.
+    anchors = materialize(anchors.select("anchor", F.expr("least <> most").alias("branches")))
     shared = materialize(paths.join(anchors, "anchor").select("key", "start", "run", "path", "branches"))
     discard(paths)
     copies = splittable(shared.groupBy("path").agg(*_occurrences()), shared)

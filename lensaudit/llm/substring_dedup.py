@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aranges, discard, materialize, operator, sequence_hashes, sequence_sums, signed, slabs, span_hashes, splittable, text_of, word_spans
+from .common import aranges, discard, materialize, operator, sequence_hashes, sequence_sums, signed, slabs, span_hashes, text_of, word_spans
 
 #: Words of an anchor; any window of `window` words has window - ANCHOR + 1 of them.
 ANCHOR = 10
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     anchors = materialize(anchors.select("anchor", F.expr("least <> most").alias("branches")))
     shared = materialize(paths.join(anchors, "anchor").select("key", "start", "run", "path", "branches"))
     discard(paths)
-    copies = splittable(shared.groupBy("path").agg(*_occurrences()), shared)
+    copies = materialize(shared.groupBy("path").agg(*_occurrences()))
     met = materialize(shared.join(copies, "path").select("key", "start", "run", "branches", "n", *_witness(), (F.struct("key", "start") == F.col("lo")).alias("one")))
     discard(shared)
     whole = _compact(met.where("n > 1").select("key", "start", "run", "wkey", "wstart"), (F.col("p_wkey") == F.col("wkey")) & (F.col("p_wstart") + F.col("p_run") == F.col("wstart")))

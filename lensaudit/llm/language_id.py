@@ -45,17 +45,13 @@ def _grams(data: np.ndarray) -> list[np.ndarray]:
 
 def _counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Counts of the features of ROWS rows at a time: the first row's number, and a matrix."""
-    grams, size = _grams(data), np.diff(offs)
-    for lo in range(0, len(size), ROWS):
-        part, first = size[lo : lo + ROWS], offs[lo]
-        row = np.repeat(np.arange(len(part), dtype=np.int64) * FEATURES, part)
-        total = np.zeros(len(part) * FEATURES, np.int64)
-        for n, ids in enumerate(grams):
-            many = len(row) - n
-            if many > 0:
-                inside = row[:many] == row[n:]  # both ends in one row
-                total += np.bincount((row[:many] + ids[first : first + many])[inside], minlength=len(total))
-        total = total.reshape(len(part), FEATURES)
+    grams, rows = _grams(data), len(offs) - 1
+    for lo in range(0, rows, ROWS):
+        total = np.zeros((min(ROWS, rows - lo), FEATURES), np.int64)
+        for own, begin, end in zip(total, offs[lo:].tolist(), offs[lo + 1 :].tolist(), strict=False):
+            for n, ids in enumerate(grams):
+                if end - n > begin:
+                    own += np.bincount(ids[begin : end - n], minlength=FEATURES)
         total[:, 0] = 0
         yield lo, total
 

@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import operator, text_of
+from .common import aranges, operator, text_of
 
 #: Fixed by the tokenizer: how byte-level BPE splits text before merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Encodings of pre-tokens that a worker keeps: at most twice so many, the older half goes first.
-CACHED = 300_000
+CACHED = 200_000
 #: Pairs of tokens whose compatibility a worker keeps.
-PAIRS = 500_000
+PAIRS = 250_000
 _NEVER = 1 << 60
 
 
@@ -64,6 +64,9 @@ class Bpe:
         self._fits: dict[int, bool] = {}
         self._build(self._reachable(set(ids.values()) - set(self.special.values())))
         self._piece = _Cache(self._encode_piece)
+        self._pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self._length = np.array([len(x) for x in self.bytes])
+        self._begin = np.cumsum(self._length) - self._length
 
     def _stable(self, a: int, b: int, until: int) -> bool:
         """No merge joins a and b across their border before the time `until`.
@@ -141,7 +144,7 @@ class Bpe:
                 return after
         return 0
 
-    def _encode_piece(self, piece: str) -> tuple[bytes, bytes]:
+    def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode()
         step, fall, matches, fits, compatible = self._steps.get, self._fall, self._match, self._fits.get, self.compatible
         last, back = [-1], [0]  # of each prefix: its last token, and the prefix before that
@@ -166,43 +169,31 @@ class Bpe:
             ids.append(last[end])
             end = back[end]
         ids.reverse()
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids))
-
-    def _encode_plain(self, text: str) -> tuple[bytes, bytes]:
-        """Ids and decoded bytes of a text without special tokens."""
-        if not text:
-            return b"", b""
-        ids, decoded = zip(*map(self._piece.__getitem__, self._pre_tokens(text)), strict=True)
-        return b"".join(ids), b"".join(decoded)
-
-    def _bytes_of(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, special tokens in the text recognised; and the text that the ids' bytes give."""
-        parts = self._split_special.split(text) if self._split_special else [text]
-        if len(parts) == 1:
-            ids, decoded = self._encode_plain(text)
-        else:
-            special = lambda x: (i := np.array([self.special[x]], "<u4").tobytes(), self._bytes_of(i))
-            ids, decoded = (b"".join(x) for x in zip(*(special(x) if i % 2 else self._encode_plain(x) for i, x in enumerate(parts)), strict=True))
-        return ids, decoded.decode("utf-8", "replace")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_decode(text)[0]
+        """The ids as little-endian unsigned 32-bit integers; special tokens in the text are recognised."""
+        get = self._piece.__getitem__
+        if not self._split_special:
+            return b"".join(map(get, self._pre_tokens(text)))
+        parts = self._split_special.split(text)
+        return b"".join(struct.pack("<I", self.special[x]) if i % 2 else b"".join(map(get, self._pre_tokens(x))) for i, x in enumerate(parts))
 
     def decode(self, ids: bytes) -> str:
-        return self._bytes_of(ids).decode("utf-8", "replace")
+        """The text that the ids' bytes give, U+FFFD for what isn't UTF-8."""
+        tokens = np.frombuffer(ids, "<u4").astype(np.int64)
+        parts = (tokens[lo : lo + (1 << 18)] for lo in range(0, len(tokens), 1 << 18))
+        return b"".join(self._pool[aranges(self._begin[x], self._length[x])].tobytes() for x in parts).decode("utf-8", "replace")
 
 
 class _Cache(dict):
     """What make returns for short texts; a dictionary, so that a hit costs no Python call."""
 
-    def __init__(self, make: Callable[[str], tuple[bytes, bytes]]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, text: str) -> tuple[bytes, bytes]:
+    def __missing__(self, text: str) -> bytes:
         found = self.older.get(text) or self.make(text)
         if len(text) <= 64:
             if len(self) >= CACHED:
@@ -239,7 +230,7 @@ def _run(vocabulary, work, limit: int = 4 << 20):
 
 
 def _encoded(vocabulary):
-    rows = _run(vocabulary, lambda bpe, text: bpe.encode_decode(text))
+    rows = _run(vocabulary, lambda bpe, text: (ids := bpe.encode(text), bpe.decode(ids)))
 
     def run(batches):
         for idents, held in rows(batches):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import vectors_from
+from .vectors import usable, vectors_from
 
 #: Rows that t-SNE is fitted on, all of a smaller table, as its cost is quadratic; fitted rows whose coordinates a further row is placed by, and their perplexity.
 TSNE_ROWS = 2000
@@ -49,12 +49,15 @@ def principal_axes(df: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray,
 
 
 def pca(df: DataFrame, index: str, vector: str, prefix: str = "pca") -> DataFrame:
-    """(index, x, y); null coordinates below 2 rows."""
-    found = principal_axes(df, vector)
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), vector)
+    """(index, x, y); null coordinates below 2 rows, and for vectors that usable() leaves out."""
+    sound, others = usable(df, vector)
+    found = principal_axes(sound, vector)
+    nowhere = [F.lit(None).cast("double").alias(f"{prefix}_{a}") for a in "xy"]
+    none = others.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), *nowhere)
+    rows = sound.select(F.col(index).cast("bigint").alias(index), vector)
     names = f"{index} bigint, {prefix}_x double, {prefix}_y double"
     if found is None:
-        return rows.select(index, F.lit(None).cast("double").alias(f"{prefix}_x"), F.lit(None).cast("double").alias(f"{prefix}_y"))
+        return rows.select(index, *nowhere).union(none)
     mean, axes, _ = found
     axes = np.vstack((axes, np.zeros_like(axes)))[:2]
 
@@ -63,7 +66,7 @@ def pca(df: DataFrame, index: str, vector: str, prefix: str = "pca") -> DataFram
             at = (x - mean) @ axes.T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], [index, f"{prefix}_x", f"{prefix}_y"])
 
-    return rows.mapInArrow(run, names)
+    return rows.mapInArrow(run, names).union(none)
 
 
 def tsne_layout(x: np.ndarray, perplexity: float, seed: int = 42, steps: int = 500) -> np.ndarray:
@@ -121,12 +124,15 @@ def place(x: np.ndarray, fitted: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSNE_ROWS, prefix: str = "tsne") -> DataFrame:
     """(index, x, y), null below 5 rows. Above `most` rows the layout is fitted on those first by hash, and each other row is placed by its neighbours among them."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), vector)
+    sound, others = usable(df, vector)
+    rows = sound.select(F.col(index).cast("bigint").alias(index), vector)
     some = rows.orderBy(F.xxhash64(index), index).limit(most).toArrow()
     names = [index, f"{prefix}_x", f"{prefix}_y"]
     n = some.num_rows
+    nowhere = [F.lit(None).cast("double").alias(c) for c in names[1:]]
+    none = others.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), *nowhere)
     if n < 5:
-        return rows.select(index, *[F.lit(None).cast("double").alias(c) for c in names[1:]])
+        return rows.select(index, *nowhere).union(none)
     fitted = np.array(some.column(vector).to_pylist(), float)
     y = tsne_layout(fitted, max(2, min(30, n // 4)), seed)
     ids = some.column(index).to_pylist()
@@ -142,4 +148,4 @@ def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSN
                 at[own < 0] = place(x[own < 0], fitted, y)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], names)
 
-    return rows.mapInArrow(run, f"{index} bigint, {prefix}_x double, {prefix}_y double")
+    return rows.mapInArrow(run, f"{index} bigint, {prefix}_x double, {prefix}_y double").union(none)

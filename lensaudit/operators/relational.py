@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns of a contingency table up to which it is written as a wide one.
+WIDEST = 1000
+
 
 def counts(df: DataFrame, key: str, name: str = "count") -> DataFrame:
     """Rows of each non-null key, most first."""
@@ -98,24 +101,24 @@ def boxplot(df: DataFrame, key: str, metric: str) -> DataFrame:
 def effects(df: DataFrame, group: str, metrics: Sequence[str], group_type: str | None = None, large: float = 0.8, least_n: int = 10) -> DataFrame:
     """Each group against all other rows, by metric: sizes, means, Cohen's d, and whether it is large.
 
-    The theta join (group <> other) isn't made: sums and sums of squares around each metric's overall mean give the rest
-    as total minus group. Null groups and metrics don't count.
+    The theta join (group <> other) isn't made, and rows are read once: each group's size, mean and squares around it are merged to those of
+    all rows, and the rest is all less the group. Null groups and metrics don't count.
     """
     names = [F.struct(F.lit(m).alias("metric"), F.lit(i).alias("_order"), F.col(m).cast("double").alias("_v")) for i, m in enumerate(metrics)]
     long = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("group_name"), F.explode(F.array(*names)).alias("_m")).select("group_name", "_m.*")
     long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    mean = long.groupBy("metric").agg(F.avg("_v").alias("_mean"))
-    centred = long.join(F.broadcast(mean), "metric").withColumn("_c", F.col("_v") - F.col("_mean"))
-    per = centred.groupBy("metric", "_order", "group_name", "_mean").agg(F.count("*").alias("n_g"), F.sum("_c").alias("s_g"), F.sum(F.col("_c") * F.col("_c")).alias("q_g"))
-    total = per.groupBy("metric").agg(F.sum("n_g").alias("n_t"), F.sum("s_g").alias("s_t"), F.sum("q_g").alias("q_t"))
-    x = per.join(F.broadcast(total), "metric").withColumns({"n_o": F.col("n_t") - F.col("n_g"), "s_o": F.col("s_t") - F.col("s_g"), "q_o": F.col("q_t") - F.col("q_g")})
+    per = long.groupBy("metric", "_order", "group_name").agg(F.count("*").alias("n_g"), F.avg("_v").alias("m_g"), (F.var_pop("_v") * F.count("*")).alias("q_g"))
+    whole = per.groupBy("metric").agg(F.sum("n_g").alias("n_t"), (F.sum(F.col("n_g") * F.col("m_g")) / F.sum("n_g")).alias("m_t"))
+    x = per.join(whole, "metric").withColumn("q_g_t", F.col("q_g") + F.col("n_g") * (F.col("m_g") - F.col("m_t")) * (F.col("m_g") - F.col("m_t")))
+    x = x.join(x.groupBy("metric").agg(F.sum("q_g_t").alias("q_t")), "metric").withColumn("n_o", F.col("n_t") - F.col("n_g"))
     some = F.nullif(F.col("n_o"), F.lit(0))
-    m2 = F.greatest(F.col("q_g") - F.col("s_g") * F.col("s_g") / F.col("n_g"), F.lit(0.0)) + F.greatest(F.col("q_o") - F.col("s_o") * F.col("s_o") / some, F.lit(0.0))
+    off = F.col("n_g") * (F.col("m_t") - F.col("m_g")) / some  # how far the rest's mean is from that of all
+    m2 = F.col("q_g") + F.greatest(F.col("q_t") - F.col("q_g_t") - F.coalesce(off * off * F.col("n_o"), F.lit(0.0)), F.lit(0.0))
     pooled = m2 / F.greatest(F.col("n_t") - 2, F.lit(1))
-    d = F.when((F.col("n_g") < 2) | (F.col("n_o") < 2), 0.0).otherwise((F.col("s_g") / F.col("n_g") - F.col("s_o") / some) / F.sqrt(F.greatest(pooled, F.lit(1e-8))))
+    d = F.when((F.col("n_g") < 2) | (F.col("n_o") < 2), 0.0).otherwise((F.col("m_g") - F.col("m_t") - off) / F.sqrt(F.greatest(pooled, F.lit(1e-8))))
     out = x.select(
-        F.lit(group_type or group).alias("group_type"), "group_name", "metric", F.col("n_g").alias("group_count"), (F.col("_mean") + F.col("s_g") / F.col("n_g")).alias("mean_in_group"),
-        (F.col("_mean") + F.col("s_o") / some).alias("mean_out_group"), d.alias("cohens_d_vs_rest"), "_order",
+        F.lit(group_type or group).alias("group_type"), "group_name", "metric", F.col("n_g").alias("group_count"), F.col("m_g").alias("mean_in_group"),
+        (F.col("m_t") + off).alias("mean_out_group"), d.alias("cohens_d_vs_rest"), "_order",
     )
     out = out.withColumn("suspicious_shortcut_signal", (F.abs("cohens_d_vs_rest") >= large) & (F.col("group_count") >= least_n))
     return out.orderBy("_order", "group_name").drop("_order")
@@ -133,22 +136,32 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     """(row, column, n) for all pairs of keys that occur, zeros included; pairs with a null don't count."""
     rows = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     n = rows.groupBy(row, column).agg(F.count("*").alias("n"))
-    every = n.select(row).distinct().crossJoin(F.broadcast(n.select(column).distinct()))
+    every = n.select(row).distinct().crossJoin(n.select(column).distinct())
     return every.join(n, [row, column], "left").select(row, column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def contingency_wide(df: DataFrame, row: str, column: str) -> DataFrame:
-    """A column for each value of `column`, for the CSV of an export; the long form is the one to compute with."""
+    """A column for each value of `column`, for the CSV of an export; with more than WIDEST values the long form of contingency()."""
     rows = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
-    return rows.groupBy(row).pivot(column).count().na.fill(0).orderBy(row)
+    values = [r[0] for r in rows.select(column).distinct().limit(WIDEST + 1).collect()]
+    if len(values) > WIDEST:
+        return contingency(df, row, column).orderBy(row, column)
+    return rows.groupBy(row).pivot(column, sorted(values)).count().na.fill(0).orderBy(row)
 
 
 def infer_domain(df: DataFrame, explicit: str, bucket: str) -> DataFrame:
     """Adds analysis_domain and its kind: the explicit domain if any row has one, else the resolution bucket."""
     any_ = df.agg(F.coalesce(F.bool_or(F.col(explicit).isNotNull()), F.lit(False)).alias("_any"))
-    chosen = F.when(F.col("_any"), F.coalesce(F.col(explicit).cast("string"), F.lit("unknown"))).otherwise(F.col(bucket))
+    row = lambda c: F.col(f"_row.`{c}`")
+    chosen = F.when(F.col("_any"), F.coalesce(row(explicit).cast("string"), F.lit("unknown"))).otherwise(row(bucket))
     kind = F.when(F.col("_any"), "explicit_source_domain").otherwise("inferred_resolution_bucket")
-    return df.crossJoin(F.broadcast(any_)).withColumns({"analysis_domain": chosen, "analysis_domain_kind": kind}).drop("_any")
+    return _carried(df, any_, {"analysis_domain": chosen, "analysis_domain_kind": kind})
+
+
+def _carried(df: DataFrame, one: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """df with new columns, which may use those of the one-row table `one`; rows are carried as a struct (_row), so that no name of theirs can clash."""
+    both = df.select(F.struct("*").alias("_row")).crossJoin(F.broadcast(one))
+    return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in new], *[c.alias(name) for name, c in new.items()])
 
 
 def membership(df: DataFrame, key: str, sets: dict[str, DataFrame]) -> DataFrame:
@@ -170,14 +183,16 @@ def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
     """column scaled to 0..1 as out; 0 throughout where its range is next to nothing."""
     x = F.col(column).cast("double")
     one = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    x = F.col(f"_row.`{column}`").cast("double")
     flat = F.abs(F.col("_hi") - F.col("_lo")) <= F.lit(1e-8) + F.lit(1e-5) * F.abs("_lo")
     scaled = F.when(x.isNull(), F.lit(None)).when(flat, 0.0).otherwise((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
-    return df.crossJoin(F.broadcast(one)).withColumn(out, scaled).drop("_lo", "_hi")
+    return _carried(df, one, {out: scaled})
 
 
-def distinct_rank(df: DataFrame, key: str, out: str) -> DataFrame:
-    """1-based rank of each distinct key, joined back. Ranks come from a distributed sort and the sizes of its partitions."""
-    spark = df.sparkSession
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
-    ranked = spark.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)), f"{key} {df.schema[key].dataType.simpleString()}, {out} bigint")
-    return df.join(ranked, key)
+def distinct_rank(df: DataFrame, key: str, out: str, prefix: int = 3) -> DataFrame:
+    """(key, 1-based rank) of each distinct non-null string key. A window runs over the keys of one beginning (as evenly spread as those of hashes), and beginnings are summed up."""
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.substring(key, 1, prefix).alias("_part")).distinct()
+    sizes = keys.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    ranked = keys.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("_key"))).join(before, "_part")
+    return ranked.select(F.col("_key").alias(key), (F.col("_before") + F.col("_place")).alias(out))

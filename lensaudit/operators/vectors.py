@@ -16,6 +16,16 @@ from .relational import min_max
 BLOCK = 4096
 
 
+def usable(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with sound vectors, and all others: null, empty, of another length than most, or with a null or non-finite component."""
+    v = F.col(vector)
+    sound = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = F.coalesce(sound, F.lit(False))
+    most = df.where(sound).groupBy(F.size(v).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    fine = sound & (F.size(v) == (most["n"] if most else 0))
+    return df.where(fine), df.where(~F.coalesce(fine, F.lit(False)))
+
+
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, centroid): mean vectors of non-null labels; partial sums of each position before the shuffle."""
     cells = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(label, F.posexplode(vector).alias("_p", "_x"))
@@ -52,17 +62,20 @@ def _nearest(k: int):
 
 
 def knn_distance(df: DataFrame, index: str, vector: str, k: int = 6, out: str = "knn_distance") -> DataFrame:
-    """(index, distance to the k-th nearest vector, the row itself counted); the last one if there are fewer.
+    """(index, distance to the k-th nearest vector, the row itself counted); the last one if there are fewer, null for vectors that usable() leaves out.
 
     Exact. Rows meet in pairs of blocks, each task holding two blocks, and hand on k distances a row; nothing is collected or crossed.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(index).alias("_i"), F.col(vector).alias("_v"))
+    sound, others = usable(df, vector)
+    kind = df.schema[index].dataType.simpleString()
+    rows = sound.select(F.col(index).alias("_i"), F.col(vector).alias("_v"))
     parts = max(1, -(-rows.count() // BLOCK))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(parts)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     both = rows.select(F.col("_b").alias("_p"), F.col("_o").alias("_q"), F.lit(0).alias("_side"), "_i", "_v").union(rows.select(F.col("_o").alias("_p"), F.col("_b").alias("_q"), F.lit(1).alias("_side"), "_i", "_v"))
-    near = both.groupBy("_p", "_q").applyInArrow(_nearest(k), "_i bigint, _near array<double>")
+    near = both.groupBy("_p", "_q").applyInArrow(_nearest(k), f"_i {kind}, _near array<double>")
     every = near.groupBy("_i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_n"))
-    return every.select(F.col("_i").alias(index), F.element_at("_n", -1).alias(out))
+    none = others.where(F.col(vector).isNotNull()).select(F.col(index), F.lit(None).cast("double").alias(out))
+    return every.select(F.col("_i").alias(index), F.element_at("_n", -1).alias(out)).union(none)
 
 
 def combine_scores(df: DataFrame, isolation: str, neighbours: str, centroid: str) -> DataFrame:

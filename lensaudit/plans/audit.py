@@ -78,8 +78,7 @@ def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | No
         files, decoded = spark.createDataFrame([], "image_path string, file_size_bytes bigint"), spark.createDataFrame([], "image_path string, height int, width int, nChannels int, data binary")
     if not config.csv_path:
         rows = records.folder_records(files, config.dataset_root, config.max_images)
-        if config.max_images:
-            decoded = decoded.join(rows.select("image_path"), "image_path", "left_semi")
+    decoded = decoded.join(rows.select("image_path").distinct(), "image_path", "left_semi")  # only listed images are measured
     spine = records.with_row_index(rows)
     measured = images.measure(decoded, embed)
     given = [c for c in spine.columns if c in measured.columns and c != "image_path"]

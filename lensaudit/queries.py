@@ -196,9 +196,9 @@ def knn_distance(spark, d):
 def outlier_combined(spark, d):
     rows = table(spark, d, "embeddings")
     near = vectors.knn_distance(rows, "vec_id", "embedding")
-    raw = vectors.centroid_distance(rows, "label", "embedding").select("vec_id", "label", "centroid_distance").join(near, "vec_id", "left").withColumn("isolation", F.lit(None).cast("double"))
+    raw = vectors.centroid_distance(rows, "label", "embedding").select("vec_id", "label", "centroid_distance").join(near, "vec_id", "left").withColumn("isolation", F.when(F.col("vec_id") % 11 != 0, (F.col("vec_id") * 7919 % 1009).cast("double")))
     scored = vectors.combine_scores(raw, "isolation", "knn_distance", "centroid_distance")
-    return rounded(scored.select("vec_id", "label", "outlier_embedding_nn", "outlier_class_centroid", "outlier_score", "outlier_reason"))
+    return rounded(scored.select("vec_id", "label", "outlier_quality_isolation", "outlier_embedding_nn", "outlier_class_centroid", "outlier_score", "outlier_reason"))
 
 
 def outlier_isolation(spark, d):
@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "suspicious_union": _effect_sql("m", "lang", "analysis_domain", ("n_chars", "beyond_ascii"), _effect_sql("q", "quality", "quality", DOC_METRICS, quality + ",") + ",") + f"SELECT * FROM ({_effect_rows('quality')} UNION ALL {_effect_rows('analysis_domain')}) WHERE suspicious_shortcut_signal",
         "contingency_long": """WITH r AS (SELECT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), n AS (SELECT lang, source, count(*) AS n FROM r GROUP BY ALL)
             SELECT a.lang, b.source, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang FROM r) a CROSS JOIN (SELECT DISTINCT source FROM r) b LEFT JOIN n ON n.lang = a.lang AND n.source = b.source""",
-        "contingency_wide": "PIVOT (SELECT o_orderpriority, o_orderstatus FROM orders) ON o_orderstatus USING count(*) GROUP BY o_orderpriority",
+        "contingency_wide": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + " FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority",
         "domain_inference": """WITH p AS (SELECT p_partkey, CASE WHEN p_size <= 25 THEN p_brand END AS source_domain, coalesce(p_size || 'x' || nullif(p_size % 7, 0), 'unknown') AS resolution_bucket FROM part)
             SELECT *, coalesce(source_domain, 'unknown') AS analysis_domain, 'explicit_source_domain' AS analysis_domain_kind, resolution_bucket AS inferred_domain, 'inferred_resolution_bucket' AS inferred_kind FROM p""",
         "aspect_ratio": "SELECT p_partkey, p_partkey % 997 AS width, p_size % 13 AS height, CASE WHEN p_size % 13 <> 0 THEN round_even((p_partkey % 997) / (p_size % 13)::DOUBLE, 4) END AS aspect_ratio FROM part",
@@ -327,8 +327,10 @@ def oracle_sql() -> dict[str, str]:
         "centroid_distance": f"WITH {_VECTORS} SELECT vec_id, round(d, 6) AS centroid_distance FROM cd",
         "knn_distance": f"WITH {_VECTORS} SELECT vec_id, round(d, 6) AS knn_distance FROM kd",
         "outlier_combined": f"""WITH {_VECTORS}, r AS (SELECT e.vec_id, e.label, cd.d AS c, kd.d AS k FROM embeddings e JOIN cd USING (vec_id) JOIN kd USING (vec_id)),
-            s AS (SELECT vec_id, label, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS nn, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS cc FROM r)
-            SELECT vec_id, label, round(nn, 6) AS outlier_embedding_nn, round(cc, 6) AS outlier_class_centroid, round((nn + cc) / 2, 6) AS outlier_score,
-            CASE WHEN nn >= 0.8 AND cc >= 0.8 THEN 'embedding is far from nearest neighbours; embedding is far from its class centroid' WHEN nn >= 0.8 THEN 'embedding is far from nearest neighbours'
-                 WHEN cc >= 0.8 THEN 'embedding is far from its class centroid' ELSE 'mildly unusual across detectors' END AS outlier_reason FROM s""",
+            i AS (SELECT *, CASE WHEN vec_id % 11 <> 0 THEN (vec_id * 7919 % 1009)::DOUBLE END AS f FROM r),
+            s AS (SELECT vec_id, label, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) AS ff, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS nn, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS cc FROM i)
+            SELECT vec_id, label, round(ff, 6) AS outlier_quality_isolation, round(nn, 6) AS outlier_embedding_nn, round(cc, 6) AS outlier_class_centroid,
+            round((coalesce(ff, 0) + nn + cc) / (2 + (ff IS NOT NULL)::INT), 6) AS outlier_score,
+            coalesce(nullif(concat_ws('; ', CASE WHEN ff >= 0.8 THEN 'quality features are unusual' END, CASE WHEN nn >= 0.8 THEN 'embedding is far from nearest neighbours' END,
+                CASE WHEN cc >= 0.8 THEN 'embedding is far from its class centroid' END), ''), 'mildly unusual across detectors') AS outlier_reason FROM s""",
     }

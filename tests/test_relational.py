@@ -190,3 +190,52 @@ def test_tsne_gives_every_row_coordinates(spark):
 def test_tsne_query_lays_out_more_than_500_rows(spark):
     got = queries.tsne_projection(spark, "/root/testdata/sf0.1").agg(F.count("*"), F.count("tsne_x")).first()
     assert tuple(got) == (2000, 2000)
+
+
+def test_names_of_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "x", "1x1", 2.0, "ab"), (2, None, "2x2", 4.0, "ab")], "cluster_id int, _any string, _lo string, _hi double, _hash string")
+    assert {r["score"] for r in relational.min_max(df, "_hi", "score").collect()} == {0.0, 1.0}
+    assert [r["analysis_domain"] for r in relational.infer_domain(df, "_any", "_lo").orderBy("cluster_id").collect()] == ["x", "unknown"]
+    got = duplicates.exact_groups(df, "_hash", ["_any", "_lo"]).collect()
+    assert [r["cluster_id"] for r in got] == [1, 1] and {r["_lo"] for r in got} == {"1x1", "2x2"}
+
+
+def test_ranks_of_many_keys(spark):
+    keys = sorted({f"{i * 2654435761 % 2**32:08x}" for i in range(500)})
+    got = {r["k"]: r["rank"] for r in relational.distinct_rank(spark.createDataFrame([(k,) for k in keys * 2] + [(None,)], "k string"), "k", "rank").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(keys)}
+
+
+def test_near_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        a, d = (int(x) for x in rng.integers(-(2**63), 2**63, 2)) if i % 6 == 0 else rows[-1][1:]
+        for _ in range(int(rng.integers(0, 4))):
+            a ^= 1 << int(rng.integers(0, 40))
+            d ^= 1 << int(rng.integers(0, 63))
+        rows.append((i, a, d))
+    apart = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] >> 48) == (y[1] >> 48) and apart(x[1], y[1]) <= 6 and apart(x[2], y[2]) <= 6}
+    got = [(r["left_index"], r["right_index"]) for r in duplicates.near_pairs(spark.createDataFrame(rows, "i int, a bigint, d bigint"), "i", "a", "d").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_unsound_vectors_have_no_place(spark):
+    rows = [(i, "a", [float(i), float(i * i % 7), 1.0]) for i in range(8)] + [(20, "a", None), (21, "a", [1.0, None, 2.0]), (22, "a", [1.0, 2.0]), (23, "a", [float("nan")] * 3), (24, "a", [])]
+    df = spark.createDataFrame(rows, "i bigint, l string, v array<double>")
+    for found, column in ((projection.pca(df, "i", "v"), "pca_x"), (projection.tsne(df, "i", "v"), "tsne_x"), (vectors.knn_distance(df, "i", "v"), "knn_distance")):
+        got = {r["i"]: r[column] for r in found.collect()}
+        assert {i for i, x in got.items() if x is None} == {21, 22, 23, 24} and len(got) == 12
+    x = np.array([r[2] for r in rows[:8]])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    best = (x - x.mean(0)) @ axes[:, ::-1][:, :2]
+    got = np.array([[r["pca_x"], r["pca_y"]] for r in projection.pca(df, "i", "v").where("i < 20").orderBy("i").collect()])
+    assert np.allclose(np.abs(got), np.abs(best), atol=1e-8)
+
+
+def test_wide_tables_have_a_bound(spark, monkeypatch):
+    df = spark.createDataFrame([("a", f"c{i}") for i in range(9)], "l string, d string")
+    assert len(relational.contingency_wide(df, "l", "d").columns) == 10
+    monkeypatch.setattr(relational, "WIDEST", 5)
+    assert relational.contingency_wide(df, "l", "d").columns == ["l", "d", "n"]

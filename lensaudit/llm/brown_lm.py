@@ -361,12 +361,14 @@ def brown_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", t
         if so_far > KNOWN:
             break
         least = r["level"]
-    top = vocabulary.where((level >= least) | (F.col("token") == 0)).toArrow()  # the end of a text always
-    token, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    # The end of a text always, and the words to be clustered, however rare they are.
+    first = vocabulary.where("token <> 0").orderBy(F.desc("n"), "token").limit(WORDS).toArrow()
+    top = vocabulary.where((level >= least) | (F.col("token") == 0)).toArrow()
+    words = np.sort(first.column("token").to_numpy().view(np.uint64))
+    token, at = np.unique(np.concatenate([t.column("token").to_numpy() for t in (first, top)]), return_index=True)
+    n = np.concatenate([t.column("n").to_numpy() for t in (first, top)])[at]
     order = np.argsort(token.view(np.uint64))
     known, known_n = token.view(np.uint64)[order], n[order]
-    best = np.lexsort((known, -known_n))
-    words = np.sort(known[[i for i in best[: WORDS + 1] if known[i] != END][:WORDS]])
     pairs = _pair_matrix(learn.mapInArrow(_pairs(spark.sparkContext.broadcast(words)), "pair bigint, n bigint"), ITEMS)
     label = exchange_classes(pairs, CLASSES)
     discard(vocabulary)

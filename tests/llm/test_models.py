@@ -433,3 +433,13 @@ def test_texts_of_some_megabytes(spark, long_docs, name):
     assert name != "substring" or (got[1]["n_removed"], got[3]["n_removed"], got[4]["n_removed"]) == (LONG, LONG // 2, 0)
     assert name != "near" or (got[2]["component_id"], got[3]["component_id"], got[1]["n_shingles"]) == (1, 3, LONG - 4)
     assert name != "bpe" or got[1]["decoded"].count(" ") == LONG - 1
+
+
+def test_brown_clusters_words_however_rare(spark, monkeypatch):
+    """All words of one count, more than are broadcast: some of them are exchanged all the same, and counts stay right."""
+    monkeypatch.setattr(brown_lm, "KNOWN", 100)
+    rows = [(i, " ".join(f"v{i}x{j}" for j in range(40)), "", "") for i in range(30)]
+    got = brown_scores(frame(spark, rows), F.lit(False)).collect()
+    total, distinct = 30 * 41, 30 * 40 + 1
+    base = 40 * math.log10(1.5 / (total + 0.5 * (distinct + 1))) + math.log10(30.5 / (total + 0.5 * (distinct + 1)))
+    assert all(r["n_known"] == 41 and r["base_score"] == pytest.approx(base) and math.isfinite(r["score"]) for r in got)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 #: Columns of a contingency table up to which it is written as a wide one.
 WIDEST = 1000
 
@@ -40,12 +42,17 @@ def totals(df: DataFrame, label: str, readable: Column, domain: str | None = Non
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows count, mean, std (sample), min, 25%, 50%, 75% (interpolated), max; a column for each measure."""
+    """Rows count, mean, std (sample), min, 25%, 50%, 75% (interpolated), max; a column for each measure. Long columns have their quartiles found by ranges of values."""
+    present = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    most = max(df.agg(*[F.count(x).alias(f"_{i}") for i, x in enumerate(present)]).first() or [0], default=0)
+    ranged = {}
+    if most > quantiles.HELD:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), x.alias("_x")) for i, x in enumerate(present)])).alias("_r")).select("_r.*").where("_x IS NOT NULL")
+        ranged = {r["_i"]: r["_q"] for r in quantiles.quartiles(long, "_i", "_x").collect()}
     aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    for i, x in enumerate(present):
+        held = F.percentile(x, F.array(*map(F.lit, quantiles.QUARTILES)))
+        quartiles = (F.array(*map(F.lit, ranged[i])) if i in ranged else F.lit(None).cast("array<double>")) if most > quantiles.HELD else held
         aggs.append(F.struct(F.count(x).cast("double").alias("a"), F.avg(x).alias("b"), F.stddev_samp(x).alias("c"), F.min(x).alias("d"), quartiles.alias("q"), F.max(x).alias("e")).alias(f"_{i}"))
     one = df.agg(*aggs)
     names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -89,10 +96,10 @@ def histogram(df: DataFrame, metric: str, bins: int = 30) -> DataFrame:
 
 
 def boxplot(df: DataFrame, key: str, metric: str) -> DataFrame:
-    """Quartiles of each key, and the outermost values within 1.5 times their distance."""
+    """Quartiles of each key, and the outermost values within 1.5 times their distance. No key's values are gathered beyond quantiles.HELD."""
     x = F.col(metric).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x) & F.col(key).isNotNull()).select(key, x.alias("_x"))
-    q = rows.groupBy(key).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")).select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantiles.quartiles(rows, key, "_x").select(key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = rows.join(q, key).where((F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach))
     return inside.groupBy(key, "q1", "median", "q3").agg(F.min("_x").alias("whisker_low"), F.max("_x").alias("whisker_high")).orderBy(key)

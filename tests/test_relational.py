@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lensaudit import queries
 from lensaudit.functions import columns as C
-from lensaudit.operators import duplicates, isolation, projection, relational, vectors
+from lensaudit.operators import duplicates, isolation, projection, quantiles, relational, vectors
 
 
 def one(spark, expr, **values):
@@ -59,6 +59,30 @@ def test_describe_histogram_boxplot_of_constants_and_nothing(spark):
     assert {r["v"] for r in relational.standardise(df, ["v"]).collect()} == {0.0, None}
 
 
+@pytest.mark.parametrize("held", [0, 40, 1 << 20])
+def test_quartiles_by_ranges_against_sorted_values(spark, monkeypatch, held):
+    rng = np.random.default_rng(3)
+    groups = {
+        "hot": (10 ** rng.normal(0, 12, 900)).tolist(), "ties": [1.0] * 50 + [2.0] * 49, "one": [7.0], "two": [-1.5, 1e300], "wide": [-1e308, 1e308, 0.0, 5.0, -5.0],
+        "endless": [float("-inf"), 3.0, 4.0, float("inf"), float("inf"), *range(60)], "tiny": [5e-324 * i for i in range(70)],
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, v double").repartition(5)
+    got = {r["g"]: r["_q"] for r in quantiles.quartiles(df, "g", "v", held).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        xs = sorted(map(float, xs))
+        for p, q in zip(quantiles.QUARTILES, got[g], strict=True):
+            at = p * (len(xs) - 1)
+            low, high = xs[int(at)], xs[min(int(at) + 1, len(xs) - 1)]
+            assert q == pytest.approx(low if at == int(at) or low == high else (int(at) + 1 - at) * low + (at - int(at)) * high, rel=1e-12)
+    monkeypatch.setattr(quantiles, "HELD", held)
+    some = df.where("g IN ('ties', 'one')").withColumn("w", F.lit(None).cast("double")).withColumn("n", F.when(F.col("g") == "one", float("nan")).otherwise(F.col("v")))
+    d = {r["statistic"]: r for r in relational.describe(some, ["v", "w", "n"]).collect()}
+    assert [d[s]["v"] for s in ("count", "25%", "50%", "75%", "max")] == [100, 1, 1.5, 2, 7] and d["50%"]["w"] is None and (d["count"]["n"], d["50%"]["n"]) == (99, 1)
+    assert {r["g"]: (r["q1"], r["whisker_high"]) for r in relational.boxplot(some, "g", "n").collect()} == {"ties": (1, 2)}
+    assert quantiles.quartiles(df.where("false"), "g", "v", held).count() == 0
+
+
 def test_correlation_is_pairwise_complete(spark):
     rows = [(1.0, 2.0, None), (2.0, 4.5, 1.0), (3.0, 5.0, 0.0), (4.0, None, 5.0), (5.0, 9.0, float("nan"))]
     got = {(r["x"], r["y"]): r["r"] for r in relational.correlation(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -23,7 +24,10 @@ class AuditConfig:
     max_images: int | None = None
     recursive: bool = True
     quality_metrics: tuple[str, ...] = QUALITY_METRICS
+    #: Images that a worker holds at a time.
     batch_size: int = 32
+    #: CSV tables as folders of ordered parts, written by many tasks, in place of one file each.
+    csv_folders: bool = False
     seed: int = 42
     montage_tile: int = 180
     montage_columns: int = 5
@@ -38,12 +42,15 @@ class AuditConfig:
     report_rows: int = field(default=8)
 
     def validate(self) -> AuditConfig:
-        """Resolves paths; a folder or a CSV must be given, the CSV wins."""
+        """Resolves paths, leaves URIs as they are; a folder or a CSV must be given, the CSV wins."""
         if not self.dataset_root and not self.csv_path:
             raise ValueError("give dataset_root or csv_path")
         if self.max_images is not None and self.max_images < 0:
             raise ValueError("max_images can't be negative")
+        if self.batch_size < 1:
+            raise ValueError("batch_size can't be less than 1")
         for name in ("dataset_root", "csv_path", "path_root", "output_dir"):
-            if value := getattr(self, name):
+            value = re.sub("^file:/+", "/", getattr(self, name) or "")
+            if value and "://" not in value:
                 setattr(self, name, str(Path(value).expanduser().resolve()))
         return self

@@ -7,7 +7,6 @@ stages read that; what a stage hands the driver is a table of classes, metrics o
 from __future__ import annotations
 
 import os
-import shutil
 from collections.abc import Callable
 from pathlib import Path
 
@@ -22,67 +21,74 @@ from ..operators import duplicates, isolation, projection, relational, vectors
 from ..report import charts
 from ..report.markdown import Section, report
 from ..shipping import ship_code
-from ..sources import images, records
+from ..sources import files, images, records
+from ..sources.decoders import Decoder
 
 SIZES = ("width", "height", "aspect_ratio", "file_size_bytes")
 SCORES = ("outlier_quality_isolation", "outlier_embedding_nn", "outlier_class_centroid", "outlier_score", "outlier_reason")
 #: Points of a scatter chart up to which each row is one; cells across and down in which more rows are counted.
 POINTS, CELLS = 5000, (120, 80)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COLOURS = ("label", "brightness", "blur_score", "analysis_domain", "source_domain")
 
 
 class Outputs:
-    """Files of a run: CSV by Spark as one ordered file, text and pictures by the driver."""
+    """Files of a run, in a folder or below a URI: CSV by Spark, as one ordered file or (folders) as one in ordered parts, text and pictures (montages by `decoder`) by the driver."""
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    def __init__(self, spark: SparkSession, folder: str, folders: bool = False, decoder: Decoder | None = None):
+        self.spark, self.folder, self.folders, self.decoder = spark, folder.rstrip("/"), folders, decoder
 
-    def path(self, name: str) -> Path:
-        at = self.folder / name
-        at.parent.mkdir(parents=True, exist_ok=True)
-        return at
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
 
     def text(self, name: str, text: str) -> None:
-        self.path(name).write_text(text, encoding="utf-8")
+        files.write(self.spark, self.path(name), text.encode())
 
     def data(self, name: str, data: bytes | None) -> None:
         if data is not None:
-            self.path(name).write_bytes(data)
+            files.write(self.spark, self.path(name), data)
 
     def csv(self, name: str, df: DataFrame) -> None:
-        """One file with header, rows in df's order; arrays are left out."""
-        flat = df.select(*[c for c, kind in df.dtypes if not kind.startswith(("array", "binary"))])
-        part = self.path(name + ".parts")
-        flat.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"file://{part}")
-        made = next(part.glob("part-*.csv"), None)
-        if made is None:
+        """With header, rows in df's order; arrays are left out."""
+        flat = df.select(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("array", "binary"))])
+        part = self.path(name if self.folders else name + ".parts")
+        (flat if self.folders else flat.coalesce(1)).write.mode("overwrite").option("header", True).option("escape", '"').csv(files.uri(part))
+        if not self.folders and not files.take_part(self.spark, part, self.path(name)):
             self.text(name, ",".join(flat.columns) + "\n")
-        else:
-            os.replace(made, self.folder / name)
-        shutil.rmtree(part)
 
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        """Parquet, written and read again: what later stages start from."""
+        at = files.uri(self.path(name))
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
 
-def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | None = kernels.grid_embedding) -> DataFrame:
-    """The spine: a row for each listed image, readable or not, with measures and domains, numbered in path or file order."""
+
+def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None) -> DataFrame:
+    """The spine: a row for each listed image, readable or not, with measures and domains, numbered in path or file order.
+
+    A manifest may name files of any suffix. Images are decoded by the JVM, or from their bytes by `decoder`.
+    """
     cwd = os.getcwd()
     if config.csv_path:
         manifest = records.read_manifest(spark, config.csv_path)
         rows = records.csv_records(manifest, config.image_column, config.label_column, config.source_column, config.path_root, cwd, config.max_images)
         parents = rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("p")).distinct()
-        roots, recursive = [r["p"] for r in parents.toLocalIterator() if r["p"] and os.path.isdir(r["p"])], False
+        roots, recursive = [r["p"] for r in parents.toLocalIterator() if r["p"] and files.exists(spark, r["p"], folder=True)], False
     else:
         roots, recursive = [config.dataset_root], config.recursive
     if roots:
-        files, decoded = images.list_files(spark, roots, recursive), images.decode(spark, roots, recursive)
+        where = (spark, roots, recursive, bool(config.csv_path))
+        listed, pictures = images.list_files(*where), (images.contents if decoder else images.decode)(*where)
     else:
-        files, decoded = spark.createDataFrame([], "image_path string, file_size_bytes bigint"), spark.createDataFrame([], "image_path string, height int, width int, nChannels int, data binary")
+        listed = spark.createDataFrame([], "image_path string, file_size_bytes bigint")
+        pictures = spark.createDataFrame([], "image_path string, " + ("content binary" if decoder else "height int, width int, nChannels int, data binary"))
     if not config.csv_path:
-        rows = records.folder_records(files, config.dataset_root, config.max_images)
-    decoded = decoded.join(rows.select("image_path").distinct(), "image_path", "left_semi")  # only listed images are measured
+        rows = records.folder_records(listed, config.dataset_root, config.max_images)
+    pictures = pictures.join(rows.select("image_path").distinct(), "image_path", "left_semi")  # only listed images are measured
     spine = records.with_row_index(rows)
-    measured = images.measure(decoded, embed)
+    measured = images.measure(pictures, embed, decoder)
     given = [c for c in spine.columns if c in measured.columns and c != "image_path"]
-    spine = spine.withColumnsRenamed({c: f"_given_{c}" for c in given}).join(files, "image_path", "left").join(measured, "image_path", "left")
+    spine = spine.withColumnsRenamed({c: f"_given_{c}" for c in given}).join(listed, "image_path", "left").join(measured, "image_path", "left")
     for c in given:  # values of the manifest count where an image gives none
         spine = spine.withColumn(c, F.coalesce(C.no_nan(F.col(c)) if c in QUALITY_METRICS else F.col(c), F.expr(f"try_cast(`_given_{c}` AS {measured.schema[c].dataType.simpleString()})"))).drop(f"_given_{c}")
     spine = spine.withColumns({
@@ -101,18 +107,21 @@ def _first(df: DataFrame, n: int) -> list:
     return df.limit(n).collect()
 
 
-def _pixels(spark: SparkSession, paths: list[str]) -> dict[str, np.ndarray]:
+def _pixels(spark: SparkSession, paths: list[str], decoder: Decoder | None) -> dict[str, np.ndarray]:
     """Decoded pictures for a montage: of at most some fifty files."""
-    found = [p for p in dict.fromkeys(paths) if os.path.exists(p)]
+    found = [images.literal(p) for p in dict.fromkeys(paths) if files.exists(spark, p)]
     if not found:
         return {}
-    got = spark.read.format("image").option("dropInvalid", "true").load([images.literal(p) for p in found])
+    if decoder:
+        got = spark.read.format("binaryFile").load(found).select(images.plain_path(F.col("path")).alias("p"), "content").collect()
+        return {r["p"]: decoder(bytes(r["content"])) for r in got}
+    got = spark.read.format("image").option("dropInvalid", "true").load(found)
     rows = got.select(images.plain_path(F.col("image.origin")).alias("p"), "image.height", "image.width", "image.nChannels", "image.data").collect()
     return {r["p"]: images.pixels(r["height"], r["width"], r["nChannels"], bytes(r["data"])) for r in rows}
 
 
 def _montage(spark, out: Outputs, name: str, paths: list[str], config: AuditConfig, columns: int | None = None) -> None:
-    seen = _pixels(spark, paths)
+    seen = _pixels(spark, paths, out.decoder)
     out.data(name, charts.montage([seen.get(p) for p in paths], config.montage_tile, columns or config.montage_columns))
 
 
@@ -153,7 +162,7 @@ def assess_quality(spine: DataFrame, config: AuditConfig, out: Outputs) -> Secti
     r = relational.correlation(spine, config.quality_metrics)
     out.csv("quality/quality_metric_correlation.csv", r)
     out.text("quality/quality_metric_correlation.svg", charts.heat_map("Quality Metric Correlation", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
-    section = Section("Image measures", [("measures", ", ".join(config.quality_metrics)), ("charts, extremes and montages", f"`{out.folder / 'quality'}`")])
+    section = Section("Image measures", [("measures", ", ".join(config.quality_metrics)), ("charts, extremes and montages", f"`{out.path('quality')}`")])
     out.text("quality/quality_summary.md", section.markdown())
     return section
 
@@ -230,8 +239,9 @@ def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, statu
                 out.text(f"embeddings/{p}_by_{colour}.svg", charts.scatter(title, rows))
     size = spine.where("embedding IS NOT NULL").select(F.size("embedding")).first()[0]
     cells = [F.get("embedding", F.lit(i)).alias(f"embedding_{i:03d}") for i in range(size)]
-    out.csv("embeddings/embedding_table.csv", spine.orderBy("row_index").select("image_path", "label", "source_domain", "analysis_domain", "analysis_domain_kind", *cells, *names))
-    section = Section("Vectors and projections", [("made by", status), ("rows with a vector", n), ("projections drawn", "PCA and t-SNE" if n >= 5 else "PCA"), ("charts and table", f"`{out.folder / 'embeddings'}`")])
+    given = [c for c in spine.columns if (c.startswith("embedding_") or c.endswith(("_x", "_y"))) and c not in (*names, *(f"embedding_{i:03d}" for i in range(size)))]
+    out.csv("embeddings/embedding_table.csv", spine.orderBy("row_index").select("image_path", "label", "source_domain", "analysis_domain", "analysis_domain_kind", *[F.col(f"`{c}`") for c in given], *cells, *names))
+    section = Section("Vectors and projections", [("made by", status), ("rows with a vector", n), ("projections drawn", "PCA and t-SNE" if n >= 5 else "PCA"), ("charts and table", f"`{out.path('embeddings')}`")])
     out.text("embeddings/embedding_summary.md", section.markdown())
     return spine, section
 
@@ -249,7 +259,7 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
     else:
         raw = base.withColumns({"centroid_distance": F.lit(0.0), "knn_distance": F.lit(0.0)})
     scored = vectors.combine_scores(raw.join(forest, "row_index", "left"), "isolation", "knn_distance", "centroid_distance").select("row_index", *SCORES)
-    full = spine.join(scored, "row_index", "left").persist()
+    full = spine.join(out.table("scores.parquet", scored), "row_index", "left")
     ranked = full.where("outlier_score IS NOT NULL").orderBy(F.desc("outlier_score"), "row_index")
     out.csv("outlier_scores.csv", ranked)
     out.csv("top_suspicious_samples.csv", ranked.limit(config.outlier_k))
@@ -264,14 +274,17 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
 MULTI_VIEW = Section("Views of one object", remark="Each image is judged by itself. Manifest columns that name the object and the view would be passed through to all tables, but nothing joins rows by them.")
 
 
-def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model") -> DataFrame:
+def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model", decoder: Decoder | None = None) -> DataFrame:
     """All stages and their files; returns the final spine."""
     config.validate()
     ship_code(spark)
-    out = Outputs(config.output_dir)
-    at = f"file://{out.path('spine.parquet')}"
-    ingest(spark, config, embed).write.mode("overwrite").parquet(at)
-    spine = spark.read.parquet(at)
+    out = Outputs(spark, config.output_dir, config.csv_folders, decoder)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, config.batch_size)
+    try:
+        spine = out.table("spine.parquet", ingest(spark, config, embed, decoder))
+    finally:
+        spark.conf.set(BATCH, before)
     ordered = lambda df: df.orderBy("row_index").drop("row_index")
     base = [c for c in spine.columns if c not in (*QUALITY_METRICS, "ahash", "dhash", "ahash_bits", "dhash_bits", "embedding")]
     out.csv("dataset_manifest.csv", ordered(spine.select(*base)))

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from ..config import AuditConfig
 from ..report.markdown import html_page
+from ..sources import decoders
 from ..sources.records import pets_manifest
 from .audit import Outputs, run_audit
 
@@ -23,6 +24,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--label-column", default="label")
     a.add_argument("--output-dir", default="outputs/default_run")
     a.add_argument("--max-images", type=int)
+    a.add_argument("--batch-size", type=int, default=32)
+    a.add_argument("--csv-folders", action="store_true", help="write each CSV table as a folder of parts")
+    a.add_argument("--decoder", choices=("jvm", "pillow"), default="jvm")
     h = sub.add_parser("html", help="a Markdown report as one HTML page")
     h.add_argument("--input-md", required=True)
     h.add_argument("--output-html")
@@ -33,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("lensaudit").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.maxRecordsPerBatch", "32").getOrCreate()
+    return SparkSession.builder.appName("lensaudit").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -46,7 +50,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "pets":
         root = Path(args.dataset_root).expanduser().resolve()
         target = Path(args.output_csv) if args.output_csv else root / "pets_manifest.csv"
-        Outputs(str(target.parent)).csv(target.name, pets_manifest(session(), str(root)))
+        spark = session()
+        Outputs(spark, str(target.parent)).csv(target.name, pets_manifest(spark, str(root)))
     else:
-        values = {k: v for k, v in vars(args).items() if k != "command"}
-        run_audit(session(), AuditConfig(**values))
+        values = {k: v for k, v in vars(args).items() if k not in ("command", "decoder")}
+        run_audit(session(), AuditConfig(**values), decoder=decoders.pillow() if args.decoder == "pillow" else None)

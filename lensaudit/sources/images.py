@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import EXTENSIONS, QUALITY_METRICS
 from ..functions import kernels
+from .decoders import Decoder
+from .files import is_uri
 
 #: Pixels to an embedding. A model is loaded where the function is first called, once a worker.
 Embedder = Callable[[np.ndarray], np.ndarray]
@@ -31,21 +33,34 @@ def plain_path(uri: Column) -> Column:
 
 def literal(path: str) -> str:
     """A path for load() that means itself, whatever it holds of a glob's signs."""
-    return "file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return ("" if is_uri(path) else "file://") + re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def list_files(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
-    """(image_path, file_size_bytes); contents aren't read. Hidden files are passed over."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", any_case()).option("recursiveFileLookup", str(recursive).lower()).load([literal(r) for r in roots])
+def _load(spark: SparkSession, kind: str, roots: list[str], recursive: bool, any_suffix: bool) -> DataFrame:
+    reader = spark.read.format(kind).option("recursiveFileLookup", str(recursive).lower())
+    if kind == "image":
+        reader = reader.option("dropInvalid", "false")
+    return (reader if any_suffix else reader.option("pathGlobFilter", any_case())).load([literal(r) for r in roots])
+
+
+def list_files(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False) -> DataFrame:
+    """(image_path, file_size_bytes); contents aren't read. Hidden files are passed over. any_suffix: files that a manifest may name, whatever they are called."""
+    files = _load(spark, "binaryFile", roots, recursive, any_suffix)
     return files.select(plain_path(F.col("path")).alias("image_path"), F.col("length").alias("file_size_bytes"))
 
 
-def decode(spark: SparkSession, roots: list[str], recursive: bool = True) -> DataFrame:
-    """(image_path, height, width, nChannels, data); files that can't be decoded have a height of -1."""
-    images = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", any_case()).option("recursiveFileLookup", str(recursive).lower()).load([literal(r) for r in roots])
+def decode(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False) -> DataFrame:
+    """(image_path, height, width, nChannels, data) by the JVM; files that can't be decoded have a height of -1."""
+    images = _load(spark, "image", roots, recursive, any_suffix)
     return images.select(plain_path(F.col("image.origin")).alias("image_path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
+def contents(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False) -> DataFrame:
+    """(image_path, content): bytes as they are, for measure() with a decoder of one's own."""
+    files = _load(spark, "binaryFile", roots, recursive, any_suffix)
+    return files.select(plain_path(F.col("path")).alias("image_path"), "content")
+
+
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """RGB from the source's BGR, gray or BGRA bytes."""
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
@@ -55,15 +70,28 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 MEASURES = "image_path string, width int, height int, is_readable boolean, load_error string, " + ", ".join(f"{m} double" for m in QUALITY_METRICS) + ", ahash_bits bigint, dhash_bits bigint, embedding array<float>"
 
 
-def _measure(embed: Embedder | None):
+def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[str, np.ndarray | None, str]]:
+    """Path, pixels or None, and why there are none."""
+    if decoder is None:
+        for path, height, width, channels, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+            good = (height.as_py() or -1) > 0
+            yield path.as_py(), pixels(height.as_py(), width.as_py(), channels.as_py(), data.as_buffer()) if good else None, "cannot identify image file"
+        return
+    for path, content in zip(batch.column(0), batch.column(1), strict=True):
+        try:
+            yield path.as_py(), decoder(content.as_py()), ""
+        except (OSError, ValueError) as e:
+            yield path.as_py(), None, str(e) or type(e).__name__
+
+
+def _measure(embed: Embedder | None, decoder: Decoder | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, height, width, channels, data in zip(*(batch.column(i) for i in range(5)), strict=True):
-                row: dict = {"image_path": path.as_py(), "is_readable": False, "load_error": "cannot identify image file"}
-                if (height.as_py() or -1) > 0:
-                    rgb = pixels(height.as_py(), width.as_py(), channels.as_py(), data.as_buffer())
-                    row = {"image_path": row["image_path"], "width": width.as_py(), "height": height.as_py(), "is_readable": True, "load_error": None}
+            for path, rgb, error in _pictures(batch, decoder):
+                row: dict = {"image_path": path, "is_readable": False, "load_error": error}
+                if rgb is not None:
+                    row = {"image_path": path, "width": rgb.shape[1], "height": rgb.shape[0], "is_readable": True, "load_error": None}
                     row |= kernels.quality(rgb) | {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
                     if embed is not None:
                         row["embedding"] = embed(rgb)
@@ -75,8 +103,6 @@ def _measure(embed: Embedder | None):
     return run
 
 
-def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding) -> DataFrame:
-    """Of decode(): sizes, quality measures, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row."""
-    return images.mapInArrow(_measure(embed), MEASURES)
-
-
+def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None) -> DataFrame:
+    """Of decode(), or of contents() with a decoder: sizes, quality measures, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row."""
+    return images.mapInArrow(_measure(embed, decoder), MEASURES)

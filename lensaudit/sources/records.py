@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators.relational import membership
+from .files import exists, normal, uri
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -29,18 +30,18 @@ def folder_records(files: DataFrame, root: str, max_images: int | None = None) -
 
 
 def _normal(path: pd.Series) -> pd.Series:
-    return path.map(lambda p: os.path.normpath(p) if p else p)
+    return path.map(lambda p: normal(p) if p else p)
 
 
 def resolved_path(raw, root: str | None, cwd: str):
-    """Absolute paths as they are, `~` expanded, others below root or the working directory; `..` resolved."""
+    """Absolute paths and URIs as they are, `~` expanded, others below root or the working directory; `..` and links resolved."""
     raw = F.regexp_replace(raw, "^~(?=/|$)", os.path.expanduser("~"))
-    return F.pandas_udf(_normal, "string")(F.when(raw.startswith("/"), raw).otherwise(F.concat(F.lit((root or cwd).rstrip("/") + "/"), raw)))
+    return F.pandas_udf(_normal, "string")(F.when(raw.startswith("/") | raw.contains("://"), F.regexp_replace(raw, "^file:/+", "/")).otherwise(F.concat(F.lit((root or cwd).rstrip("/") + "/"), raw)))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header in file order, missing-value tokens as nulls, types inferred after that."""
-    text = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
+    text = spark.read.csv(uri(path), header=True, inferSchema=False, escape='"', multiLine=True)
     text = text.select(*[C.missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
     kinds = {}
     checks = [F.struct(*[F.coalesce(F.bool_and(F.col(f"`{c}`").isNull() | F.expr(f"try_cast(`{c}` AS {k})").isNotNull()), F.lit(True)).alias(k) for k in ("bigint", "double")], F.count(F.col(f"`{c}`")).alias("n")).alias(str(i)) for i, c in enumerate(text.columns)]
@@ -67,18 +68,18 @@ def csv_records(manifest: DataFrame, image_column: str, label_column: str, sourc
 
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
     """The first token of each line of an id list, distinct; nothing if there is no such file."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "image_id string")
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    lines = spark.read.text(uri(path)).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     return lines.select(F.split(F.trim("value"), r"\s+")[0].alias("image_id")).distinct()
 
 
 def pets_manifest(spark: SparkSession, root: str) -> DataFrame:
     """The annotation list of a pets dataset as a manifest, in the order of its lines. Lines without exactly four fields raise."""
     at = os.path.join(root, "annotations")
-    if not os.path.exists(os.path.join(at, "list.txt")):
+    if not exists(spark, os.path.join(at, "list.txt")):
         raise FileNotFoundError(os.path.join(at, "list.txt"))
-    lines = spark.read.text(os.path.join(at, "list.txt")).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    lines = spark.read.text(uri(os.path.join(at, "list.txt"))).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.split(F.trim("value"), r"\s+")
     f = F.when(F.size(f) == 4, f).otherwise(F.raise_error(F.concat(F.lit("expected four fields: "), F.col("value"))))
     rows = with_row_index(lines.select(f.alias("f")).select(F.col("f")[0].alias("image_id"), F.col("f")[1].alias("class"), F.col("f")[2].alias("kind"), F.col("f")[3].alias("breed")))

@@ -4,12 +4,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lensaudit.config import AuditConfig
 from lensaudit.functions import kernels as K
 from lensaudit.functions.png import encode_png
 from lensaudit.plans import audit, cli
-from lensaudit.sources import records
+from lensaudit.sources import files, records
 
 
 def solid(*rgb, size=(20, 30)):
@@ -140,7 +141,7 @@ def test_scatter_charts_show_all_rows(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, f"/{i}.png", "ab"[i % 2], None, "d", "explicit", float(i % 9), 1.0, [float(x) for x in rng.normal(size=3)]) for i in range(5200)]
     spine = spark.createDataFrame(rows, "row_index bigint, image_path string, label string, source_domain string, analysis_domain string, analysis_domain_kind string, brightness double, blur_score double, embedding array<float>")
-    audit.embed_and_project(spine, AuditConfig(dataset_root=str(tmp_path)), audit.Outputs(str(tmp_path / "out")), "none")
+    audit.embed_and_project(spine, AuditConfig(dataset_root=str(tmp_path)), audit.Outputs(spine.sparkSession, str(tmp_path / "out")), "none")
     for name in ("pca_by_label", "tsne_by_brightness"):
         svg = (tmp_path / f"out/embeddings/{name}.svg").read_text()
         assert sum(int(n) for n in re.findall(r"<title>(\d+) rows</title>", svg)) == 5200 and "5200 rows in" in svg
@@ -187,3 +188,47 @@ def test_pets_manifest(spark, tmp_path):
         records.pets_manifest(spark, str(tmp_path)).collect()
     with pytest.raises(FileNotFoundError):
         records.pets_manifest(spark, str(tmp_path / "nowhere"))
+
+
+def raw_pixels(data: bytes) -> np.ndarray:
+    """A format of the tests' own: RAW, width, height, then RGB."""
+    if data[:3] != b"RAW":
+        raise ValueError("not RAW")
+    return np.frombuffer(data, np.uint8, offset=5).reshape(data[4], data[3], 3)
+
+
+def test_manifest_of_any_suffix_links_and_a_decoder(spark, folder, tmp_path):
+    shade = lambda v: b"RAW" + bytes([6, 4]) + bytes([v]) * 72
+    (tmp_path / "real").mkdir()
+    for i in range(6):
+        (tmp_path / "real" / f"p{i}.dat").write_bytes(shade(30 * i))
+    (tmp_path / "linked").symlink_to(tmp_path / "real")
+    (tmp_path / "real" / "broken.dat").write_bytes(b"junk")
+    (tmp_path / "real" / "png.data").write_bytes((folder / "siteA/cat/im 0.PNG").read_bytes())
+    path = tmp_path / "m.csv"
+    names = [f"linked/p{i}.dat" for i in range(5)] + [f"file://{tmp_path}/real/p5.dat", "real/broken.dat", "real/png.data"]
+    path.write_text("image_path,label,geo_x,size_y\n" + "".join(f"{n},{'ab'[i % 2]},{i},{i * 2}\n" for i, n in enumerate(names)))
+    config = AuditConfig(csv_path=str(path), path_root=str(tmp_path), output_dir=str(tmp_path / "o"), batch_size=2, csv_folders=True)
+    rows = audit.run_audit(spark, config, decoder=raw_pixels).orderBy("row_index").collect()
+    assert [r["is_readable"] for r in rows] == [True] * 6 + [False, False] and rows[6]["load_error"] == "not RAW" and rows[0]["image_path"] == str(tmp_path / "real/p0.dat")
+    assert [r["brightness"] for r in rows[:6]] == [0, 30, 60, 90, 120, 150] and (rows[1]["width"], rows[1]["height"]) == (6, 4)
+    made = spark.read.csv(str(tmp_path / "o" / "embeddings" / "embedding_table.csv"), header=True)
+    assert {"geo_x", "size_y", "embedding_000", "pca_x", "tsne_y"} <= set(made.columns) and made.count() == 8
+    assert (tmp_path / "o" / "quality" / "brightness_lowest_montage.png").exists() and (tmp_path / "o" / "dataset_manifest.csv").is_dir()
+    by_jvm = audit.ingest(spark, AuditConfig(csv_path=str(path), path_root=str(tmp_path)).validate()).orderBy("row_index").collect()
+    assert [r["is_readable"] for r in by_jvm] == [False] * 7 + [True] and by_jvm[7]["width"] == 32
+
+
+def test_outputs_below_a_uri(spark, tmp_path):
+    out = audit.Outputs(spark, f"file://{tmp_path}/deep/er")
+    out.text("a/note.md", "é")
+    out.data("x.bin", bytes(range(256)))
+    out.csv("t.csv", spark.range(3).withColumn("v.w", F.lit('q"')))
+    out.csv("t.csv", spark.range(5).orderBy("id"))
+    out.csv("none.csv", spark.range(0))
+    at = tmp_path / "deep" / "er"
+    assert (at / "a" / "note.md").read_text(encoding="utf-8") == "é" and (at / "x.bin").read_bytes() == bytes(range(256))
+    assert (at / "t.csv").read_text().split() == ["id", *"01234"] and (at / "none.csv").read_text().split() == ["id"] and not list(at.glob("*.parts"))
+    assert out.table("p.parquet", spark.range(4)).count() == 4
+    assert files.exists(spark, f"file://{at}/t.csv") and not files.exists(spark, f"file://{at}/t.csv", folder=True) and not files.exists(spark, f"file://{at}/u")
+    assert files.normal("mem://host/a/../b//c") == "mem://host/b/c"

@@ -10,7 +10,7 @@ WHITE, REGION = 245, 20
 
 def gray(rgb: np.ndarray) -> np.ndarray:
     """BT.601 luma, rounded."""
-    return np.rint(rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+    return np.rint((rgb.astype(np.int64) @ np.array([299, 587, 114])) / 1000).astype(np.uint8)
 
 
 def laplacian_variance(g: np.ndarray) -> float:

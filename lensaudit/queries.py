@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import QUALITY_METRICS
 from .functions import columns as C
 from .functions import tiles
 from .operators import duplicates, isolation, projection, relational, vectors
 from .shipping import ship_code
+from .sources import images
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,6 +174,25 @@ def tile_laplacian(spark, d):
     return rounded(tiles.tile_blur(tiles.document_tiles(table(spark, d, "documents"), "doc_id", "text"), "doc_id"))
 
 
+def _drawn_images(spark, d):
+    """Customers as images of 12 x 10 pixels, drawn by a formula of their keys, in the layout of the decoder (rows of BGR bytes)."""
+    colour = lambda i, k: C.let(F.struct(F.floor(i / 36).cast("int").alias("r"), F.floor(i / 3 % 12).cast("int").alias("x"), (2 - i % 3).alias("c")), lambda p: F.when(
+        (F.floor(p["r"] / 5) + F.floor(p["x"] / 6) + k) % 3 == 0, 250 + (k + p["x"]) % 6).otherwise((k * 31 + p["r"] * p["r"] * 17 + p["x"] * p["x"] * 7 + p["r"] * p["x"] * (p["c"] + 1) * 5 + p["c"] * 61) % 240))
+    data = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda i: F.lpad(F.hex(colour(i, F.col("c_custkey"))), 2, "0"))
+    keys = table(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)  # a few bytes a row become much work a row
+    return keys.select(F.col("c_custkey").cast("string").alias("image_path"), F.lit(10).alias("height"), F.lit(12).alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.array_join(data, "")).alias("data"))
+
+
+def image_measures(spark, d):
+    measured = images.measure(_drawn_images(spark, d), None)
+    return rounded(measured.select(F.col("image_path").cast("bigint").alias("c_custkey"), "width", "height", "is_readable", *QUALITY_METRICS))
+
+
+def image_hashes(spark, d):
+    measured = images.measure(_drawn_images(spark, d), None)
+    return measured.select(F.col("image_path").cast("bigint").alias("c_custkey"), C.hash_hex(F.col("ahash_bits")).alias("ahash"), C.hash_hex(F.col("dhash_bits")).alias("dhash"))
+
+
 def standardised_metrics(spark, d):
     return rounded(relational.standardise(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"]))
 
@@ -269,6 +290,45 @@ _VECTORS = """
     kd AS (SELECT vec_id, max(d) AS d FROM nn WHERE k <= 6 GROUP BY vec_id)"""
 
 
+_IMAGES = """
+    p AS (SELECT c_custkey AS k, r, x, c, CASE WHEN (r // 5 + x // 6 + c_custkey) % 3 = 0 THEN 250 + (c_custkey + x) % 6 ELSE (c_custkey * 31 + r * r * 17 + x * x * 7 + r * x * (c + 1) * 5 + c * 61) % 240 END AS v
+          FROM customer, (SELECT unnest(range(10)) AS r), (SELECT unnest(range(12)) AS x), (SELECT unnest(range(3)) AS c)),
+    g AS (SELECT k, r, x, min(v) >= 245 AS white, max(v)::DOUBLE AS most, min(v)::DOUBLE AS least, round_even(sum(v * CASE c WHEN 0 THEN 299 WHEN 1 THEN 587 ELSE 114 END) / 1000.0::DOUBLE, 0) AS y FROM p GROUP BY k, r, x)"""
+_IMAGE_MEASURES = f"""WITH RECURSIVE {_IMAGES},
+    l AS (SELECT a.k, a.r, a.x, sum(b.y * f) AS y FROM g a, (VALUES (0, 0, -4), (-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1)) n(dr, dx, f), g b
+          WHERE b.k = a.k AND b.r = 9 - abs(9 - abs(a.r + dr)) AND b.x = 11 - abs(11 - abs(a.x + dx)) GROUP BY a.k, a.r, a.x),
+    reach AS (SELECT k, r, x, r * 12 + x AS start FROM g WHERE white UNION SELECT g.k, g.r, g.x, reach.start FROM reach JOIN g ON g.k = reach.k AND g.white AND abs(g.r - reach.r) <= 1 AND abs(g.x - reach.x) <= 1),
+    region AS (SELECT k, first, count(*) AS n FROM (SELECT k, r, x, min(start) AS first FROM reach GROUP BY k, r, x) GROUP BY k, first),
+    regions AS (SELECT k, count(*) FILTER (n >= 20) AS n FROM region GROUP BY k),
+    h AS (SELECT k, -sum(n / 120.0::DOUBLE * log2(n / 120.0::DOUBLE)) AS e FROM (SELECT k, y, count(*) AS n FROM g GROUP BY k, y) GROUP BY k),
+    b AS (SELECT k, var_pop(y) AS blur FROM l GROUP BY k)
+    SELECT k AS c_custkey, 12 AS width, 10 AS height, true AS is_readable, round(avg(y), 6) AS brightness, round(stddev_pop(y), 6) AS contrast, round(any_value(blur), 6) AS blur_score,
+    round(avg(round_even(CASE WHEN most > 0 THEN 255 * (most - least) / most ELSE 0 END, 0)), 6) AS saturation, round(count(*) FILTER (white) / 120.0::DOUBLE, 6) AS white_pixel_ratio,
+    coalesce(any_value(regions.n), 0)::DOUBLE AS bright_region_count, round(abs(any_value(e)), 6) AS entropy FROM g JOIN b USING (k) JOIN h USING (k) LEFT JOIN regions USING (k) GROUP BY k"""
+
+
+def _weights_sql(name: str, source: int, target: int) -> str:
+    """(i, j, w): bicubic weights (a = -0.5) of cell i of source for cell j of target, the kernel as wide as a shrinking needs."""
+    scale, wide = source / target, max(source / target, 1.0)
+    return f"""{name}_d AS (SELECT i, j, abs((i + 0.5 - (j + 0.5) * {scale}) / {wide})::DOUBLE AS d, (j + 0.5) * {scale}::DOUBLE AS centre FROM (SELECT unnest(range({source})) AS i), (SELECT unnest(range({target})) AS j)),
+    {name}_w AS (SELECT i, j, CASE WHEN d < 1 THEN 1.5 * d ** 3 - 2.5 * d ** 2 + 1 ELSE -0.5 * d ** 3 + 2.5 * d ** 2 - 4 * d + 2 END AS w FROM {name}_d WHERE d < 2 AND i >= floor(centre - 2 * {wide} + 0.5) AND i < floor(centre + 2 * {wide} + 0.5)),
+    {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM {name}_w)"""
+
+
+def _resized_sql(name: str, across: str, down: str) -> str:
+    byte = lambda x: f"least(greatest(round_even({x}, 0), 0), 255)"
+    return f"""{name}_a AS (SELECT k, r, j AS x, {byte('sum(w * y)')} AS y FROM g JOIN {across} ON i = x GROUP BY k, r, j),
+    {name} AS (SELECT k, j AS r, x, {byte('sum(w * y)')} AS y FROM {name}_a JOIN {down} ON i = r GROUP BY k, j, x)"""
+
+
+_IMAGE_HASHES = f"""WITH {_IMAGES}, {_weights_sql('w8', 12, 8)}, {_weights_sql('w9', 12, 9)}, {_weights_sql('h8', 10, 8)}, {_resized_sql('s', 'w8', 'h8')}, {_resized_sql('t', 'w9', 'h8')},
+    a AS (SELECT k, r * 8 + x AS place, y >= avg(y) OVER (PARTITION BY k) AS bit FROM s),
+    d AS (SELECT l.k, l.r * 8 + l.x AS place, n.y >= l.y AS bit FROM t l JOIN t n ON n.k = l.k AND n.r = l.r AND n.x = l.x + 1),
+    ah AS (SELECT k, sum(CASE WHEN bit THEN 1::UBIGINT << (63 - place)::UBIGINT ELSE 0::UBIGINT END)::UBIGINT AS h FROM a GROUP BY k),
+    dh AS (SELECT k, sum(CASE WHEN bit THEN 1::UBIGINT << (63 - place)::UBIGINT ELSE 0::UBIGINT END)::UBIGINT AS h FROM d GROUP BY k)
+    SELECT k AS c_custkey, {_hex('ah.h')} AS ahash, {_hex('dh.h')} AS dhash FROM ah JOIN dh USING (k)"""
+
+
 def _describe_sql(columns) -> str:
     stats = {"count": "count({c})::DOUBLE", "mean": "avg({c}::DOUBLE)", "std": "stddev_samp({c}::DOUBLE)", "min": "min({c})", "25%": "quantile_cont({c}::DOUBLE, 0.25)", "50%": "quantile_cont({c}::DOUBLE, 0.5)", "75%": "quantile_cont({c}::DOUBLE, 0.75)", "max": "max({c})"}
     return " UNION ALL ".join(f"SELECT '{n}' AS statistic, " + ", ".join(f"round({f.format(c=c)}, 6) AS {c}" for c in columns) + " FROM lineitem" for n, f in stats.items())
@@ -320,6 +380,8 @@ def oracle_sql() -> dict[str, str]:
                   FROM k, k o WHERE abs(o.r - k.r) + abs(o.c - k.c) <= 1),
             l AS (SELECT doc_id, n.cell, sum(f * x) AS y FROM g JOIN n ON n.other = g.cell GROUP BY ALL)
             SELECT doc_id, round(var_pop(y), 6) AS blur_score FROM l GROUP BY doc_id""",
+        "image_measures": _IMAGE_MEASURES,
+        "image_hashes": _IMAGE_HASHES,
         "standardised_metrics": """WITH s AS (SELECT avg(p_size::DOUBLE) AS m1, stddev_pop(p_size::DOUBLE) AS d1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS d2 FROM part)
             SELECT p_partkey, round((p_size - m1) / d1, 6) AS p_size, round((p_retailprice - m2) / d2, 6) AS p_retailprice FROM part, s""",
         "minmax_scores": "WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, round((c_acctbal - lo) / (hi - lo), 6) AS score FROM customer, s",

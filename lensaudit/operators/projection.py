@@ -73,28 +73,39 @@ def tsne_layout(x: np.ndarray, perplexity: float, seed: int = 42, steps: int = 5
     """Exact t-SNE from a PCA start."""
     n = len(x)
     d = ((x[:, None] - x[None]) ** 2).sum(2) if n <= 400 else np.maximum((x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)[None], 0)
-    p = np.zeros((n, n))
+    d = d.astype(np.float32)
+    np.fill_diagonal(d, np.inf)
+    d -= d.min(1, keepdims=True)
     lo, hi, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
-    off = ~np.eye(n, dtype=bool)
+    finite, e = np.where(np.isinf(d), np.float32(0), d), np.empty_like(d)
     for _ in range(60):
-        e = np.where(off, np.exp(-(d - np.where(off, d, np.inf).min(1)[:, None]) * beta[:, None]), 0)
-        p = e / np.maximum(e.sum(1, keepdims=True), 1e-300)
-        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(1)
+        np.exp(np.multiply(d, -np.maximum(beta, 1e-30).astype(np.float32)[:, None], out=e), out=e)
+        total = np.maximum(e.sum(1, dtype=np.float64), 1e-300)
+        entropy = np.log(total) + beta * np.einsum("ij,ij->i", finite, e) / total
         high = entropy > np.log(perplexity)
         lo, hi = np.where(high, beta, lo), np.where(high, hi, beta)
-        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+        beta = np.where(np.isinf(hi), np.minimum(beta * 2, 1e30), (lo + hi) / 2)
+    p = e / total[:, None].astype(np.float32)
+    p = np.maximum((p + p.T) / (2 * n), np.float32(1e-12))
     centred = x - x.mean(0)
     u, s, _ = np.linalg.svd(centred, full_matrices=False)
     y = (u[:, :2] * s[:2]) if s.shape[0] >= 2 else np.column_stack((u[:, 0] * s[0], np.zeros(n)))
     y = y / max(y[:, 0].std(), 1e-12) * 1e-4 + np.random.default_rng(seed).normal(0, 1e-7, y.shape)
     move, gain = np.zeros_like(y), np.ones_like(y)
     rate = max(n / 12 / 4, 50)
+    early, q, w = 12 * p, np.empty_like(p), np.empty_like(p)
     for step in range(steps):
-        q = 1 / (1 + np.maximum((y * y).sum(1)[:, None] - 2 * y @ y.T + (y * y).sum(1)[None], 0))
+        at = y.astype(np.float32)
+        near = (at * at).sum(1)
+        np.matmul(at, -2 * at.T, out=q)
+        q += near[:, None] + 1
+        q += near
+        np.reciprocal(np.maximum(q, 1, out=q), out=q)
         np.fill_diagonal(q, 0)
-        w = ((12 if step < 150 else 1) * p - np.maximum(q / q.sum(), 1e-12)) * q
-        grad = 4 * (w.sum(1)[:, None] * y - w @ y)
+        np.multiply(q, np.float32(-1 / q.sum(dtype=np.float64)), out=w)
+        w += early if step < 150 else p
+        w *= q
+        grad = 4 * (w.sum(1, dtype=np.float64)[:, None] * y - w @ at)
         gain = np.maximum(np.where(np.sign(grad) != np.sign(move), gain + 0.2, gain * 0.8), 0.01)
         move = (0.5 if step < 150 else 0.8) * move - rate * gain * grad
         y = y + move

@@ -88,6 +88,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), group=100, heads=6)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import nearest_centroids
+
+    return nearest_centroids(table(spark, sf_dir, "embeddings"), k=16, width=64, scale=64, rounds=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,4 +159,39 @@ def oracle_sql() -> dict[str, str]:
             reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v)
             SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.v) AS component_id, d.doc_id = min(reach.v) AS kept
             FROM documents d JOIN reach ON reach.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "op12_prefix_trie": """
+            WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+            ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+            head AS (SELECT c, c - c % 100 AS base, CASE WHEN c % 100 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8)), 4294967295) % 6 END AS h FROM ids, tab),
+            turns AS (SELECT conv_id, len(coalesce(text, ''))::BIGINT AS tokens, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place FROM conversations),
+            rebuilt AS (SELECT c, 0 AS own, place, tokens, digest FROM head JOIN turns ON conv_id = base AND place <= h UNION ALL SELECT c, 1, place, tokens, digest FROM head JOIN turns ON conv_id = c AND place > h),
+            path AS (SELECT c, row_number() OVER w AS depth, tokens, sha256(string_agg(digest, ',') OVER w) AS node FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+                     UNION ALL SELECT c, 0, 0, '' FROM ids),
+            step AS (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS ends FROM path WINDOW w AS (PARTITION BY c ORDER BY depth)),
+            node AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n, any_value(tokens) AS tokens, bool_and(ends) AS leaf,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM step GROUP BY node),
+            below AS (SELECT DISTINCT a.node AS top, b.node FROM step a JOIN step b ON a.c = b.c AND a.depth <= b.depth),
+            sums AS (SELECT top, sum((n - 1) * tokens) AS saved, count(*) FILTER (leaf) AS leaves FROM below JOIN node USING (node) GROUP BY top),
+            kids AS (SELECT parent, count(*) AS n FROM node GROUP BY parent)
+            SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+            FROM node x JOIN sums ON top = x.node LEFT JOIN node p ON p.node = x.parent LEFT JOIN kids ON kids.parent = x.node""",
+        "op13_centroid_clustering": _centroid_sql(),
     }
+
+
+def _centroid_sql() -> str:
+    """Three rounds of assignment and update, one after the other, and a last assignment."""
+    sql = """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, e AS m FROM v QUALIFY k < 16)"""
+    for r in range(4):
+        sql += f""",
+            d{r} AS MATERIALIZED (SELECT vec_id, e, k, list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i])))::BIGINT AS d FROM v, c{r}),
+            a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+        if r < 3:
+            sql += f""",
+            s{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY k, i),
+            c{r + 1} AS MATERIALIZED (SELECT k, coalesce(any_value(f), any_value(m)) AS m FROM c{r} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS f FROM s{r} GROUP BY k) USING (k) GROUP BY k)"""
+    return f"""{sql}
+            SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (k)"""

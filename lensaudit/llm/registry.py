@@ -88,6 +88,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie
 
@@ -159,6 +166,20 @@ def oracle_sql() -> dict[str, str]:
             reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v)
             SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.v) AS component_id, d.doc_id = min(reach.v) AS kept
             FROM documents d JOIN reach ON reach.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "op11_suffix_dedup": """
+            WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+            s AS (SELECT doc_id, b, unnest(range(1, octet_length(b)::BIGINT - 48)) AS i FROM d),
+            h AS (SELECT doc_id, i, md5(b[i:i + 49]) AS win FROM s),
+            r AS (SELECT doc_id, i FROM h QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+            g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r)),
+            gone AS (SELECT doc_id, min(i) AS begins, max(i) + 49 AS ends FROM g GROUP BY doc_id, span),
+            kept AS (SELECT doc_id, b, coalesce(lag(ends) OVER w, 0) + 1 AS lo, begins - 1 AS hi, ends FROM gone JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY begins)),
+            part AS (SELECT doc_id, lo, hex(b[lo:hi]) AS x FROM kept WHERE lo <= hi UNION ALL SELECT doc_id, max(ends) + 1, hex(any_value(b)[max(ends) + 1:octet_length(any_value(b))]) FROM kept GROUP BY doc_id),
+            text AS (SELECT doc_id, string_agg(x, '' ORDER BY lo) AS x FROM part GROUP BY doc_id),
+            n AS (SELECT doc_id, sum(ends - begins + 1) AS removed, count(*) AS spans FROM gone GROUP BY doc_id)
+            SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+                   CASE WHEN x IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256
+            FROM d LEFT JOIN n USING (doc_id) LEFT JOIN text USING (doc_id)""",
         "op12_prefix_trie": """
             WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
             ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),

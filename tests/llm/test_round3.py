@@ -12,11 +12,102 @@ import pytest
 
 from lensaudit.llm import centroids as centroids_module
 from lensaudit.llm.centroids import Centroids, nearest_centroids, pack, quantise, unpack
+from lensaudit.llm import suffix_dedup as suffix_module
 from lensaudit.llm.prefix_trie import prefix_trie
+from lensaudit.llm.suffix_dedup import merged, suffix_dedup, symbols, transform
+
+from .helpers import frame, odd_rows
 
 sha = lambda x: hashlib.sha256(x).hexdigest()
 
 
+# --- substrings ---
+
+
+def plain_removal(rows, window):
+    """rows: (id, text, ...) to (id, bytes, removed, spans, kept)."""
+    least, key = {}, lambda i: (i is None, i or 0)
+    for i, text, *_ in rows:
+        b = (text or "").encode()
+        for p in range(len(b) - window + 1):
+            w = b[p : p + window]
+            if w not in least or key(i) < least[w]:
+                least[w] = key(i)
+    out = []
+    for i, text, *_ in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - window + 1):
+            if least[b[p : p + window]] < key(i):
+                gone[p : p + window] = b"\1" * window
+        edges = [p for p in range(len(b) + 1) if (p < len(b) and gone[p]) != (p > 0 and gone[p - 1] == 1)]
+        out.append((i, len(b), sum(gone), tuple(zip(edges[::2], edges[1::2], strict=True)), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out, key=repr)
+
+
+def removal(df, window, **names):
+    return sorted(((r[0], r.n_bytes, r.n_removed, tuple(tuple(s) for s in r.spans), bytes(r.kept)) for r in suffix_dedup(df, window=window, **names).collect()), key=repr)
+
+
+def passages(seed, n):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    shared = [" ".join(word() for _ in range(30)) for _ in range(4)]
+    rows = []
+    for i in range(n):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 20))) for _ in range(4)]
+        for p in range(3):
+            if rng.random() < 0.6:
+                s = rng.choice(shared)
+                a = rng.randrange(len(s) // 2)
+                parts.insert(p, s[a : rng.randrange(a, len(s))])
+        rows.append((rng.randrange(n), " ".join(parts), "en", "s"))
+    return rows + [(3 * n + i, "x" * (30 * i), "en", "s") for i in range(5)] + [(4 * n, "ab" * 100, "en", "s"), (4 * n + 1, "ba" * 100, "en", "s"), (4 * n + 2, "a\0b" * 40, "en", "s"), (4 * n + 3, "\0" * 90, "en", "s"), (4 * n + 4, "\0" * 70, "en", "s")]
+
+
+@pytest.mark.parametrize("window", [2, 7, 50, 51])
+def test_suffix_dedup_against_plain_windows(spark, window):
+    rows = odd_rows() + passages(window, 40)
+    assert removal(frame(spark, rows), window) == plain_removal(rows, window)
+    assert removal(frame(spark, []), window) == []
+
+
+@pytest.mark.parametrize("sizes", [{"HOT": 3}, {"PIECE": 97, "BLOCK_BYTES": 500}, {"BUCKET_KEYS": 3, "BUCKET_ROWS": 5, "SHARD": 4}, {"HOT": 0, "BLOCK_BYTES": 1, "BUCKET_ROWS": 20, "SHARD": 3}])
+def test_suffix_dedup_at_other_sizes(spark, monkeypatch, sizes):
+    """Hot anchors by windows, texts in pieces, many blocks, buckets and shards: the same result."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(suffix_module, name, value)
+    rows = passages(9, 60) + odd_rows()[-6:]
+    assert removal(frame(spark, rows).repartition(3), 20) == plain_removal(rows, 20)
+
+
+def test_suffix_dedup_of_other_ids_and_long_texts(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    rows = [("b", long), ("a", long[200_000:900_000]), ("c", "q" + long), (None, "short"), ("d", "short" * 11), (None, "short" * 11)]
+    got = {r[0] or r[1]: r for r in removal(spark.createDataFrame(rows, "name string, words string"), 50, id_column="name", text_column="words")}
+    assert got["b"][2:4] == (700_000, ((200_000, 900_000),)) and got["a"][2] == 0 and got["c"][2:4] == (1_300_000, ((1, 1_300_001),)) and got["c"][4] == b"q"
+    assert got["d"][2] == 0 and got[55][2] == 55 and got[5][2] == 0
+    assert got["b"][4] == (long[:200_000] + long[900_000:]).encode()
+
+
+def test_merged_transforms_give_sorted_suffixes():
+    """Of every column: the rows in the order of their suffixes, and the bytes that neighbours share."""
+    rng = np.random.default_rng(4)
+    window, span = 12, 6
+    rows = rng.integers(0, 3, (200, window + span)).astype(np.uint8)
+    shards = [rows[a:b] for a, b in ((0, 1), (1, 90), (90, 90), (90, 200))]
+    seen = 0
+    for j, row, common in merged([transform(s, span) for s in shards], window):
+        suffix = [rows[r, span - j :].tobytes() for r in row]
+        assert suffix == sorted(r[span - j :].tobytes() for r in rows)
+        shared = [next((k for k in range(len(a)) if a[k] != b[k]), len(a)) for a, b in zip(suffix, suffix[1:], strict=False)]
+        assert common.tolist() == [0, *shared]
+        seen += 1
+    assert seen == span + 1
+    assert symbols(rows, 0, span)[0] == int(rows[0, -2]) * 256 + int(rows[0, -1])
+
+
 # --- prefix trie ---
 
 

@@ -124,15 +124,16 @@ def operator(f: Callable) -> Callable:
     return run
 
 
-def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, files: int | None = None, group_bytes: int | None = None) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again.
 
     A lost executor loses nothing, as the folder outlives executors. The table goes with its operator(), or when the driver ends.
-    files: rebalance into about so many files (default: as the plan has them).
+    files: rebalance into about so many files (default: as the plan has them). group_bytes: of a row group; its reader holds up to 4,096 rows of one, so tables
+    of large rows need small ones.
     """
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    (df.repartition(files) if files else df).write.parquet(out)
+    (df.repartition(files) if files else df).write.options(**({"parquet.block.size": group_bytes} if group_bytes else {})).parquet(out)
     path, system = _path(spark, out)
     system.deleteOnExit(path)
     if _RUNS.stack:

@@ -31,7 +31,7 @@ from .common import _BYTE, aranges, discard, materialize, mix, operator, powers,
 #: Places an anchor may have in a window, less one, at most; so anchors of 50-byte windows have 20 bytes.
 SPAN = 30
 #: Bytes of texts in a block (a longer text is a block of its own), and window starts that are looked at together.
-BLOCK_BYTES, PIECE = 1 << 20, 1 << 18
+BLOCK_BYTES, PIECE = 1 << 20, 1 << 16
 #: Anchors and segments that a bucket should hold; occurrences from which an anchor is dealt out by windows; segments of a shard.
 BUCKET_KEYS, BUCKET_ROWS, HOT, SHARD = 1 << 20, 1 << 17, 1 << 19, 1 << 14
 #: What a null id counts as: larger than all others.
@@ -95,7 +95,7 @@ def _segments(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarr
         if len(start):
             anchor = (least[start] & _U((1 << 19) - 1)).astype(np.int64)
             head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            out.append((lo + start[head], (anchor - start)[head].astype(np.uint8), np.diff(np.append(head, len(start))).astype(np.uint8), grams[anchor[head]] >> _U(16)))
+            out.append((lo + start[head], (anchor - start)[head].astype(np.uint8), np.diff(np.append(head, len(start))).astype(np.uint8), mix(grams[anchor[head]] ^ _U(1)) >> _U(16)))  # mixed again: least hashes are small ones
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, _U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -432,7 +432,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     copy = F.coalesce(F.col("ord") > F.col("least"), F.lit(False)).alias("copy")
     marked = rows.join(first, F.col("digest") == F.col("of"), "left").select("ident", "ord", "text", copy)
     held = StructType().add("block", LongType()).add("idents", ArrayType(kind)).add("ords", ArrayType(LongType())).add("ends", ArrayType(LongType())).add("gone_idents", ArrayType(kind)).add("gone_bytes", ArrayType(LongType())).add("text", BinaryType())
-    blocks = materialize(marked.mapInArrow(_blocks(window, to_arrow_schema(held)), held))
+    blocks = materialize(marked.mapInArrow(_blocks(window, to_arrow_schema(held)), held), group_bytes=16 * BLOCK_BYTES)
     discard(first)
     total = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     texts = blocks.select("block", "ords", "ends", "text")
@@ -444,7 +444,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     buckets = max(1, -(-int(onward) // BUCKET_ROWS))
     shared = flags.where("rows > 0").select("block").distinct()
     some = flags.join(shared, "block", "left_semi")
-    shares = materialize(texts.groupBy("block").cogroup(some.groupBy("block")).applyInArrow(_shares(window, buckets), "block bigint, bucket int, docs binary, left binary, run binary, body binary"))
+    shares = materialize(texts.groupBy("block").cogroup(some.groupBy("block")).applyInArrow(_shares(window, buckets), "block bigint, bucket int, docs binary, left binary, run binary, body binary"), group_bytes=16 * BLOCK_BYTES)
     discard(flags)
     masks = materialize(shares.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeats(window), "block bigint, bucket int, body binary"))
     local = shares.where("bucket < 0").select("block", "bucket", F.lit(0).alias("kind"), "docs", "left", "run", "body")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegralType, LongType, StructType
 
-from .common import _BYTE, aranges, discard, materialize, mix, operator, powers, slabs, text_of
+from .common import _BYTE, aranges, discard, is_small, materialize, mix, operator, powers, slabs, text_of
 
 #: Places an anchor may have in a window, less one, at most; so anchors of 50-byte windows have 20 bytes.
 SPAN = 30
@@ -52,7 +52,7 @@ def _blocks(window: int, schema: pa.Schema):
             lengths = pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
             gone = batch.column(3).to_numpy(zero_copy_only=False) & (lengths >= window)
             stay, away = batch.filter(pa.array(~gone)), batch.filter(pa.array(gone))
-            cuts = [(lo, hi, data.tobytes(), offs[1:]) for lo, hi, data, offs in slabs(stay.column(2), BLOCK_BYTES)] or [(0, 0, b"", np.zeros(0, np.int64))]
+            cuts = [(lo, hi, _compressed(data.tobytes()), offs[1:]) for lo, hi, data, offs in slabs(stay.column(2), BLOCK_BYTES)] or [(0, 0, _compressed(b""), np.zeros(0, np.int64))]
             for i, (lo, hi, data, ends) in enumerate(cuts):
                 out = away if i == 0 else away.slice(0, 0)
                 lists = [stay.column(0).slice(lo, hi - lo), stay.column(1).slice(lo, hi - lo), pa.array(ends), out.column(0), pa.array(lengths[gone][: len(out)].astype(np.int64))]
@@ -68,8 +68,13 @@ def _column(table, name: str) -> np.ndarray:
     return table.column(name).chunk(0).flatten().to_numpy(zero_copy_only=False)
 
 
-def _bytes(table) -> np.ndarray:
-    return np.frombuffer(table.column("text")[0].as_buffer(), np.uint8)
+def _compressed(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _bytes(table, ends: np.ndarray) -> np.ndarray:
+    """A block's texts, which are stored and shuffled compressed."""
+    return np.frombuffer(pa.Codec("zstd").decompress(table.column("text")[0].as_buffer(), int(ends[-1]) if len(ends) else 0), np.uint8)
 
 
 def _segments(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +128,7 @@ def _keys(window: int, buckets: int):
             for i in range(batch.num_rows):
                 row = pa.table(batch.slice(i, 1))
                 ends = _column(row, "ends")
-                start, _, _, key = _segments(_bytes(row), ends, window)
+                start, _, _, key = _segments(_bytes(row, ends), ends, window)
                 if not len(start):
                     continue
                 order = np.argsort(key, kind="stable")
@@ -211,7 +216,8 @@ def _shares(window: int, buckets: int):
         shape = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("docs", "left", "run", "body")]])
         texts, flags = texts.combine_chunks(), flags.combine_chunks()
         if texts.num_rows and flags.num_rows:
-            data, ends = _bytes(texts), _column(texts, "ends")
+            ends = _column(texts, "ends")
+            data = _bytes(texts, ends)
             start, left, run, key = _segments(data, ends, window)
             verdict = _joined(flags.take(pa.compute.sort_indices(flags, [("bucket", "ascending")])).column("flags"), np.uint8)[0][np.unique(key, return_inverse=True)[1]]
             own, hot = verdict == _SHARED, verdict == _HOT
@@ -365,7 +371,8 @@ def _results(window: int, schema: pa.Schema):
         if not texts.num_rows:
             return schema.empty_table()
         texts, rest = texts.combine_chunks(), rest.combine_chunks()
-        data, ends, ords = _bytes(texts), _column(texts, "ends"), _column(texts, "ords")
+        ends, ords = _column(texts, "ends"), _column(texts, "ords")
+        data = _bytes(texts, ends)
         gone = np.zeros(len(data), bool)
         if rest.num_rows:
             rest = rest.take(pa.compute.sort_indices(rest, [("bucket", "ascending"), ("kind", "ascending")]))
@@ -430,11 +437,11 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     first = rows.groupBy("digest").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select(F.col("digest").alias("of"), "least")
     first = materialize(first)
     copy = F.coalesce(F.col("ord") > F.col("least"), F.lit(False)).alias("copy")
-    marked = rows.join(first, F.col("digest") == F.col("of"), "left").select("ident", "ord", "text", copy)
+    marked = rows.join(F.broadcast(first) if is_small(first) else first, F.col("digest") == F.col("of"), "left").select("ident", "ord", "text", copy)
     held = StructType().add("block", LongType()).add("idents", ArrayType(kind)).add("ords", ArrayType(LongType())).add("ends", ArrayType(LongType())).add("gone_idents", ArrayType(kind)).add("gone_bytes", ArrayType(LongType())).add("text", BinaryType())
     blocks = materialize(marked.mapInArrow(_blocks(window, to_arrow_schema(held)), held), group_bytes=16 * BLOCK_BYTES)
     discard(first)
-    total = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = blocks.agg(F.coalesce(F.sum(F.try_element_at("ends", F.lit(-1))), F.lit(0))).first()[0]
     texts = blocks.select("block", "ords", "ends", "text")
 
     buckets = max(1, -(-int(total) // (8 * BUCKET_KEYS)))

@@ -63,28 +63,47 @@ class Outputs:
         return self.spark.read.parquet(at)
 
 
+def _named(spark: SparkSession, rows: DataFrame, decoder: Decoder | None) -> tuple[DataFrame, DataFrame]:
+    """Sizes and pictures of the files that rows name, opened one by one: no other file is touched."""
+    listed = images.list_named(rows)
+    return listed, images.contents_named(rows) if decoder else images.decode_named(spark, listed)
+
+
+def _by_folder(spark: SparkSession, rows: DataFrame, decoder: Decoder | None) -> tuple[DataFrame, DataFrame]:
+    """The same for stores that only Spark's sources can open: the files' folders are listed, and all files in them are read."""
+    parents = rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("p")).distinct()
+    roots = [r["p"] for r in parents.toLocalIterator() if r["p"] and files.exists(spark, r["p"], folder=True)]
+    if not roots:
+        kind = "content binary" if decoder else "height int, width int, nChannels int, data binary"
+        return spark.createDataFrame([], "image_path string, file_size_bytes bigint"), spark.createDataFrame([], f"image_path string, {kind}")
+    where = (spark, roots, False, True)
+    pictures = (images.contents if decoder else images.decode)(*where)
+    return images.list_files(*where), pictures.join(rows.select("image_path").distinct(), "image_path", "left_semi")
+
+
 def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None) -> DataFrame:
     """The spine: a row for each listed image, readable or not, with measures and domains, numbered in path or file order.
 
-    A manifest may name files of any suffix. Images are decoded by the JVM, or from their bytes by `decoder`.
+    A manifest may name files of any suffix; only the files it names, or the first max_images of a folder, are opened. Images are decoded by the JVM, or from their bytes by `decoder`.
     """
     cwd = os.getcwd()
     if config.csv_path:
         manifest = records.read_manifest(spark, config.csv_path)
         rows = records.csv_records(manifest, config.image_column, config.label_column, config.source_column, config.path_root, cwd, config.max_images)
-        parents = rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("p")).distinct()
-        roots, recursive = [r["p"] for r in parents.toLocalIterator() if r["p"] and files.exists(spark, r["p"], folder=True)], False
-    else:
-        roots, recursive = [config.dataset_root], config.recursive
-    if roots:
-        where = (spark, roots, recursive, bool(config.csv_path))
-        listed, pictures = images.list_files(*where), (images.contents if decoder else images.decode)(*where)
+        if images.named_by_tasks(rows):
+            listed, pictures = _named(spark, rows, decoder)
+        else:
+            listed, pictures = _by_folder(spark, rows, decoder)
     else:
-        listed = spark.createDataFrame([], "image_path string, file_size_bytes bigint")
-        pictures = spark.createDataFrame([], "image_path string, " + ("content binary" if decoder else "height int, width int, nChannels int, data binary"))
-    if not config.csv_path:
+        where = (spark, [config.dataset_root], config.recursive)
+        listed = images.list_files(*where)
         rows = records.folder_records(listed, config.dataset_root, config.max_images)
-    pictures = pictures.join(rows.select("image_path").distinct(), "image_path", "left_semi")  # only listed images are measured
+        if config.max_images and images.named_by_tasks(rows):
+            pictures = _named(spark, rows, decoder)[1]
+        else:
+            pictures = (images.contents if decoder else images.decode)(*where)
+            if config.max_images:
+                pictures = pictures.join(rows.select("image_path").distinct(), "image_path", "left_semi")
     spine = records.with_row_index(rows)
     measured = images.measure(pictures, embed, decoder)
     given = [c for c in spine.columns if c in measured.columns and c != "image_path"]
@@ -161,7 +180,7 @@ def assess_quality(spine: DataFrame, config: AuditConfig, out: Outputs) -> Secti
     out.csv("quality/quality_metric_summary.csv", summary.select("statistic", *[F.bround(m, 3).alias(m) for m in config.quality_metrics]))
     r = relational.correlation(spine, config.quality_metrics)
     out.csv("quality/quality_metric_correlation.csv", r)
-    out.text("quality/quality_metric_correlation.svg", charts.heat_map("Quality Metric Correlation", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
+    out.text("quality/quality_metric_correlation.svg", charts.heat_map("How the measures move together", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
     section = Section("Image measures", [("measures", ", ".join(config.quality_metrics)), ("charts, extremes and montages", f"`{out.path('quality')}`")])
     out.text("quality/quality_summary.md", section.markdown())
     return section

@@ -38,6 +38,43 @@ def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     return system.exists(at) and (not folder or system.getFileStatus(at).isDirectory())
 
 
+def reachable(scheme: str) -> bool:
+    """Whether a task can open files of a scheme without Spark: no scheme is the local or mounted file system."""
+    return scheme in ("", "file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")
+
+
+def _arrow(uri_: str):
+    """Arrow's file system for a URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri_)
+
+
+def sizes(paths: list[str]) -> list[int | None]:
+    """Bytes of each file, None for what doesn't exist or isn't a file. For tasks: needs no session."""
+    out: list[int | None] = []
+    for path in paths:
+        try:
+            if is_uri(path):
+                system, at = _arrow(path)
+                info = system.get_file_info(at)
+                out.append(info.size if info.is_file else None)
+            else:
+                out.append(os.path.getsize(path) if os.path.isfile(path) else None)
+        except OSError:
+            out.append(None)
+    return out
+
+
+def opened(path: str) -> bytes:
+    """A file's bytes. For tasks: needs no session."""
+    if not is_uri(path):
+        return Path(path).read_bytes()
+    system, at = _arrow(path)
+    with system.open_input_stream(at) as stream:
+        return stream.read()
+
+
 def write(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, with the folders above it."""
     if not is_uri(path):

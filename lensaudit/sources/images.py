@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import EXTENSIONS, QUALITY_METRICS
 from ..functions import kernels
 from .decoders import Decoder
-from .files import is_uri
+from .files import is_uri, opened, reachable, sizes
 
 #: Pixels to an embedding. A model is loaded where the function is first called, once a worker.
 Embedder = Callable[[np.ndarray], np.ndarray]
@@ -36,11 +36,12 @@ def literal(path: str) -> str:
     return ("" if is_uri(path) else "file://") + re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def _load(spark: SparkSession, kind: str, roots: list[str], recursive: bool, any_suffix: bool) -> DataFrame:
+def _load(spark: SparkSession, kind: str, roots: list[str], recursive: bool, any_suffix: bool, given: bool = False) -> DataFrame:
+    """given: roots are paths of load() already."""
     reader = spark.read.format(kind).option("recursiveFileLookup", str(recursive).lower())
     if kind == "image":
         reader = reader.option("dropInvalid", "false")
-    return (reader if any_suffix else reader.option("pathGlobFilter", any_case())).load([literal(r) for r in roots])
+    return (reader if any_suffix else reader.option("pathGlobFilter", any_case())).load(roots if given else [literal(r) for r in roots])
 
 
 def list_files(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False) -> DataFrame:
@@ -49,9 +50,9 @@ def list_files(spark: SparkSession, roots: list[str], recursive: bool = True, an
     return files.select(plain_path(F.col("path")).alias("image_path"), F.col("length").alias("file_size_bytes"))
 
 
-def decode(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False) -> DataFrame:
+def decode(spark: SparkSession, roots: list[str], recursive: bool = True, any_suffix: bool = False, given: bool = False) -> DataFrame:
     """(image_path, height, width, nChannels, data) by the JVM; files that can't be decoded have a height of -1."""
-    images = _load(spark, "image", roots, recursive, any_suffix)
+    images = _load(spark, "image", roots, recursive, any_suffix, given)
     return images.select(plain_path(F.col("image.origin")).alias("image_path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
@@ -61,6 +62,70 @@ def contents(spark: SparkSession, roots: list[str], recursive: bool = True, any_
     return files.select(plain_path(F.col("path")).alias("image_path"), "content")
 
 
+#: Files that a task is given to open, about; what it holds of them before it hands them on.
+FILES_A_TASK, HELD_FILES, HELD_BYTES = 256, 32, 16 << 20
+
+
+def _dealt(paths: DataFrame) -> DataFrame:
+    """Distinct image_path, in so many partitions that each has FILES_A_TASK or so."""
+    once = paths.select("image_path").where("image_path IS NOT NULL").distinct()
+    return once.repartition(max(1, -(-once.count() // FILES_A_TASK)), "image_path")
+
+
+def _open(with_contents: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.binary() if with_contents else pa.int64()]
+        names = ["image_path", "content" if with_contents else "file_size_bytes"]
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            paths, held, total = batch.column(0).to_pylist(), [], 0
+            for path, size in zip(paths, sizes(paths), strict=True):
+                if size is None:
+                    continue
+                held.append((path, opened(path) if with_contents else size))
+                total += size
+                if len(held) >= HELD_FILES or (with_contents and total >= HELD_BYTES):
+                    yield out(held)
+                    held, total = [], 0
+            if held:
+                yield out(held)
+
+    return run
+
+
+def list_named(paths: DataFrame) -> DataFrame:
+    """list_files() for the files that a table (image_path) names: tasks look each up by itself, no folder is listed and no path reaches the driver.
+
+    Files that don't exist have no row; so have folders. Repeated paths have one row, null paths none.
+    """
+    return _dealt(paths).mapInArrow(_open(False), "image_path string, file_size_bytes bigint")
+
+
+def contents_named(paths: DataFrame) -> DataFrame:
+    """contents() for the files that a table (image_path) names: a partition is a batch of paths, whose files its task opens one after the other, and no others."""
+    return _dealt(paths).mapInArrow(_open(True), "image_path string, content binary")
+
+
+def decode_named(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """decode() for the files of list_named(): the JVM's source is given the paths themselves, so it lists and decodes no other file.
+
+    That source keeps what it reads as a list on the driver, whether given paths or a folder; contents_named() with a decoder doesn't.
+    """
+    paths = [literal(r["image_path"]) for r in listed.select("image_path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "image_path string, height int, width int, nChannels int, data binary")
+    return decode(spark, paths, recursive=False, any_suffix=True, given=True)
+
+
+def named_by_tasks(paths: DataFrame) -> bool:
+    """Whether tasks can open all files of a table (image_path) by themselves: local or mounted paths, and URIs of stores that Arrow knows."""
+    schemes = paths.select(F.regexp_extract("image_path", "^([a-zA-Z0-9+.-]+)://", 1).alias("s")).where("image_path IS NOT NULL").distinct()
+    return all(reachable(r["s"]) for r in schemes.collect())
+
+
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     """RGB from the source's BGR, gray or BGRA bytes."""
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)

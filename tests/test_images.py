@@ -10,7 +10,7 @@ from lensaudit.config import AuditConfig
 from lensaudit.functions import kernels as K
 from lensaudit.functions.png import encode_png
 from lensaudit.plans import audit, cli
-from lensaudit.sources import files, records
+from lensaudit.sources import files, images, records
 
 
 def solid(*rgb, size=(20, 30)):
@@ -219,6 +219,63 @@ def test_manifest_of_any_suffix_links_and_a_decoder(spark, folder, tmp_path):
     assert [r["is_readable"] for r in by_jvm] == [False] * 7 + [True] and by_jvm[7]["width"] == 32
 
 
+class Opened:
+    """A decoder that notes which values it was given, in a folder that all tasks see."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "wb") as f:
+            f.write(data[5:6])
+        return raw_pixels(data)
+
+
+@pytest.fixture(scope="module")
+def thousand(tmp_path_factory):
+    root = tmp_path_factory.mktemp("thousand")
+    for i in range(1000):
+        (root / f"p{i:03d}.png").write_bytes(encode_png(solid(i % 250, 2, 3, size=(4, 6))) if i % 300 == 7 else b"RAW" + bytes([6, 4]) + bytes([i % 250]) * 72)
+    return root
+
+
+def test_only_named_files_are_opened(spark, thousand, tmp_path):
+    """Three of a folder's thousand files, and the first five with max_images: by a decoder of one's own and by the JVM."""
+    named = ["p007.png", "p111.png", "p307.png"]
+    path = tmp_path / "m.csv"
+    path.write_text("image_path,label\n" + "".join(f"{thousand}/{n},a\n" for n in [*named, named[0], "gone.png", ""]))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    by_csv, by_cap = AuditConfig(csv_path=str(path)).validate(), AuditConfig(dataset_root=str(thousand), max_images=5).validate()
+    rows = audit.ingest(spark, by_csv, decoder=Opened(seen)).orderBy("row_index").collect()
+    assert [r["is_readable"] for r in rows] == [False, True, False, False, False, False] and rows[4]["load_error"] == "no such file"
+    assert sorted(f.read_bytes() for f in seen.iterdir()) == [b"\n", b"\n", bytes([111])]  # the two others hold PNG, which this decoder refuses
+    assert audit.ingest(spark, by_cap, decoder=Opened(seen)).where("is_readable").count() == 5 and len(list(seen.iterdir())) == 3 + 5
+    rows = records.csv_records(records.read_manifest(spark, str(path)), "image_path", "label", None, None, "/")
+    pictures = images.decode_named(spark, images.list_named(rows))
+    assert sorted(f.rsplit("/", 1)[1] for f in pictures.inputFiles()) == named
+    assert [r["is_readable"] for r in audit.ingest(spark, by_csv).orderBy("row_index").collect()] == [True, False, True, True, False, False]
+    capped = records.folder_records(images.list_files(spark, [str(thousand)]), str(thousand), 5)
+    assert len(images.decode_named(spark, images.list_named(capped)).inputFiles()) == 5
+    assert audit.ingest(spark, by_cap).count() == 5
+
+
+def test_named_files_by_uri_and_odd_names(spark, tmp_path):
+    odd = ["a b.dat", "[x]{y}*?.dat", "é+%20.dat", "#.dat"]
+    for n in odd:
+        (tmp_path / n).write_bytes(b"RAW" + bytes([6, 4]) + bytes([9]) * 72)
+    (tmp_path / "folder").mkdir()
+    paths = [f"{tmp_path}/{n}" for n in [*odd, odd[0], "folder", "none"]] + [None]
+    df = spark.createDataFrame([(p,) for p in paths], "image_path string")
+    assert sorted(tuple(r) for r in images.list_named(df).collect()) == sorted((f"{tmp_path}/{n}", 77) for n in odd)
+    assert {len(r["content"]) for r in images.contents_named(df).collect()} == {77} and images.list_named(df.limit(0)).count() == 0
+    assert files.sizes([f"file://{tmp_path}/a b.dat".replace(" ", "%20"), f"file://{tmp_path}/none"]) == [77, None]
+    assert images.named_by_tasks(df) and not images.named_by_tasks(spark.createDataFrame([("viewfs://store/x",)], "image_path string"))
+    assert images.decode_named(spark, images.list_named(df.limit(0))).count() == 0
+
+
 def test_outputs_below_a_uri(spark, tmp_path):
     out = audit.Outputs(spark, f"file://{tmp_path}/deep/er")
     out.text("a/note.md", "é")

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, mean_of_present, outlier_reason
+from .neighbours import nearest
 from .relational import min_max
 
-#: Vectors in a block of the exact neighbour search.
-BLOCK = 4096
-
 
 def usable(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
     """Rows with sound vectors, and all others: null, empty, of another length than most, or with a null or non-finite component."""
@@ -38,44 +36,15 @@ def centroid_distance(df: DataFrame, label: str, vector: str, out: str = "centro
     return df.join(centroids(df, label, vector), label, "left").withColumn(out, distance(F.col(vector), F.col("centroid"))).drop("centroid")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1)
-
-
-def _nearest(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        own, vectors = table.column("_side").to_numpy(), _matrix(table.column("_v"))
-        ids = table.column("_i").to_numpy()
-        a, b = vectors[own == 0], vectors[own == 1]
-        found = []
-        for lo in range(0, len(a), 512):
-            part = a[lo : lo + 512]
-            rough = (part * part).sum(1)[:, None] - 2 * part @ b.T + (b * b).sum(1)[None]
-            near = np.argpartition(rough, min(k + 8, len(b)) - 1, axis=1)[:, : k + 8] if len(b) > k + 8 else np.broadcast_to(np.arange(len(b)), (len(part), len(b)))
-            exact = np.sqrt(((part[:, None] - b[near]) ** 2).sum(2))
-            found.append(np.sort(exact, axis=1)[:, :k])
-        return pa.table({"_i": ids[own == 0], "_near": pa.array([row.tolist() for x in found for row in x], pa.list_(pa.float64()))})
-
-    return run
-
-
 def knn_distance(df: DataFrame, index: str, vector: str, k: int = 6, out: str = "knn_distance") -> DataFrame:
     """(index, distance to the k-th nearest vector, the row itself counted); the last one if there are fewer, null for vectors that usable() leaves out.
 
-    Exact. Rows meet in pairs of blocks, each task holding two blocks, and hand on k distances a row; nothing is collected or crossed.
+    Exact, by cells around pivots: a row is compared with its own block and with those that may hold a nearer vector; k distances a row meet at the end.
     """
     sound, others = usable(df, vector)
-    kind = df.schema[index].dataType.simpleString()
-    rows = sound.select(F.col(index).alias("_i"), F.col(vector).alias("_v"))
-    parts = max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(parts)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    both = rows.select(F.col("_b").alias("_p"), F.col("_o").alias("_q"), F.lit(0).alias("_side"), "_i", "_v").union(rows.select(F.col("_o").alias("_p"), F.col("_b").alias("_q"), F.lit(1).alias("_side"), "_i", "_v"))
-    near = both.groupBy("_p", "_q").applyInArrow(_nearest(k), f"_i {kind}, _near array<double>")
-    every = near.groupBy("_i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_n"))
+    near = nearest(sound.select(F.col(index).alias("_i"), F.col(vector).alias("_v")), k)
     none = others.where(F.col(vector).isNotNull()).select(F.col(index), F.lit(None).cast("double").alias(out))
-    return every.select(F.col("_i").alias(index), F.element_at("_n", -1).alias(out)).union(none)
+    return near.select(F.col("_i").alias(index), F.element_at("near", -1)["d"].alias(out)).union(none)
 
 
 def combine_scores(df: DataFrame, isolation: str, neighbours: str, centroid: str) -> DataFrame:

@@ -375,7 +375,8 @@ def brown_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", t
     one = np.eye(CLASSES)[label]
     end, shape_label = int(label[END_ITEM]), label[WORDS:ITEMS]
     contexts = learn.mapInArrow(_contexts(spark.sparkContext.broadcast((words, label))), "token bigint, context int, n bigint")
-    contexts = contexts.repartition("token").sortWithinPartitions("token")
+    # Tasks' counts are added up first, so that a word has at most a row for each shape and pair of classes beside it, however often it occurs.
+    contexts = contexts.groupBy("token", "context").agg(F.sum("n").alias("n")).repartition("token").sortWithinPartitions("token")
     others = materialize(contexts.mapInArrow(_assign(spark.sparkContext.broadcast((one.T @ pairs @ one, shape_label))), "token bigint, shape smallint, n bigint, cls smallint"))
     known_label = np.full(len(known), end)
     at, there = _place(words, known)

@@ -29,6 +29,8 @@ class AuditConfig:
     #: CSV tables as folders of ordered parts, written by many tasks, in place of one file each.
     csv_folders: bool = False
     seed: int = 42
+    #: The projection beside PCA: tsne or umap.
+    projection: str = "tsne"
     montage_tile: int = 180
     montage_columns: int = 5
     extremes_k: int = 20
@@ -47,6 +49,8 @@ class AuditConfig:
             raise ValueError("give dataset_root or csv_path")
         if self.max_images is not None and self.max_images < 0:
             raise ValueError("max_images can't be negative")
+        if self.projection not in ("tsne", "umap"):
+            raise ValueError("projection is tsne or umap")
         if self.batch_size < 1:
             raise ValueError("batch_size can't be less than 1")
         for name in ("dataset_root", "csv_path", "path_root", "output_dir"):

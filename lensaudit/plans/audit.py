@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import QUALITY_METRICS, AuditConfig
 from ..functions import columns as C
 from ..functions import kernels
-from ..operators import duplicates, isolation, projection, relational, vectors
+from ..operators import duplicates, isolation, projection, relational, umap, vectors
 from ..report import charts
 from ..report.markdown import Section, report
 from ..shipping import ship_code
@@ -245,12 +245,14 @@ def _points(spine: DataFrame, x: str, y: str, colour: str) -> tuple[list[tuple],
 
 def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, status: str) -> tuple[DataFrame, Section]:
     n = spine.where("embedding IS NOT NULL").count()
-    names = [f"{p}_{a}" for p in ("pca", "tsne") for a in "xy"]
+    second, shown = config.projection, {"tsne": "t-SNE", "umap": "UMAP"}[config.projection]
+    names = [f"{p}_{a}" for p in ("pca", second) for a in "xy"]
     if not n:
         return spine.withColumns({c: F.lit(None).cast("double") for c in names}), Section("Vectors and projections", remark="No row has a vector.")
-    at = projection.pca(spine, "row_index", "embedding").join(projection.tsne(spine, "row_index", "embedding", config.seed), "row_index")
+    laid = umap.umap(spine, "row_index", "embedding", config.seed) if second == "umap" else projection.tsne(spine, "row_index", "embedding", config.seed)
+    at = projection.pca(spine, "row_index", "embedding").join(laid, "row_index")
     spine = spine.join(at, "row_index", "left")
-    for p in ("pca", "tsne") if n >= 5 else ("pca",):
+    for p in ("pca", second) if n >= 5 else ("pca",):
         for colour in COLOURS:
             rows, held = _points(spine, f"{p}_x", f"{p}_y", colour)
             if rows:
@@ -260,7 +262,7 @@ def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, statu
     cells = [F.get("embedding", F.lit(i)).alias(f"embedding_{i:03d}") for i in range(size)]
     given = [c for c in spine.columns if (c.startswith("embedding_") or c.endswith(("_x", "_y"))) and c not in (*names, *(f"embedding_{i:03d}" for i in range(size)))]
     out.csv("embeddings/embedding_table.csv", spine.orderBy("row_index").select("image_path", "label", "source_domain", "analysis_domain", "analysis_domain_kind", *[F.col(f"`{c}`") for c in given], *cells, *names))
-    section = Section("Vectors and projections", [("made by", status), ("rows with a vector", n), ("projections drawn", "PCA and t-SNE" if n >= 5 else "PCA"), ("charts and table", f"`{out.path('embeddings')}`")])
+    section = Section("Vectors and projections", [("made by", status), ("rows with a vector", n), ("projections drawn", f"PCA and {shown}" if n >= 5 else "PCA"), ("charts and table", f"`{out.path('embeddings')}`")])
     out.text("embeddings/embedding_summary.md", section.markdown())
     return spine, section
 

@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-images", type=int)
     a.add_argument("--batch-size", type=int, default=32)
     a.add_argument("--csv-folders", action="store_true", help="write each CSV table as a folder of parts")
+    a.add_argument("--projection", choices=("tsne", "umap"), default="tsne")
     a.add_argument("--decoder", choices=("jvm", "pillow"), default="jvm")
     h = sub.add_parser("html", help="a Markdown report as one HTML page")
     h.add_argument("--input-md", required=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .config import QUALITY_METRICS
 from .functions import columns as C
 from .functions import tiles
-from .operators import duplicates, isolation, projection, relational, vectors
+from .operators import duplicates, isolation, projection, relational, umap, vectors
 from .shipping import ship_code
 from .sources import images
 
@@ -230,6 +230,10 @@ def pca_projection(spark, d):
     return projection.pca(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+def umap_projection(spark, d):
+    return umap.umap(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
 def tsne_projection(spark, d):
     return projection.tsne(table(spark, d, "embeddings"), "vec_id", "embedding")
 

@@ -149,6 +149,16 @@ def test_scatter_charts_show_all_rows(spark, tmp_path, monkeypatch):
     assert n == len(found) == 40 and {len(r) for r in found} == {3}
 
 
+def test_umap_in_place_of_tsne(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"/{i}.png", "ab"[i % 2], None, "d", "explicit", float(i % 9), 1.0, [float(x) for x in rng.normal(size=3)]) for i in range(30)]
+    spine = spark.createDataFrame(rows, "row_index bigint, image_path string, label string, source_domain string, analysis_domain string, analysis_domain_kind string, brightness double, blur_score double, embedding array<float>")
+    out, section = audit.embed_and_project(spine, AuditConfig(dataset_root=str(tmp_path), projection="umap").validate(), audit.Outputs(spark, str(tmp_path / "out")), "none")
+    assert out.where("umap_x IS NOT NULL").count() == 30 and (tmp_path / "out/embeddings/umap_by_label.svg").exists() and "PCA and UMAP" in section.markdown()
+    with pytest.raises(ValueError):
+        AuditConfig(dataset_root="x", projection="other").validate()
+
+
 def test_nothing_readable_and_nothing_at_all(spark, tmp_path):
     for name, files in (("none", {}), ("bad", {"x.png": b"junk"})):
         root = tmp_path / name

@@ -54,13 +54,13 @@ def _tree(columns: Sequence[str], rows: int, seed: int):
 
 
 def fit_forest(df: DataFrame, index: str, columns: Sequence[str], trees: int = TREES, rows: int = ROWS, seed: int = 42) -> list[dict]:
-    """Each tree draws its rows by a hash of index, tree and seed, so that partitions make no difference. Rows must have all columns."""
+    """Each tree draws its rows by a hash of index, values, tree and seed, so that rows which share an id or have none are drawn apart and that partitions make no difference. Rows must have all columns."""
     n = df.count()
     if not n:
         return []
     share = int((1 << 30) * min(1.0, (rows + 6 * np.sqrt(rows)) / n))
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(index), t, F.lit(seed)), F.lit(1 << 30)) < share)
-    drawn = df.select(index, *columns, F.explode(numbers).alias("_tree")).withColumn("_draw", F.pmod(F.xxhash64(F.col(index), "_tree", F.lit(seed)), F.lit(1 << 30)))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(index), *columns, t, F.lit(seed)), F.lit(1 << 30)) < share)
+    drawn = df.select(index, *columns, F.explode(numbers).alias("_tree")).withColumn("_draw", F.pmod(F.xxhash64(F.col(index), *columns, "_tree", F.lit(seed)), F.lit(1 << 30)))
     grown = drawn.groupBy("_tree").applyInPandas(_tree(columns, rows, seed), "tree int, feature array<int>, cut array<double>, child array<int>, length array<double>, rows int")
     return [r.asDict() for r in grown.orderBy("tree").collect()]
 
@@ -85,7 +85,7 @@ def score_forest(forest: list[dict], x: np.ndarray) -> np.ndarray:
 
 def isolation_scores(df: DataFrame, index: str, columns: Sequence[str], out: str = "isolation", trees: int = TREES, seed: int = 42) -> DataFrame:
     """(index, score) of the rows that have all columns."""
-    rows = df.dropna(subset=list(columns)).select(F.col(index).cast("bigint").alias(index), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.dropna(subset=list(columns)).select(F.col(index), *[F.col(c).cast("double").alias(c) for c in columns])
     forest = df.sparkSession.sparkContext.broadcast(fit_forest(rows, index, columns, trees, seed=seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,4 +93,4 @@ def isolation_scores(df: DataFrame, index: str, columns: Sequence[str], out: str
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))]) if batch.num_rows else np.zeros((0, len(columns)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_forest(forest.value, x))], [index, out])
 
-    return rows.mapInArrow(run, f"{index} bigint, {out} double")
+    return rows.mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {out} double")

@@ -53,9 +53,9 @@ def pca(df: DataFrame, index: str, vector: str, prefix: str = "pca") -> DataFram
     sound, others = usable(df, vector)
     found = principal_axes(sound, vector)
     nowhere = [F.lit(None).cast("double").alias(f"{prefix}_{a}") for a in "xy"]
-    none = others.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), *nowhere)
-    rows = sound.select(F.col(index).cast("bigint").alias(index), vector)
-    names = f"{index} bigint, {prefix}_x double, {prefix}_y double"
+    none = others.where(F.col(vector).isNotNull()).select(F.col(index), *nowhere)
+    rows = sound.select(F.col(index), vector)
+    names = f"`{index}` {df.schema[index].dataType.simpleString()}, {prefix}_x double, {prefix}_y double"
     if found is None:
         return rows.select(index, *nowhere).union(none)
     mean, axes, _ = found
@@ -136,12 +136,12 @@ def place(x: np.ndarray, fitted: np.ndarray, y: np.ndarray) -> np.ndarray:
 def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSNE_ROWS, prefix: str = "tsne") -> DataFrame:
     """(index, x, y), null below 5 rows. Above `most` rows the layout is fitted on those first by hash, and each other row is placed by its neighbours among them."""
     sound, others = usable(df, vector)
-    rows = sound.select(F.col(index).cast("bigint").alias(index), vector)
+    rows = sound.select(F.col(index), vector)
     some = rows.orderBy(F.xxhash64(index), index).limit(most).toArrow()
     names = [index, f"{prefix}_x", f"{prefix}_y"]
     n = some.num_rows
     nowhere = [F.lit(None).cast("double").alias(c) for c in names[1:]]
-    none = others.where(F.col(vector).isNotNull()).select(F.col(index).cast("bigint").alias(index), *nowhere)
+    none = others.where(F.col(vector).isNotNull()).select(F.col(index), *nowhere)
     if n < 5:
         return rows.select(index, *nowhere).union(none)
     fitted = np.array(some.column(vector).to_pylist(), float)
@@ -159,4 +159,4 @@ def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSN
                 at[own < 0] = place(x[own < 0], fitted, y)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], names)
 
-    return rows.mapInArrow(run, f"{index} bigint, {prefix}_x double, {prefix}_y double").union(none)
+    return rows.mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {prefix}_x double, {prefix}_y double").union(none)

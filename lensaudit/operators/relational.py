@@ -172,18 +172,19 @@ def _carried(df: DataFrame, one: DataFrame, new: dict[str, Column]) -> DataFrame
 
 
 def membership(df: DataFrame, key: str, sets: dict[str, DataFrame]) -> DataFrame:
-    """A boolean column for each set of ids (its first column), true where the key is in it."""
-    for name, ids in sets.items():
-        flagged = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
-        df = df.join(flagged, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    return df
+    """A boolean column for each set of ids (its first column), true where the key is in it; it takes the place of a column of df with its name."""
+    rows = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
+    for i, ids in enumerate(sets.values()):
+        rows = rows.join(ids.select(F.col(f"`{ids.columns[0]}`").alias(f"_id_{i}")).where(F.col(f"_id_{i}").isNotNull()).distinct(), F.col("_key") == F.col(f"_id_{i}"), "left")
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in sets], *[F.col(f"_id_{i}").isNotNull().alias(name) for i, name in enumerate(sets)])
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns to mean 0 and population deviation 1; a constant column to 0."""
     one = df.agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = {c: (F.col(c) - F.col(f"_m_{i}")) / F.when(F.col(f"_s_{i}") > 1e-12 * F.greatest(F.abs(f"_m_{i}"), F.lit(1.0)), F.col(f"_s_{i}")).otherwise(1.0) for i, c in enumerate(columns)}
-    return df.crossJoin(F.broadcast(one)).withColumns(out).drop(*one.columns)
+    out = {c: (F.col(f"_row.`{c}`") - F.col(f"_m_{i}")) / F.when(F.col(f"_s_{i}") > 1e-12 * F.greatest(F.abs(f"_m_{i}"), F.lit(1.0)), F.col(f"_s_{i}")).otherwise(1.0) for i, c in enumerate(columns)}
+    both = df.select(F.struct("*").alias("_row")).crossJoin(F.broadcast(one))
+    return both.select(*[(out[c] if c in out else F.col(f"_row.`{c}`")).alias(c) for c in df.columns])
 
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:

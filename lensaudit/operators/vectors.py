@@ -32,8 +32,13 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def centroid_distance(df: DataFrame, label: str, vector: str, out: str = "centroid_distance") -> DataFrame:
-    """Distance to the centroid of the row's label; null for a null label or vector."""
-    return df.join(centroids(df, label, vector), label, "left").withColumn(out, distance(F.col(vector), F.col("centroid"))).drop("centroid")
+    """df and the distance to the centroid of the row's label; null for a null label, and for vectors that usable() leaves out, which no centroid counts."""
+    sound, others = usable(df, vector)
+    means = centroids(sound, label, vector).select(F.col(label).alias("_label"), F.col("centroid").alias("_mean"))
+    rows = sound.select(F.struct("*").alias("_row"), F.col(label).alias("_of"), F.col(vector).alias("_vec")).join(means, F.col("_of") == F.col("_label"), "left")
+    kept = [c for c in df.columns if c != out]
+    near = rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], distance(F.col("_vec"), F.col("_mean")).alias(out))
+    return near.union(others.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("double").alias(out)))
 
 
 def knn_distance(df: DataFrame, index: str, vector: str, k: int = 6, out: str = "knn_distance") -> DataFrame:

@@ -122,10 +122,10 @@ def _guests(k: int, schema: pa.Schema):
     return run
 
 
-def nearest(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
+def nearest(rows: DataFrame, k: int, seed: int = 42, block: int | None = None) -> DataFrame:
     """Of rows (_i, _v), sound vectors of one length: (_i, near, compared), near being the k nearest rows as (d, i), nearest first, the row itself among them.
 
-    compared: pairs that were looked at for the row. Fewer than k rows give them all. Rows that repeat an id are one row with the k nearest of all their lists. Ties of distance go to smaller ids.
+    compared: pairs that were looked at for the row. Fewer than k rows give them all. Rows that repeat an id are one row with the k nearest of all their lists. Ties of distance go to smaller ids. block: rows compared at once (BLOCK).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
@@ -134,8 +134,8 @@ def nearest(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     near_type = ArrayType(StructType().add("d", DoubleType()).add("i", kind))
     first_type = StructType().add("_i", kind).add("_v", rows.schema["_v"].dataType).add("_cell", IntegerType()).add("_part", IntegerType()).add("_bound", DoubleType()).add("near", near_type).add("compared", LongType())
     more_type = StructType().add("_i", kind).add("near", near_type).add("compared", LongType())
-    n = rows.count()
-    many = 1 if n <= BLOCK else min(PIVOTS, -(-n // CELL))
+    n, block = rows.count(), block or BLOCK
+    many = 1 if n <= block else min(PIVOTS, -(-n // CELL))
     # The pivots: rows drawn by a hash, distinct ones, about as many as there should be cells; never more than twice PIVOTS.
     drawn = rows.select("_v", F.xxhash64("_v", F.lit(seed)).alias("_h")).where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * many / max(n, 1)))).distinct().orderBy("_h").limit(many)
     pivots = np.array([r["_v"] for r in drawn.collect()], np.float64) if many > 1 else np.zeros((0, 0))
@@ -148,7 +148,7 @@ def nearest(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     cells = max(len(pivots), 1)
     parts, low, high = np.zeros(cells, np.int64), np.zeros(cells), np.zeros(cells)
     for cell, count, a, b in stats:
-        parts[cell], low[cell], high[cell] = -(-count // BLOCK), a, b
+        parts[cell], low[cell], high[cell] = -(-count // block), a, b
     of = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("_cell")) if parts.max(initial=0) > 1 else F.lit(1)
     placed = placed.select("_i", "_v", "_cell", F.pmod(F.xxhash64("_i", "_v"), of).cast("int").alias("_part"))
     own = placed.groupBy("_cell", "_part").applyInArrow(_own(k, to_arrow_schema(first_type)), first_type)
@@ -161,7 +161,7 @@ def nearest(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     else:
         every = seen.mapInArrow(_visits(pivots, low, high, parts), StructType().add("_i", kind).add("_v", rows.schema["_v"].dataType).add("_cell", IntegerType()).add("_part", IntegerType()))
     # A block that many rows look at is dealt out again, a copy of it to each share of its guests.
-    visits = every.groupBy("_cell", "_part").agg(F.ceil(F.count("*") / F.lit(4 * BLOCK)).cast("int").alias("_shares"))
+    visits = every.groupBy("_cell", "_part").agg(F.ceil(F.count("*") / F.lit(4 * block)).cast("int").alias("_shares"))
     guests = every.join(visits, ["_cell", "_part"]).withColumn("_share", F.pmod(F.xxhash64("_i", "_v"), F.col("_shares")).cast("int"))
     blocks = placed.join(visits, ["_cell", "_part"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     key = ["_cell", "_part", "_share"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, mean_of_present, outlier_reason
-from .neighbours import nearest
+from .neighbours import BLOCK, nearest
 from .relational import min_max
 
 
@@ -47,7 +47,7 @@ def knn_distance(df: DataFrame, index: str, vector: str, k: int = 6, out: str =
     Exact, by cells around pivots: a row is compared with its own block and with those that may hold a nearer vector; k distances a row meet at the end.
     """
     sound, others = usable(df, vector)
-    near = nearest(sound.select(F.col(index).alias("_i"), F.col(vector).alias("_v")), k)
+    near = nearest(sound.select(F.col(index).alias("_i"), F.col(vector).alias("_v")), k, block=BLOCK)
     none = others.where(F.col(vector).isNotNull()).select(F.col(index), F.lit(None).cast("double").alias(out))
     return near.select(F.col("_i").alias(index), F.element_at("near", -1)["d"].alias(out)).union(none)
 

@@ -1,4 +1,4 @@
-"""Two-dimensional projections of vectors: PCA over all rows; exact t-SNE of a bounded sample, in which all other rows are placed."""
+"""Two-dimensional projections of vectors: PCA over all rows; t-SNE over all rows (tsne.py), or exact for a bounded sample in which all other rows are placed."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from .vectors import usable, vectors_from
 
-#: Rows that t-SNE is fitted on, all of a smaller table, as its cost is quadratic; fitted rows whose coordinates a further row is placed by, and their perplexity.
-TSNE_ROWS = 2000
+#: Of t-SNE on a sample: fitted rows whose coordinates a further row is placed by, and their perplexity.
 NEAR, NEAR_PERPLEXITY = 15, 5.0
 
 
@@ -133,8 +132,15 @@ def place(x: np.ndarray, fitted: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int = TSNE_ROWS, prefix: str = "tsne") -> DataFrame:
-    """(index, x, y), null below 5 rows. Above `most` rows the layout is fitted on those first by hash, and each other row is placed by its neighbours among them."""
+def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, most: int | None = None, prefix: str = "tsne") -> DataFrame:
+    """(index, x, y) of a layout of all rows, as tsne.tsne() gives it; null below 5 rows.
+
+    With `most` a cheaper sketch for the caller who asks for one: above so many rows the layout is fitted on those first by hash, at quadratic cost, and each other row is placed by its neighbours among them.
+    """
+    if most is None:
+        from .tsne import tsne as of_all_rows
+
+        return of_all_rows(df, index, vector, seed, prefix=prefix)
     sound, others = usable(df, vector)
     rows = sound.select(F.col(index), vector)
     some = rows.orderBy(F.xxhash64(index), index).limit(most).toArrow()

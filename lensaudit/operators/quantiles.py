@@ -45,10 +45,17 @@ def _interpolated(value: dict[int, float], at: float) -> float:
 
 
 def _part() -> Column:
-    """Which part of lo..hi a value is in: never falling as values rise, lo in the first and hi in the last, all others between, so ranges always narrow."""
-    share = F.coalesce(F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2), F.lit(0.5))
-    inner = F.least(F.greatest(F.floor(F.nanvl(share, F.lit(0.5)) * (PARTS - 2)) + 1, F.lit(1)), F.lit(PARTS - 2))
-    return F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), PARTS - 1).otherwise(inner).cast("int")
+    """Which part of lo..hi a value is in: never falling as values rise, lo in the first and hi in the last, all others between, so ranges always narrow.
+
+    Parts are even in the value where lo and hi have one sign and differ twofold at most, else in its signed logarithm. Two passes at most bring
+    a range of all doubles to the first case, which holds 2^52 values at most; so eight passes end on any table.
+    """
+    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    size = lambda x: F.when(x == 0, 0.0).otherwise(F.signum(x) * F.least(F.log2(F.abs(x)) + 1075, F.lit(2200.0)))
+    even = (F.signum(lo) * F.signum(hi) > 0) & (F.greatest(F.abs(lo), F.abs(hi)) / 2 <= F.least(F.abs(lo), F.abs(hi)))
+    share = F.when(even, F.try_divide(v - lo, hi - lo)).otherwise(F.try_divide(size(v) - size(lo), size(hi) - size(lo)))
+    inner = F.least(F.greatest(F.floor(F.nanvl(F.coalesce(share, F.lit(0.5)), F.lit(0.5)) * (PARTS - 2)) + 1, F.lit(1)), F.lit(PARTS - 2))
+    return F.when(v == lo, 0).when(v == hi, PARTS - 1).otherwise(inner).cast("int")
 
 
 def _select(of: DataFrame, kind: T.DataType, hot: list[tuple]) -> dict:

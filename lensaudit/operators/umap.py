@@ -9,12 +9,12 @@ epochs while all others hold still. One block does all epochs in one round.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbours import nearest
@@ -44,27 +44,35 @@ def local_weights(distances: np.ndarray) -> np.ndarray:
     return np.exp(-over / sigma[:, None])
 
 
-def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _directed(weigh: Callable[[np.ndarray], np.ndarray]):
     """Rows (id, near) to (i, j, p)."""
-    for batch in batches:
-        near = batch.column(1)
-        size = near.value_lengths().to_numpy()
-        own = np.repeat(np.arange(batch.num_rows), size)
-        d, j = near.flatten().field(0).to_numpy(), near.flatten().field(1)
-        other = pa.compute.not_equal(batch.column(0).take(pa.array(own)), j).to_numpy(zero_copy_only=False)
-        keep = np.flatnonzero(other)
-        per = np.bincount(own[keep], minlength=batch.num_rows)
-        for n in np.unique(per[per > 0]).tolist():
-            at = keep[np.isin(own[keep], np.flatnonzero(per == n))]
-            p = local_weights(d[at].reshape(-1, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[at])), j.take(pa.array(at)), pa.array(p.ravel())], ["i", "j", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column(1)
+            size = near.value_lengths().to_numpy()
+            own = np.repeat(np.arange(batch.num_rows), size)
+            d, j = near.flatten().field(0).to_numpy(), near.flatten().field(1)
+            other = pa.compute.not_equal(batch.column(0).take(pa.array(own)), j).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(other)
+            per = np.bincount(own[keep], minlength=batch.num_rows)
+            for n in np.unique(per[per > 0]).tolist():
+                at = keep[np.isin(own[keep], np.flatnonzero(per == n))]
+                p = weigh(d[at].reshape(-1, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[at])), j.take(pa.array(at)), pa.array(p.ravel())], ["i", "j", "p"])
+
+    return run
+
+
+def weighted_neighbours(points: DataFrame, k: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Of points (_i, _v): (i, j, p), the k nearest of each, itself among them but not given, weighed by their ascending distances."""
+    kind = points.schema["_i"].dataType.simpleString()
+    return nearest(points, k).select("_i", "near").mapInArrow(_directed(weigh), f"i {kind}, j {kind}, p double")
 
 
 def fuzzy_graph(points: DataFrame, k: int = 15) -> DataFrame:
     """Of points (_i, _v): (i, j, w), both directions of each edge of the union of memberships p + q - p q."""
-    kind = points.schema["_i"].dataType.simpleString()
-    lists = nearest(points, k).select("_i", "near")
-    directed = lists.mapInArrow(_directed, f"i {kind}, j {kind}, p double")
+    directed = weighted_neighbours(points, k, local_weights)
     pairs = directed.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("p").alias("s"), F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
     edges = pairs.select("i", "j", F.when(F.col("n") > 1, F.col("s") - F.col("a") * F.col("b")).otherwise(F.col("s")).alias("w"))
     return edges.union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
@@ -125,6 +133,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt_by_strips(at: DataFrame, n: int, blocks: int, turn: int, seed: int) -> tuple[np.ndarray, Column]:
+    """Of n placed points (_i, x, y): places drawn from all of them, none for one block, and each point's block, by strips across the layout in the turn's direction."""
+    if blocks == 1:
+        return np.zeros((0, 2)), F.lit(0)
+    strips = min(blocks, STRIPS)
+    some = at.where(F.pmod(F.xxhash64("_i", F.lit(-1 - turn)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, POOL / n))).select("_i", "x", "y").limit(2 * POOL).collect()
+    pool = np.array([(r["x"], r["y"]) for r in sorted(some)], float).reshape(-1, 2)
+    way = np.array([np.cos(2.4 * turn), np.sin(2.4 * turn)])
+    cuts = np.quantile(pool @ way, np.arange(1, strips) / strips) if len(pool) else np.zeros(0)
+    strip = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda m, c: m + (F.col("x") * float(way[0]) + F.col("y") * float(way[1]) > c).cast("int"))
+    return pool, strip * -(-blocks // strips) + F.pmod(F.xxhash64("_i", F.lit(seed + turn)), F.lit(-(-blocks // strips))).cast("int")
+
+
 def umap(df: DataFrame, index: str, vector: str, seed: int = 42, k: int = 15, epochs: int = 200, prefix: str = "umap") -> DataFrame:
     """(index, x, y), the index of any type; null below 5 different vectors, and for vectors that usable() leaves out (null vectors have no row).
 
@@ -161,16 +182,8 @@ def umap(df: DataFrame, index: str, vector: str, seed: int = 42, k: int = 15, ep
     blocks = max(1, -(-n // BLOCK))
     rounds = 1 if blocks == 1 else ROUNDS
     rates = np.array_split(1 - np.arange(epochs) / epochs, rounds)
-    strips = min(blocks, STRIPS)
     for turn in range(rounds):
-        pool, block = np.zeros((0, 2)), F.lit(0)
-        if blocks > 1:
-            some = at.where(F.pmod(F.xxhash64("_i", F.lit(-1 - turn)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, POOL / n))).select("_i", "x", "y").limit(2 * POOL).collect()
-            pool = np.array([(r["x"], r["y"]) for r in sorted(some)], float).reshape(-1, 2)
-            way = np.array([np.cos(2.4 * turn), np.sin(2.4 * turn)])
-            cuts = np.quantile(pool @ way, np.arange(1, strips) / strips) if len(pool) else np.zeros(0)
-            strip = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("x") * float(way[0]) + F.col("y") * float(way[1]) > c).cast("int"))  # noqa: B023
-            block = strip * -(-blocks // strips) + F.pmod(F.xxhash64("_i", F.lit(seed + turn)), F.lit(-(-blocks // strips))).cast("int")
+        pool, block = dealt_by_strips(at, n, blocks, turn, seed)
         at = at.withColumn("_block", block)
         ends = edges.join(at.select(F.col("_i").alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy")), "j").join(at.select(F.col("_i").alias("i"), F.col("_block").alias("_to")), "i")
         at = at.groupBy("_block").cogroup(ends.groupBy("_to")).applyInArrow(_moved(seed, turn, rates[turn], pool, to_arrow_schema(place)), place)

@@ -83,6 +83,18 @@ def test_quartiles_by_ranges_against_sorted_values(spark, monkeypatch, held):
     assert quantiles.quartiles(df.where("false"), "g", "v", held).count() == 0
 
 
+def test_quartiles_of_values_of_all_sizes_in_eight_passes(spark, monkeypatch):
+    passes, part = [], quantiles._part
+    monkeypatch.setattr(quantiles, "_part", lambda: passes.append(1) or part())
+    rng = np.random.default_rng(4)
+    groups = {"positive": 10.0 ** rng.uniform(-300, 300, 3000), "both": 10.0 ** rng.uniform(-300, 300, 3000) * rng.choice([-1.0, 1.0], 3000), "close": 1 + np.arange(3000) * 2.0**-52, "denormal": np.append(np.arange(2999) * 5e-324, 1e308)}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs.tolist()], "g string, v double").repartition(3)
+    got = {r["g"]: r["_q"] for r in quantiles.quartiles(df, "g", "v", held=100).collect()}
+    assert len(passes) <= 8
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(np.quantile(xs, quantiles.QUARTILES).tolist(), rel=1e-9, abs=1e-323)
+
+
 def test_correlation_is_pairwise_complete(spark):
     rows = [(1.0, 2.0, None), (2.0, 4.5, 1.0), (3.0, 5.0, 0.0), (4.0, None, 5.0), (5.0, 9.0, float("nan"))]
     got = {(r["x"], r["y"]): r["r"] for r in relational.correlation(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}

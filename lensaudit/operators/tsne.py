@@ -23,11 +23,13 @@ from .umap import dealt_by_strips, settled, weighted_neighbours
 from .vectors import usable, vectors_from
 
 #: Points of a block; rounds of more than one; steps, and how many first ones pull harder, by how much.
-BLOCK, ROUNDS, STEPS, EARLY, HARDER = 8192, 25, 500, 150, 12.0
+BLOCK, ROUNDS, STEPS, EARLY, HARDER = 4096, 25, 500, 150, 12.0
 #: A cell stands for its points where its side is below ANGLE of its distance; levels of a tree; steps after which it is built anew.
 ANGLE, DEPTH, REFRESH = 0.5, 14, 10
 #: Cells across in which a round counts all points; a place's and a sum's units as whole numbers.
 ACROSS, UNIT, UNIT_Z = 128, float(1 << 20), 1024
+#: What pairs of points and cells are computed in.
+PRECISION = np.float32
 STATE = ("x", "y", "mx", "my", "gx", "gy", "z")
 
 
@@ -91,19 +93,24 @@ class Tree:
             point = np.repeat(point, per)
             cell = np.repeat(first[cell] - np.cumsum(per) + per, per) + np.arange(len(point))
             start = finer
-        self.starts, self.point, self.cell = starts, np.concatenate(points), np.concatenate(cells)
+        self.starts, point, self.cell = starts, np.concatenate(points), np.concatenate(cells)
+        by = np.argsort(point, kind="stable")  # each point's cells together: they are read, and added up, in one run
+        self.cell, self.per = self.cell[by], np.bincount(point, minlength=own)
+        self.first = np.cumsum(self.per) - self.per
 
     def push(self, at: np.ndarray, weight: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         """At each of the first `own` places: the sum of q^2 times the gap and the sum of q over all others, q being 1 / (1 + d^2)."""
         each = np.column_stack((weight, at * weight[:, None]))[self.order]
         total = np.concatenate([np.add.reduceat(each, s, axis=0) for s in self.starts])
         middle, mass = total[:, 1:] / total[:, :1], total[:, 0]
-        gx, gy = (at[self.point, c] - middle[self.cell, c] for c in (0, 1))
+        about = at.mean(0)  # keeps digits
+        gx, gy = (np.repeat((at[:own, c] - about[c]).astype(PRECISION), self.per) - (middle[:, c] - about[c]).astype(PRECISION)[self.cell] for c in (0, 1))
         q = 1 / (1 + gx * gx + gy * gy)
-        force = mass[self.cell] * q
-        z = np.bincount(self.point, force, own) - 1
+        force = mass.astype(PRECISION)[self.cell] * q
+        sums = lambda x: np.add.reduceat(x, self.first, dtype=np.float64)
+        z = sums(force) - 1
         force *= q
-        return np.column_stack([np.bincount(self.point, force * g, own) for g in (gx, gy)]), z
+        return np.column_stack([sums(force * g) for g in (gx, gy)]), z
 
 
 class Cells:
@@ -127,9 +134,9 @@ class Cells:
 
 def pull(y: np.ndarray, own: np.ndarray, to: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The attractive part: edge e pulls y[own[e]] to the place to[e]."""
-    gap = y[own] - to
-    force = (weight / (1 + (gap * gap).sum(1)))[:, None] * gap
-    return np.column_stack([np.bincount(own, force[:, c], len(y)) for c in (0, 1)])
+    gx, gy = (y[own, c] - to[:, c] for c in (0, 1))
+    force = weight / (1 + gx * gx + gy * gy)
+    return np.column_stack([np.bincount(own, force * g, len(y)) for g in (gx, gy)])
 
 
 def descend(state: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.ndarray, weight: np.ndarray, n: int, steps: np.ndarray, places: np.ndarray, masses: np.ndarray, beyond: float) -> np.ndarray:
@@ -139,15 +146,17 @@ def descend(state: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.nda
     """
     y, move, gain, z = state[:, :2].copy(), state[:, 2:4].copy(), state[:, 4:6].copy(), state[:, 6]
     rate = max(n / HARDER / 4, 50)
-    inside = (other >= 0)[:, None]
+    outside = np.flatnonzero(other < 0)
     masses = np.concatenate((np.ones(len(y)), masses))
     for turn, step in enumerate(steps):
         at = np.vstack((y, places))
         if turn % REFRESH == 0:
             tree = Tree(at, len(y))
         push, z = tree.push(at, masses, len(y))
+        to = y[other]
+        to[outside] = fixed[outside]
         hard, keep = (HARDER, 0.5) if step < EARLY else (1.0, 0.8)
-        grad = 4 * (hard / n * pull(y, own, np.where(inside, y[other], fixed), weight) - push / max(z.sum() + beyond, 1e-12))
+        grad = 4 * (hard / n * pull(y, own, to, weight) - push / max(z.sum() + beyond, 1e-12))
         gain = np.maximum(np.where(np.sign(grad) != np.sign(move), gain + 0.2, gain * 0.8), 0.01)
         move = keep * move - rate * gain * grad
         y += move

@@ -58,6 +58,7 @@ def test_cells_less_a_block_are_the_other_points():
 def test_steps_against_plain_loops(monkeypatch):
     monkeypatch.setattr(module, "ANGLE", 0.0)
     monkeypatch.setattr(module, "REFRESH", 1)
+    monkeypatch.setattr(module, "PRECISION", np.float64)
     rng = np.random.default_rng(5)
     n = 40
     state = np.hstack((rng.normal(size=(n, 2)), rng.normal(size=(n, 2)) * 0.01, np.ones((n, 2)), np.zeros((n, 1))))
@@ -83,7 +84,7 @@ def test_steps_against_plain_loops(monkeypatch):
     assert np.abs(got[:, :2] - np.array(y)).max() < 1e-6 and np.abs(got[:, 6] - [sum(r) for r in q]).max() < 1e-6
 
 
-@pytest.mark.parametrize("block", [8192, 200])
+@pytest.mark.parametrize("block", [4096, 200])
 def test_tsne_keeps_neighbours_however_rows_are_dealt(spark, monkeypatch, block):
     monkeypatch.setattr(module, "BLOCK", block)
     monkeypatch.setattr(module, "ROUNDS", 10)

@@ -127,7 +127,3 @@ def grid_embedding(rgb: np.ndarray, side: int = 224) -> np.ndarray:
     cells = planes[: step * 8, : step * 8].reshape(8, step, 8, step, 6)
     mean, spread = cells.mean((1, 3)), cells[..., 3:5].std((1, 3))
     return np.concatenate((mean, spread), 2).reshape(-1).astype(np.float32)
-
-
-#: What unreadable images are to a model: black.
-BLACK = np.zeros((224, 224, 3), np.uint8)

@@ -18,8 +18,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settled
 from .projection import principal_axes
-from .umap import dealt_by_strips, settled, weighted_neighbours
+from .umap import dealt_by_strips, weighted_neighbours
 from .vectors import usable, vectors_from
 
 #: Points of a block; rounds of more than one; steps, and how many first ones pull harder, by how much.

@@ -8,8 +8,6 @@ epochs while all others hold still. One block does all epochs in one round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +16,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import settled
 from .neighbours import nearest
 from .projection import principal_axes
 from .vectors import usable, vectors_from
@@ -123,22 +122,6 @@ def _moved(seed: int, turn: int, rates: np.ndarray, pool: np.ndarray, schema: pa
     return run
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir; a local session without one gets a temporary folder.
-
-    A table and not checkpoint(), which keeps the estimated size of the plan before it: through rounds of joins that number gets more digits than the driver can multiply.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="lensaudit-points-"))
-    at = f"{context._jsc.sc().getCheckpointDir().get()}/points-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def dealt_by_strips(at: DataFrame, n: int, blocks: int, turn: int, seed: int) -> tuple[np.ndarray, Column]:
     """Of n placed points (_i, x, y): places drawn from all of them, none for one block, and each point's block, by strips across the layout in the turn's direction."""
     if blocks == 1:

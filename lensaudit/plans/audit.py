@@ -7,7 +7,6 @@ stages read that; what a stage hands the driver is a table of classes, metrics o
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -49,12 +48,13 @@ class Outputs:
             files.write(self.spark, self.path(name), data)
 
     def csv(self, name: str, df: DataFrame) -> None:
-        """With header, rows in df's order; arrays are left out."""
+        """With header, rows in df's order; arrays are left out. Many tasks write; as one file their parts are joined in that order below one header."""
         flat = df.select(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("array", "binary"))])
         part = self.path(name if self.folders else name + ".parts")
-        (flat if self.folders else flat.coalesce(1)).write.mode("overwrite").option("header", True).option("escape", '"').csv(files.uri(part))
-        if not self.folders and not files.take_part(self.spark, part, self.path(name)):
-            self.text(name, ",".join(flat.columns) + "\n")
+        flat.write.mode("overwrite").option("header", self.folders).option("escape", '"').csv(files.uri(part))
+        if not self.folders:
+            head = self.spark.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(flat.columns)]), {"escape": '"'})).first()[0]
+            files.join_parts(self.spark, part, self.path(name), f"{head}\n".encode())
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Parquet, written and read again: what later stages start from."""
@@ -105,11 +105,12 @@ def ingest(spark: SparkSession, config: AuditConfig, embed: images.Embedder | No
             if config.max_images:
                 pictures = pictures.join(rows.select("image_path").distinct(), "image_path", "left_semi")
     spine = records.with_row_index(rows)
-    measured = images.measure(pictures, embed, decoder)
+    measured = images.measure(pictures, embed, decoder, config.measures)
     given = [c for c in spine.columns if c in measured.columns and c != "image_path"]
+    doubles = [c for c, kind in measured.dtypes if kind == "double"]
     spine = spine.withColumnsRenamed({c: f"_given_{c}" for c in given}).join(listed, "image_path", "left").join(measured, "image_path", "left")
     for c in given:  # values of the manifest count where an image gives none
-        spine = spine.withColumn(c, F.coalesce(C.no_nan(F.col(c)) if c in QUALITY_METRICS else F.col(c), F.expr(f"try_cast(`_given_{c}` AS {measured.schema[c].dataType.simpleString()})"))).drop(f"_given_{c}")
+        spine = spine.withColumn(c, F.coalesce(C.no_nan(F.col(c)) if c in doubles else F.col(c), F.expr(f"try_cast(`_given_{c}` AS {measured.schema[c].dataType.simpleString()})"))).drop(f"_given_{c}")
     spine = spine.withColumns({
         "is_readable": F.coalesce("is_readable", F.lit(False)), "load_error": F.when(F.col("is_readable").isNull(), F.coalesce("load_error", F.lit("no such file"))).otherwise(F.col("load_error")),
         "aspect_ratio": C.aspect_ratio(F.col("width"), F.col("height")), "resolution_bucket": C.resolution_bucket(F.col("width"), F.col("height")),
@@ -295,7 +296,7 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
 MULTI_VIEW = Section("Views of one object", remark="Each image is judged by itself. Manifest columns that name the object and the view would be passed through to all tables, but nothing joins rows by them.")
 
 
-def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model", decoder: Decoder | None = None) -> DataFrame:
+def run_audit(spark: SparkSession, config: AuditConfig, embed: images.Embedder | None = kernels.grid_embedding, embed_status: str = "grid statistics, no model", decoder: Decoder | None = None) -> DataFrame:
     """All stages and their files; returns the final spine."""
     config.validate()
     ship_code(spark)
@@ -307,7 +308,7 @@ def run_audit(spark: SparkSession, config: AuditConfig, embed: Callable | None =
     finally:
         spark.conf.set(BATCH, before)
     ordered = lambda df: df.orderBy("row_index").drop("row_index")
-    base = [c for c in spine.columns if c not in (*QUALITY_METRICS, "ahash", "dhash", "ahash_bits", "dhash_bits", "embedding")]
+    base = [c for c in spine.columns if c not in (*QUALITY_METRICS, *config.quality_metrics, "ahash", "dhash", "ahash_bits", "dhash_bits", "embedding")]
     out.csv("dataset_manifest.csv", ordered(spine.select(*base)))
     out.csv("corrupted_or_unreadable_images.csv", unreadable(spine))
     n = relational.totals(spine, "label", F.col("is_readable")).first()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from ..config import AuditConfig
+from ..config import AuditConfig, Measure
+from ..functions import kernels, models
 from ..report.markdown import html_page
 from ..sources import decoders
 from ..sources.records import pets_manifest
@@ -28,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--csv-folders", action="store_true", help="write each CSV table as a folder of parts")
     a.add_argument("--projection", choices=("tsne", "umap"), default="tsne")
     a.add_argument("--decoder", choices=("jvm", "pillow"), default="jvm")
+    a.add_argument("--weights", help="an .npz file with the weights of a residual network, whose vectors take the place of the grid statistics")
+    a.add_argument("--image-size", type=int, default=224, help="side of the images that the network sees")
+    a.add_argument("--measure", action="append", default=[], metavar="MODULE:FUNCTION", help="a measure of your own, a function of an image's pixels; may be repeated")
     h = sub.add_parser("html", help="a Markdown report as one HTML page")
     h.add_argument("--input-md", required=True)
     h.add_argument("--output-html")
@@ -37,6 +42,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def own_measure(name: str) -> Measure:
+    module, _, function = name.partition(":")
+    return Measure(function, getattr(importlib.import_module(module), function))
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("lensaudit").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -54,5 +64,9 @@ def main(argv: list[str] | None = None) -> None:
         spark = session()
         Outputs(spark, str(target.parent)).csv(target.name, pets_manifest(spark, str(root)))
     else:
-        values = {k: v for k, v in vars(args).items() if k not in ("command", "decoder")}
-        run_audit(session(), AuditConfig(**values), decoder=decoders.pillow() if args.decoder == "pillow" else None)
+        values = {k: v for k, v in vars(args).items() if k not in ("command", "decoder", "weights", "image_size", "measure")}
+        config = AuditConfig(**values, measures=tuple(map(own_measure, args.measure)))
+        embed, status = kernels.grid_embedding, "grid statistics, no model"
+        if args.weights:
+            embed, status = models.network(args.weights, args.image_size, args.batch_size), f"a residual network, weights of `{args.weights}`"
+        run_audit(session(), config, embed, status, decoders.pillow() if args.decoder == "pillow" else None)

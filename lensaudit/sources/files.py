@@ -89,19 +89,42 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def take_part(spark: SparkSession, folder: str, path: str) -> bool:
-    """Moves the one part file of a written folder to path, and deletes the folder; False if it has none."""
+def _number(name: str) -> tuple[int, str]:
+    """Orders part files by the task that wrote them, however many digits its number has."""
+    return int(name.split("-")[1]), name
+
+
+def join_parts(spark: SparkSession, folder: str, path: str, head: bytes) -> None:
+    """head and all part files of a written folder, byte by byte in the order of their tasks, as one file at path; deletes the folder.
+
+    The driver passes bytes on by the megabyte and holds no part. path has the whole file or what it had before, where the file system renames in one step.
+    """
     if not is_uri(folder):
-        part = next(Path(folder).glob("part-*"), None)
-        if part is not None:
-            os.replace(part, path)
+        parts = sorted((p.name for p in Path(folder).glob("part-*")), key=_number)
+        whole = Path(folder) / "whole"
+        with open(whole, "wb") as out:
+            out.write(head)
+            for name in parts:
+                with open(Path(folder) / name, "rb") as part:
+                    shutil.copyfileobj(part, out, 1 << 20)
+        os.replace(whole, path)
         shutil.rmtree(folder)
-        return part is not None
+        return
     system, at = _system(spark, folder)
-    part = next((s.getPath() for s in system.listStatus(at) if s.getPath().getName().startswith("part-")), None)
-    if part is not None:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        system.delete(target, True)
-        system.rename(part, target)
+    parts = sorted((s.getPath().getName() for s in system.listStatus(at) if s.getPath().getName().startswith("part-")), key=_number)
+    whole, target = spark._jvm.org.apache.hadoop.fs.Path(at, "whole"), spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = system.create(whole, True)
+    try:
+        out.write(bytearray(head))
+        for name in parts:
+            part = system.open(spark._jvm.org.apache.hadoop.fs.Path(at, name))
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    system.delete(target, True)
+    if not system.rename(whole, target):
+        raise OSError(f"{whole.toString()} can't be moved to {path}")
     system.delete(at, True)
-    return part is not None

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EXTENSIONS, QUALITY_METRICS
+from ..config import EXTENSIONS, QUALITY_METRICS, Measure
 from ..functions import kernels
+from ..functions.models import Batched
 from .decoders import Decoder
 from .files import is_uri, opened, reachable, sizes
 
-#: Pixels to an embedding. A model is loaded where the function is first called, once a worker.
-Embedder = Callable[[np.ndarray], np.ndarray]
+#: Pixels to an embedding, image by image, or a model that takes them in batches. A model is loaded where it is first called, once a worker.
+Embedder = Callable[[np.ndarray], np.ndarray] | Batched
 
 
 def any_case(extensions=EXTENSIONS) -> str:
@@ -132,7 +133,15 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(x, 3, 2) if channels == 1 else x[..., 2::-1]
 
 
-MEASURES = "image_path string, width int, height int, is_readable boolean, load_error string, " + ", ".join(f"{m} double" for m in QUALITY_METRICS) + ", ahash_bits bigint, dhash_bits bigint, embedding array<float>"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "array<float>": pa.list_(pa.float32())}
+#: Rows that wait for a batch to fill, at most.
+WAITING = 4096
+
+
+def measured_columns(extra: Sequence[Measure] = ()) -> list[tuple[str, str]]:
+    """Names and types of what measure() gives."""
+    own = [("image_path", "string"), ("width", "int"), ("height", "int"), ("is_readable", "boolean"), ("load_error", "string"), *((m, "double") for m in QUALITY_METRICS)]
+    return [*own, *((m.name, m.kind) for m in extra), ("ahash_bits", "bigint"), ("dhash_bits", "bigint"), ("embedding", "array<float>")]
 
 
 def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[str, np.ndarray | None, str]]:
@@ -149,25 +158,49 @@ def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[
             yield path.as_py(), None, str(e) or type(e).__name__
 
 
-def _measure(embed: Embedder | None, decoder: Decoder | None):
+def _row(path: str, rgb: np.ndarray | None, error: str, extra: Sequence[Measure]) -> dict:
+    if rgb is None:
+        return {"image_path": path, "is_readable": False, "load_error": error}
+    row = {"image_path": path, "width": rgb.shape[1], "height": rgb.shape[0], "is_readable": True, "load_error": None}
+    row |= kernels.quality(rgb) | {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
+    return row | {m.name: m.value(rgb) for m in extra}
+
+
+def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Measure]):
+    model = embed if isinstance(embed, Batched) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        waiting: list[tuple[dict, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            if waiting:
+                for (row, _), vector in zip(waiting, model.vectors([x for _, x in waiting]), strict=True):
+                    row["embedding"] = vector
+            made = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[k]) for n, k in columns], [n for n, _ in columns])
+            rows.clear()
+            waiting.clear()
+            return made
+
+        columns = measured_columns(extra)
         for batch in batches:
-            rows = []
             for path, rgb, error in _pictures(batch, decoder):
-                row: dict = {"image_path": path, "is_readable": False, "load_error": error}
-                if rgb is not None:
-                    row = {"image_path": path, "width": rgb.shape[1], "height": rgb.shape[0], "is_readable": True, "load_error": None}
-                    row |= kernels.quality(rgb) | {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
-                    if embed is not None:
-                        row["embedding"] = embed(rgb)
-                rows.append(row)
-            kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "array<float>": pa.list_(pa.float32())}
-            names = [x.split(" ") for x in MEASURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in names], [n for n, _ in names])
+                rows.append(_row(path, rgb, error, extra))
+                if model is None:
+                    if rgb is not None and embed is not None:
+                        rows[-1]["embedding"] = embed(rgb)
+                elif rgb is not None or model.blank:
+                    waiting.append((rows[-1], model.fitted(rgb)))
+                if model is not None and (len(waiting) == model.size or len(rows) == WAITING):
+                    yield out()
+            if rows and not waiting:
+                yield out()
+        if rows:
+            yield out()
 
     return run
 
 
-def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None) -> DataFrame:
-    """Of decode(), or of contents() with a decoder: sizes, quality measures, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row."""
-    return images.mapInArrow(_measure(embed, decoder), MEASURES)
+def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None, extra: Sequence[Measure] = ()) -> DataFrame:
+    """Of decode(), or of contents() with a decoder: sizes, quality measures, `extra` ones, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row."""
+    return images.mapInArrow(_measure(embed, decoder, tuple(extra)), ", ".join(f"`{n}` {k}" for n, k in measured_columns(extra)))

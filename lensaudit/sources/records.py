@@ -5,20 +5,30 @@ from __future__ import annotations
 import os.path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators.relational import membership
+from ..scratch import settled
 from .files import exists, normal, uri
 
 
+#: Bits of a monotonically increasing id that count within a partition.
+_PLACE = (1 << 33) - 1
+
+
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Numbers rows from 0 in the order of df, without gathering them in one task."""
-    schema = df.schema
-    indexed = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return df.sparkSession.createDataFrame(indexed, T.StructType([T.StructField(name, T.LongType(), False), *schema.fields]))
+    """Numbers rows from 0 in the order of df: its partitions one after the other, as an orderBy() leaves them.
+
+    Each row is written with its partition and its place in it; rows are then counted by partition, and what a row's partition has before it is added to its place.
+    Only these counts, a row a partition, are summed up in one task and sent to all. A sort isn't done twice, as two runs may cut its ranges at other rows or put ties in
+    another order: numbers come from the written table, whatever tasks are lost later. Columns may have any names, but for that of the number; an empty table stays empty.
+    """
+    placed = settled(df.select(F.struct("*").alias("_row"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)).alias("_at")), "rows")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at")).alias(name), *[F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def folder_records(files: DataFrame, root: str, max_images: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from ..config import QUALITY_METRICS, AuditConfig
 from ..functions import columns as C
 from ..functions import kernels
 from ..operators import duplicates, isolation, projection, relational, umap, vectors
-from ..report import charts
+from ..report import charts, drawings
 from ..report.markdown import Section, report
 from ..shipping import ship_code
 from ..sources import files, images, records
@@ -47,6 +47,11 @@ class Outputs:
         if data is not None:
             files.write(self.spark, self.path(name), data)
 
+    def chart(self, name: str, drawing: drawings.Drawing) -> None:
+        """As name.svg and name.png."""
+        self.text(f"{name}.svg", drawing.svg())
+        self.data(f"{name}.png", drawing.png())
+
     def csv(self, name: str, df: DataFrame) -> None:
         """With header, rows in df's order; arrays are left out. Many tasks write; as one file their parts are joined in that order below one header."""
         flat = df.select(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("array", "binary"))])
@@ -153,8 +158,8 @@ def summarise(spine: DataFrame, config: AuditConfig, out: Outputs, ingestion: Se
     out.csv("image_size_summary.csv", relational.describe(readable, SIZES))
     out.csv("duplicate_filenames.csv", doubles)
     rows = [tuple(r) for r in per.collect()]
-    out.text("class_counts.svg", charts.bars("Images per class", rows))
-    out.text("image_size_distributions.svg", charts.histogram_panels("Image sizes", [(c, _bins(readable, c)) for c in SIZES[:3]]))
+    out.chart("class_counts", drawings.bars("Images per class", rows))
+    out.chart("image_size_distributions", drawings.histogram_panels("Image sizes", [(c, _bins(readable, c)) for c in SIZES[:3]]))
     n = relational.totals(spine, "label", F.col("is_readable")).first()
     facts = [("images listed", n["n_rows"]), ("decoded", n["n_readable"]), ("not decoded", n["n_unreadable"]), ("labels among the decoded", n["n_classes"]), ("file names that occur again", doubles.count())]
     section = Section("What the dataset holds", facts, [("Decoded images by label", ("label", "images"), rows)])
@@ -170,8 +175,8 @@ def assess_quality(spine: DataFrame, config: AuditConfig, out: Outputs) -> Secti
     spark, k = spine.sparkSession, config.extremes_k
     for m in config.quality_metrics:
         if bins := _bins(spine, m):
-            out.text(f"quality/{m}_hist.svg", charts.histogram_panels(m, [(m, bins)]))
-            out.text(f"quality/{m}_by_class.svg", charts.boxes(m, [tuple(r[c] for c in ("label", "q1", "median", "q3", "whisker_low", "whisker_high")) for r in relational.boxplot(spine, "label", m).collect()]))
+            out.chart(f"quality/{m}_hist", drawings.histogram_panels(m, [(m, bins)]))
+            out.chart(f"quality/{m}_by_class", drawings.boxes(m, [tuple(r[c] for c in ("label", "q1", "median", "q3", "whisker_low", "whisker_high")) for r in relational.boxplot(spine, "label", m).collect()]))
         for name, lowest in (("lowest", True), ("highest", False)):
             table = relational.extremes(spine.where(F.col("label").isNotNull()), m, k, "row_index", lowest, ["image_path", "label"]).drop("row_index")
             out.csv(f"quality/{m}_{name}.csv", table)
@@ -181,7 +186,7 @@ def assess_quality(spine: DataFrame, config: AuditConfig, out: Outputs) -> Secti
     out.csv("quality/quality_metric_summary.csv", summary.select("statistic", *[F.bround(m, 3).alias(m) for m in config.quality_metrics]))
     r = relational.correlation(spine, config.quality_metrics)
     out.csv("quality/quality_metric_correlation.csv", r)
-    out.text("quality/quality_metric_correlation.svg", charts.heat_map("How the measures move together", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
+    out.chart("quality/quality_metric_correlation", drawings.heat_map("How the measures move together", config.quality_metrics, {(x["x"], x["y"]): x["r"] for x in r.collect()}))
     section = Section("Image measures", [("measures", ", ".join(config.quality_metrics)), ("charts, extremes and montages", f"`{out.path('quality')}`")])
     out.text("quality/quality_summary.md", section.markdown())
     return section
@@ -258,7 +263,7 @@ def embed_and_project(spine: DataFrame, config: AuditConfig, out: Outputs, statu
             rows, held = _points(spine, f"{p}_x", f"{p}_y", colour)
             if rows:
                 title = f"{p.upper()} coloured by {colour}" + (f": {held} rows in {len(rows)} bins" if held > len(rows) else "")
-                out.text(f"embeddings/{p}_by_{colour}.svg", charts.scatter(title, rows))
+                out.chart(f"embeddings/{p}_by_{colour}", drawings.scatter(title, rows))
     size = spine.where("embedding IS NOT NULL").select(F.size("embedding")).first()[0]
     cells = [F.get("embedding", F.lit(i)).alias(f"embedding_{i:03d}") for i in range(size)]
     given = [c for c in spine.columns if (c.startswith("embedding_") or c.endswith(("_x", "_y"))) and c not in (*names, *(f"embedding_{i:03d}" for i in range(size)))]

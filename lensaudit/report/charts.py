@@ -1,103 +1,34 @@
-"""SVG charts from small tables, and PNG montages."""
+"""Charts from small tables as SVG text, and montages as PNG."""
 
 from __future__ import annotations
 
-import html
 from collections.abc import Sequence
 
 import numpy as np
 
 from ..functions.kernels import resize
 from ..functions.png import encode_png
-
-WIDE, HIGH, EDGE = 640, 360, 50
-PALETTE = ("#4c78a8", "#f58518", "#54a24b", "#e45756", "#72b7b2", "#b279a2", "#ff9da6", "#9d755d", "#bab0ac", "#eeca3b")
-
-
-def _svg(title: str, parts: Sequence[str], wide: int = WIDE, high: int = HIGH) -> str:
-    head = f'<text x="{wide / 2}" y="22" text-anchor="middle" font-size="15">{html.escape(title)}</text>'
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{wide}" height="{high}" font-family="sans-serif" font-size="11">{head}{"".join(parts)}</svg>\n'
-
-
-def _scale(lo: float, hi: float, a: float, b: float):
-    span = (hi - lo) or 1.0
-    return lambda x: a + (x - lo) / span * (b - a)
-
-
-def _axis(lo: float, hi: float, left: float = EDGE, right: float = WIDE - 15) -> str:
-    return f'<text x="{left}" y="{HIGH - 25}">{lo:.4g}</text><text x="{right}" y="{HIGH - 25}" text-anchor="end">{hi:.4g}</text>'
+from . import drawings
 
 
 def bars(title: str, rows: Sequence[tuple]) -> str:
-    """rows: (name, number)."""
-    y = _scale(0, max([n for _, n in rows], default=1), HIGH - 45, 40)
-    step = (WIDE - EDGE - 15) / max(len(rows), 1)
-    parts = [f'<rect x="{EDGE + i * step + 1:.1f}" y="{y(n):.1f}" width="{max(step - 2, 1):.1f}" height="{HIGH - 45 - y(n):.1f}" fill="{PALETTE[0]}"><title>{html.escape(str(name))}: {n}</title></rect>' for i, (name, n) in enumerate(rows)]
-    if len(rows) <= 30:
-        parts += [f'<text x="{EDGE + (i + 0.5) * step:.1f}" y="{HIGH - 28}" text-anchor="end" transform="rotate(-30 {EDGE + (i + 0.5) * step:.1f} {HIGH - 28})">{html.escape(str(name))}</text>' for i, (name, _) in enumerate(rows)]
-    return _svg(title, parts)
+    return drawings.bars(title, rows).svg()
 
 
 def histogram_panels(title: str, panels: Sequence[tuple[str, Sequence[tuple]]]) -> str:
-    """panels: name and rows (lo, hi, n), side by side."""
-    parts, each = [], (WIDE - 15) / max(len(panels), 1)
-    for k, (name, rows) in enumerate(panels):
-        if not rows:
-            continue
-        left, right = k * each + EDGE * 0.6, (k + 1) * each
-        x = _scale(rows[0][0], rows[-1][1], left, right)
-        y = _scale(0, max(n for *_, n in rows) or 1, HIGH - 45, 55)
-        parts += [f'<rect x="{x(lo):.1f}" y="{y(n):.1f}" width="{max(x(hi) - x(lo) - 0.5, 0.5):.1f}" height="{HIGH - 45 - y(n):.1f}" fill="{PALETTE[k % 10]}"/>' for lo, hi, n in rows]
-        parts.append(_axis(rows[0][0], rows[-1][1], left, right) + f'<text x="{(left + right) / 2}" y="45" text-anchor="middle">{html.escape(name)}</text>')
-    return _svg(title, parts)
+    return drawings.histogram_panels(title, panels).svg()
 
 
 def boxes(title: str, rows: Sequence[tuple]) -> str:
-    """rows: (name, q1, median, q3, low, high)."""
-    lo, hi = min([r[4] for r in rows], default=0), max([r[5] for r in rows], default=1)
-    y, step, parts = _scale(lo, hi, HIGH - 45, 40), (WIDE - EDGE - 15) / max(len(rows), 1), []
-    for i, (name, q1, median, q3, low, high) in enumerate(rows):
-        x, w = EDGE + (i + 0.5) * step, step * 0.3
-        parts.append(f'<line x1="{x:.1f}" x2="{x:.1f}" y1="{y(low):.1f}" y2="{y(high):.1f}" stroke="#444"/><rect x="{x - w:.1f}" y="{y(q3):.1f}" width="{2 * w:.1f}" height="{max(y(q1) - y(q3), 0.5):.1f}" fill="{PALETTE[i % 10]}"/>')
-        parts.append(f'<line x1="{x - w:.1f}" x2="{x + w:.1f}" y1="{y(median):.1f}" y2="{y(median):.1f}" stroke="#000"/><text x="{x:.1f}" y="{HIGH - 28}" text-anchor="middle">{html.escape(str(name))}</text>')
-    return _svg(title, [*parts, f'<text x="4" y="{y(lo):.1f}">{lo:.4g}</text><text x="4" y="{y(hi):.1f}">{hi:.4g}</text>'])
-
-
-def _ramp(t: float) -> str:
-    stops = ((68, 1, 84), (59, 82, 139), (33, 145, 140), (94, 201, 98), (253, 231, 37))
-    at = min(max(t, 0.0), 1.0) * 4
-    i = min(int(at), 3)
-    return "#" + "".join(f"{round(a + (b - a) * (at - i)):02x}" for a, b in zip(stops[i], stops[i + 1], strict=True))
+    return drawings.boxes(title, rows).svg()
 
 
 def scatter(title: str, rows: Sequence[tuple]) -> str:
-    """rows: (x, y, colour value), or with a fourth, the rows of a bin; numbers give a colour scale, anything else a legend."""
-    rows = [r for r in rows if None not in r]
-    if not rows:
-        return _svg(title, [])
-    x, y = _scale(min(r[0] for r in rows), max(r[0] for r in rows), EDGE, WIDE - 150), _scale(min(r[1] for r in rows), max(r[1] for r in rows), HIGH - 40, 40)
-    numeric = all(isinstance(r[2], (int, float)) and not isinstance(r[2], bool) for r in rows)
-    if numeric:
-        lo, hi = min(r[2] for r in rows), max(r[2] for r in rows)
-        colour = lambda v: _ramp((v - lo) / ((hi - lo) or 1))
-        legend = [f'<rect x="{WIDE - 120}" y="{40 + i * 12}" width="14" height="12" fill="{_ramp(1 - i / 19)}"/>' for i in range(20)] + [f'<text x="{WIDE - 100}" y="50">{hi:.4g}</text><text x="{WIDE - 100}" y="278">{lo:.4g}</text>']
-    else:
-        names = sorted({str(r[2]) for r in rows})
-        colour = lambda v: PALETTE[names.index(str(v)) % 10]
-        legend = [f'<circle cx="{WIDE - 130}" cy="{46 + i * 14}" r="4" fill="{PALETTE[i % 10]}"/><text x="{WIDE - 120}" y="{50 + i * 14}">{html.escape(n)}</text>' for i, n in enumerate(names[:20])]
-    count = lambda n: f"><title>{n[0]} rows</title></circle>" if n else "/>"
-    return _svg(title, [*(f'<circle cx="{x(a):.1f}" cy="{y(b):.1f}" r="3" fill="{colour(v)}" fill-opacity="0.8"{count(n)}' for a, b, v, *n in rows), *legend])
+    return drawings.scatter(title, rows).svg()
 
 
 def heat_map(title: str, names: Sequence[str], r: dict[tuple[str, str], float | None]) -> str:
-    cell, left, top, parts = 38, 150, 40, []
-    for i, a in enumerate(names):
-        parts.append(f'<text x="{left - 6}" y="{top + (i + 0.6) * cell}" text-anchor="end">{html.escape(a)}</text>')
-        for j, b in enumerate(names):
-            v = r.get((a, b))
-            fill = "#eee" if v is None else f"rgb({255 if v > 0 else round(255 + 180 * v)},{round(255 - 180 * abs(v))},{255 if v < 0 else round(255 - 180 * v)})"
-            parts.append(f'<rect x="{left + j * cell}" y="{top + i * cell}" width="{cell}" height="{cell}" fill="{fill}"><title>{html.escape(a)} / {html.escape(b)}: {v}</title></rect>')
-    return _svg(title, parts, left + cell * len(names) + 20, top + cell * len(names) + 20)
+    return drawings.heat_map(title, names, r).svg()
 
 
 def montage(images: Sequence[np.ndarray | None], tile: int = 180, columns: int = 5) -> bytes | None:

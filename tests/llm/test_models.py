@@ -14,6 +14,7 @@ from lensaudit.llm.bpe import Bpe, decode, encode
 from lensaudit.llm.brown_lm import brown_scores, exchange_classes
 from lensaudit.llm.common import bucket_of
 from lensaudit.llm.language_id import fit_languages, keep_known, predict_languages
+from lensaudit.llm import mixing
 from lensaudit.llm.mixing import mix_counts, mix_documents, repeating, water_fill
 from lensaudit.llm.quality_rules import STATISTICS, RuleModel, fit_quality, measure, score_quality, train_rules
 from lensaudit.llm.toxicity import fit_toxicity, score_toxicity, train_pu
@@ -59,6 +60,41 @@ def test_mix_counts_and_documents(spark):
     assert mix_counts(frame(spark, [])).count() == 0 and mix_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("epochs", [0.5, 1, 3])
+@pytest.mark.parametrize("sizes", [[], [10], [100, 1, 1, 1], [5, 0, 7], [10**9, 3, 10**6, 8, 8, 8], [0, 0], [7] * 50, list(range(1, 90))])
+def test_filled_table_against_filled_list(spark, sizes, epochs):
+    named = [(i == len(sizes) - 1, "" if i == len(sizes) - 1 else f"s{i:03d}", n) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(named, "_none boolean, _source string, source_size bigint").repartition(5)
+    got = [r["target"] for r in mixing.fill(table, epochs, mixing.by_threes).orderBy("_none", "_source").collect()]
+    assert got == pytest.approx(water_fill(sizes, repeating(len(sizes)), epochs), rel=1e-12)
+
+
+def test_weights_of_nothing_take_nothing(spark):
+    table = spark.createDataFrame([(False, s, 10) for s in "abcd"], "_none boolean, _source string, source_size bigint")
+    weigh = lambda place: F.when(place == 1, 0.0).otherwise(1.0)
+    assert [r["target"] for r in mixing.fill(table, 3, weigh).orderBy("_source").collect()] == pytest.approx([40 / 3, 0, 40 / 3, 40 / 3])
+    assert [r["target"] for r in mixing.fill(table, 3, lambda place: place * 0.0).collect()] == [0.0] * 4
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Salted joins and sums over several ranges of sources give what broadcasts and one range do; one source has a third of all rows."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 1500)).alias("source"))
+    want = sorted(map(tuple, mix_counts(docs).collect()))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        assert sorted(map(tuple, mix_counts(docs).collect())) == want
+        assert mix_documents(docs).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    rows = {i: (n, taken, target) for i, n, _, target, taken in want}
+    assert sum(n for n, *_ in rows.values()) == pytest.approx(sum(r[4] for r in want), rel=0.2) and len(rows) == 6000
+
+
 # --- language model ---
 
 

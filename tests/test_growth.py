@@ -21,7 +21,7 @@ def shuffled(spark, action) -> int:
     return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
 
 
-@pytest.mark.parametrize("name", ["knn_distance"])
+@pytest.mark.parametrize("name", ["knn_distance", "outlier_combined"])
 def test_shuffled_bytes_follow_the_table(spark, tmp_path, monkeypatch, name):
     for module, part, value in ((neighbours, "CELL", 16), (neighbours, "GROUPS", 4), (neighbours, "LEAST", 1), (neighbours, "BLOCK", 64), (vectors, "BLOCK", 64)):
         monkeypatch.setattr(module, part, value, raising=False)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import settled
+from .blocks import adjacent, numbered, one_round
 from .neighbours import nearest
 from .projection import principal_axes
 from .vectors import usable, vectors_from
@@ -103,36 +104,26 @@ def descend(y: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.ndarray
     return y
 
 
-def _moved(seed: int, turn: int, rates: np.ndarray, pool: np.ndarray, schema: pa.Schema):
-    """A block's points (_i, x, y) and the edges from them (i, j, w, ox, oy) to the points' new places."""
+def _epochs(seed: int, turn: int, rates: np.ndarray, pool: np.ndarray):
+    """A block's points and edges to the points' new places."""
 
-    def run(points: pa.Table, edges: pa.Table) -> pa.Table:
-        points, edges = points.sort_by("_i").combine_chunks(), edges.sort_by([("i", "ascending"), ("j", "ascending")]).combine_chunks()
-        if not points.num_rows:
-            return schema.empty_table()
-        ids = points.column("_i")
-        y = np.column_stack([points.column(c).to_numpy() for c in ("x", "y")])
-        place = lambda name: pa.compute.fill_null(pa.compute.index_in(edges.column(name), ids), -1).to_numpy()
-        own, other = place("i"), place("j")
-        fixed = np.column_stack([edges.column(c).to_numpy() for c in ("ox", "oy")])
-        rng = np.random.default_rng([seed, turn, points.column("_block")[0].as_py()])
-        y = descend(y, own, other, fixed, edges.column("w").to_numpy(), pool, rates, rng)
-        return pa.table([c.cast(f.type) for c, f in zip([ids, pa.chunked_array([pa.array(y[:, 0])]), pa.chunked_array([pa.array(y[:, 1])])], schema, strict=True)], schema=schema)
+    def move(block: int, y: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return descend(y, own, other, fixed, weight, pool, rates, np.random.default_rng([seed, turn, block]))
 
-    return run
+    return move
 
 
 def dealt_by_strips(at: DataFrame, n: int, blocks: int, turn: int, seed: int) -> tuple[np.ndarray, Column]:
-    """Of n placed points (_i, x, y): places drawn from all of them, none for one block, and each point's block, by strips across the layout in the turn's direction."""
+    """Of n placed points (_i, _h, x, y): places drawn from all of them, none for one block, and each point's block, by strips across the layout in the turn's direction."""
     if blocks == 1:
         return np.zeros((0, 2)), F.lit(0)
     strips = min(blocks, STRIPS)
-    some = at.where(F.pmod(F.xxhash64("_i", F.lit(-1 - turn)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, POOL / n))).select("_i", "x", "y").limit(2 * POOL).collect()
+    some = at.where(F.pmod(F.xxhash64("_h", F.lit(-1 - turn)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, POOL / n))).select("_i", "x", "y").limit(2 * POOL).collect()
     pool = np.array([(r["x"], r["y"]) for r in sorted(some)], float).reshape(-1, 2)
     way = np.array([np.cos(2.4 * turn), np.sin(2.4 * turn)])
     cuts = np.quantile(pool @ way, np.arange(1, strips) / strips) if len(pool) else np.zeros(0)
     strip = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda m, c: m + (F.col("x") * float(way[0]) + F.col("y") * float(way[1]) > c).cast("int"))
-    return pool, strip * -(-blocks // strips) + F.pmod(F.xxhash64("_i", F.lit(seed + turn)), F.lit(-(-blocks // strips))).cast("int")
+    return pool, strip * -(-blocks // strips) + F.pmod(F.xxhash64("_h", F.lit(seed + turn)), F.lit(-(-blocks // strips))).cast("int")
 
 
 def umap(df: DataFrame, index: str, vector: str, seed: int = 42, k: int = 15, epochs: int = 200, prefix: str = "umap") -> DataFrame:
@@ -140,42 +131,37 @@ def umap(df: DataFrame, index: str, vector: str, seed: int = 42, k: int = 15, ep
 
     Rows with equal vectors have one place; rows that repeat an id are rows of their own. The result depends on seed, ids and vectors, not on how rows are dealt to partitions.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, LongType, StructType
-
     sound, others = usable(df, vector)
     x, y = f"{prefix}_x", f"{prefix}_y"
     nowhere = [F.lit(None).cast("double").alias(c) for c in (x, y)]
     none = others.where(F.col(vector).isNotNull()).select(F.col(index).alias(index), *nowhere)
     rows = sound.select(F.col(index).alias("_id"), F.col(vector).alias("_v"))
-    # A point's number comes from its vector; 64 bits tell vectors apart but for chance, so of vectors with one number the least makes the point.
-    points = settled(rows.groupBy(F.xxhash64("_v", F.lit(seed)).alias("_i")).agg(F.min("_v").alias("_v")))
+    points = numbered(rows, seed)
     n = points.count()
     axes = principal_axes(points, "_v") if n >= 5 else None
     if axes is None:
         return rows.select(F.col("_id").alias(index), *nowhere).union(none)
     mean, directions, _ = axes
     directions = np.vstack((directions, np.zeros_like(directions)))[:2]
-    place = StructType().add("_i", LongType()).add("x", DoubleType()).add("y", DoubleType())
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, v in vectors_from(batches, 1):
+        for batch, v in vectors_from(batches, 2):
             at = (v - mean) @ directions.T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], ["_i", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at[:, 0]), pa.array(at[:, 1])], ["_i", "_h", "x", "y"])
 
-    at = settled(points.mapInArrow(start, place))
+    at = settled(points.mapInArrow(start, "_i int, _h bigint, x double, y double"))
     widest = at.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
-    noise = [(F.pmod(F.xxhash64("_i", F.lit(c)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 1e-3 for c in "xy"]
-    at = at.select("_i", *[(F.col(c) * (10 / widest) + e).alias(c) for c, e in zip("xy", noise, strict=True)])
-    edges = settled(fuzzy_graph(points, k + 1))
+    noise = [(F.pmod(F.xxhash64("_h", F.lit(c)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 1e-3 for c in "xy"]
+    first = at
+    at = at.select("_i", "_h", *[(F.col(c) * (10 / widest) + e).alias(c) for c, e in zip("xy", noise, strict=True)])
+    at = settled(at, replaces=first)
+    edges = adjacent(fuzzy_graph(points.select("_i", "_v"), k + 1))
     blocks = max(1, -(-n // BLOCK))
     rounds = 1 if blocks == 1 else ROUNDS
     rates = np.array_split(1 - np.arange(epochs) / epochs, rounds)
     for turn in range(rounds):
         pool, block = dealt_by_strips(at, n, blocks, turn, seed)
-        at = at.withColumn("_block", block)
-        ends = edges.join(at.select(F.col("_i").alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy")), "j").join(at.select(F.col("_i").alias("i"), F.col("_block").alias("_to")), "i")
-        at = at.groupBy("_block").cogroup(ends.groupBy("_to")).applyInArrow(_moved(seed, turn, rates[turn], pool, to_arrow_schema(place)), place)
-        at = settled(at)
-    found = rows.withColumn("_i", F.xxhash64("_v", F.lit(seed))).join(at, "_i")
+        at = one_round(at, edges, blocks, block, ("x", "y"), _epochs(seed, turn, rates[turn], pool))
+    edges.unpersist()
+    found = rows.withColumn("_h", F.xxhash64("_v", F.lit(seed))).join(points.select("_h", "_i"), "_h").join(at, "_i")
     return found.select(F.col("_id").alias(index), F.col("x").alias(x), F.col("y").alias(y)).union(none)

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import settled
+from .blocks import adjacent, numbered, one_round
 from .projection import principal_axes
 from .umap import dealt_by_strips, weighted_neighbours
 from .vectors import usable, vectors_from
@@ -53,7 +53,7 @@ def joint(points: DataFrame, perplexity: float, k: int) -> DataFrame:
     """Of points (_i, _v): (i, j, w), both directions of each edge, w the mean of the two affinities, 0 for one that isn't there."""
     directed = weighted_neighbours(points, k + 1, lambda d: affinities(d, perplexity))
     both = directed.union(directed.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
-    return both.groupBy("i", "j").agg((F.sum("p") / 2).alias("w"))
+    return both.repartition("i").groupBy("i", "j").agg((F.sum("p") / 2).alias("w"))
 
 
 class Tree:
@@ -164,25 +164,17 @@ def descend(state: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.nda
     return np.column_stack((y, move, gain, z))
 
 
-def _moved(n: int, steps: np.ndarray, cells: Cells | None, everyone, z: int, schema: pa.Schema):
-    """A block's points and the edges from them (i, j, w, ox, oy) to the points' new state."""
+def _steps(n: int, steps: np.ndarray, cells: Cells | None, everyone, z: int):
+    """A block's points and edges to the points' new state."""
 
-    def run(points: pa.Table, edges: pa.Table) -> pa.Table:
-        points, edges = points.sort_by("_i").combine_chunks(), edges.sort_by([("i", "ascending"), ("j", "ascending")]).combine_chunks()
-        if not points.num_rows:
-            return schema.empty_table()
-        ids = points.column("_i")
-        state = np.column_stack([points.column(c).to_numpy() for c in STATE])
-        place = lambda name: pa.compute.fill_null(pa.compute.index_in(edges.column(name), ids), -1).to_numpy()
-        fixed = np.column_stack([edges.column(c).to_numpy() for c in ("ox", "oy")])
+    def move(block: int, state: np.ndarray, own: np.ndarray, other: np.ndarray, fixed: np.ndarray, weight: np.ndarray) -> np.ndarray:
         places, masses, beyond = np.zeros((0, 2)), np.zeros(0), 0.0
         if cells is not None:
             places, masses = cells.places(everyone.value - cells.sums(state[:, :2]))
             beyond = max(z - np.rint(state[:, 6] * UNIT_Z).sum(), 0.0) / UNIT_Z
-        state = descend(state, place("i"), place("j"), fixed, edges.column("w").to_numpy(), n, steps, places, masses, beyond)
-        return pa.table([ids.cast(pa.int64()), *[pa.chunked_array([pa.array(c)]) for c in state.T]], schema=schema)
+        return descend(state, own, other, fixed, weight, n, steps, places, masses, beyond)
 
-    return run
+    return move
 
 
 def _counted(at: DataFrame, cells: Cells) -> np.ndarray:
@@ -207,38 +199,34 @@ def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, perplexity: flo
     Perplexity is at most a quarter of the points (2 at least), with three neighbours for each unit of it. Rows with equal vectors have one place; rows
     that repeat an id are rows of their own. The result depends on seed and vectors, not on how rows are dealt to partitions.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, LongType, StructType
-
     sound, others = usable(df, vector)
     names = [f"{prefix}_x", f"{prefix}_y"]
     nowhere = [F.lit(None).cast("double").alias(c) for c in names]
     none = others.where(F.col(vector).isNotNull()).select(F.col(index).alias(index), *nowhere)
     rows = sound.select(F.col(index).alias("_id"), F.col(vector).alias("_v"))
-    points = settled(rows.groupBy(F.xxhash64("_v", F.lit(seed)).alias("_i")).agg(F.min("_v").alias("_v")))
+    points = numbered(rows, seed)
     n = points.count()
     axes = principal_axes(points, "_v") if n >= 5 else None
     if axes is None:
         return rows.select(F.col("_id").alias(index), *nowhere).union(none)
     mean, directions, _ = axes
     directions = np.vstack((directions, np.zeros_like(directions)))[:2]
-    shape = StructType().add("_i", LongType())
-    for c in STATE:
-        shape = shape.add(c, DoubleType())
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, v in vectors_from(batches, 1):
+        for batch, v in vectors_from(batches, 2):
             if len(v):
                 at = (v - mean) @ directions.T
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(at[:, c]) for c in (0, 1)]], ["_i", "x", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(at[:, c]) for c in (0, 1)]], ["_i", "_h", "x", "y"])
 
-    at = settled(points.mapInArrow(start, "_i bigint, x double, y double"))
+    at = settled(points.mapInArrow(start, "_i int, _h bigint, x double, y double"))
     spread = at.agg(F.stddev_pop("x")).first()[0] or 1.0
-    noise = [(F.pmod(F.xxhash64("_i", F.lit(c)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 1e-6 for c in "xy"]
+    noise = [(F.pmod(F.xxhash64("_h", F.lit(c)), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 1e-6 for c in "xy"]
+    first = at
     # The principal axes are sums whose last digits depend on partitions, so places start from a coarser step.
-    at = at.select("_i", *[(F.round(F.col(c) / spread, 6) * 1e-4 + e).alias(c) for c, e in zip("xy", noise, strict=True)], *[F.lit(v).alias(c) for c, v in zip(STATE[2:], (0.0, 0.0, 1.0, 1.0, float(n)), strict=True)])
+    at = at.select("_i", "_h", *[(F.round(F.col(c) / spread, 6) * 1e-4 + e).alias(c) for c, e in zip("xy", noise, strict=True)], *[F.lit(v).alias(c) for c, v in zip(STATE[2:], (0.0, 0.0, 1.0, 1.0, float(n)), strict=True)])
+    at = settled(at, replaces=first)
     perplexity = max(2.0, min(perplexity, n // 4))
-    edges = settled(joint(points, perplexity, min(int(3 * perplexity), n - 1)))
+    edges = adjacent(joint(points.select("_i", "_v"), perplexity, min(int(3 * perplexity), n - 1)).withColumn("w", F.col("w").cast("float")))
     blocks = -(-n // BLOCK)
     context = df.sparkSession.sparkContext
     for turn, some in enumerate(np.array_split(np.arange(steps), ROUNDS if blocks > 1 else 1)):
@@ -247,11 +235,9 @@ def tsne(df: DataFrame, index: str, vector: str, seed: int = 42, perplexity: flo
             *box, z = at.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.sum(F.round(F.col("z") * UNIT_Z).cast("bigint"))).first()
             cells = Cells(np.array(box[:2]), np.array(box[2:]))
             everyone = context.broadcast(_counted(at, cells))
-        at = at.withColumn("_block", dealt_by_strips(at, n, blocks, turn, seed)[1])
-        ends = edges.join(at.select(F.col("_i").alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy")), "j").join(at.select(F.col("_i").alias("i"), F.col("_block").alias("_to")), "i")
-        moved = at.groupBy("_block").cogroup(ends.groupBy("_to")).applyInArrow(_moved(n, some, cells, everyone, z, to_arrow_schema(shape)), shape)
-        at = settled(moved)
+        at = one_round(at, edges, blocks, dealt_by_strips(at, n, blocks, turn, seed)[1], STATE, _steps(n, some, cells, everyone, z))
         if everyone is not None:
             everyone.unpersist()
-    found = rows.withColumn("_i", F.xxhash64("_v", F.lit(seed))).join(at, "_i")
+    edges.unpersist()
+    found = rows.withColumn("_h", F.xxhash64("_v", F.lit(seed))).join(points.select("_h", "_i"), "_h").join(at, "_i")
     return found.select(F.col("_id").alias(index), F.col("x").alias(names[0]), F.col("y").alias(names[1])).union(none)

@@ -13,7 +13,7 @@ from .test_neighbours import clustered
 from .test_umap import frame
 
 
-@pytest.mark.parametrize("module, run", [(umap, lambda df: umap.umap(df, "id", "v", epochs=10))], ids=["umap"])
+@pytest.mark.parametrize("module, run", [(umap, lambda df: umap.umap(df, "id", "v", epochs=10)), (tsne, lambda df: tsne.tsne(df, "id", "v", steps=20))], ids=["umap", "tsne"])
 def test_rounds_leave_one_table_and_no_shuffles(spark, monkeypatch, module, run):
     monkeypatch.setattr(module, "BLOCK", 100)
     monkeypatch.setattr(module, "ROUNDS", 4)

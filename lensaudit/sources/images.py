@@ -158,15 +158,18 @@ def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[
             yield path.as_py(), None, str(e) or type(e).__name__
 
 
-def _row(path: str, rgb: np.ndarray | None, error: str, extra: Sequence[Measure]) -> dict:
+def _row(path: str, rgb: np.ndarray | None, error: str, extra: Sequence[Measure], quality: bool, hashes: bool) -> dict:
     if rgb is None:
         return {"image_path": path, "is_readable": False, "load_error": error}
     row = {"image_path": path, "width": rgb.shape[1], "height": rgb.shape[0], "is_readable": True, "load_error": None}
-    row |= kernels.quality(rgb) | {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
+    if quality:
+        row |= kernels.quality(rgb)
+    if hashes:
+        row |= {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
     return row | {m.name: m.value(rgb) for m in extra}
 
 
-def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Measure]):
+def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Measure], quality: bool = True, hashes: bool = True):
     model = embed if isinstance(embed, Batched) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Me
         columns = measured_columns(extra)
         for batch in batches:
             for path, rgb, error in _pictures(batch, decoder):
-                rows.append(_row(path, rgb, error, extra))
+                rows.append(_row(path, rgb, error, extra, quality, hashes))
                 if model is None:
                     if rgb is not None and embed is not None:
                         rows[-1]["embedding"] = embed(rgb)
@@ -201,6 +204,9 @@ def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Me
     return run
 
 
-def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None, extra: Sequence[Measure] = ()) -> DataFrame:
-    """Of decode(), or of contents() with a decoder: sizes, quality measures, `extra` ones, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row."""
-    return images.mapInArrow(_measure(embed, decoder, tuple(extra)), ", ".join(f"`{n}` {k}" for n, k in measured_columns(extra)))
+def measure(images: DataFrame, embed: Embedder | None = kernels.grid_embedding, decoder: Decoder | None = None, extra: Sequence[Measure] = (), quality: bool = True, hashes: bool = True) -> DataFrame:
+    """Of decode(), or of contents() with a decoder: sizes, quality measures, `extra` ones, hashes and embeddings, in one pass over the pixels. Unreadable files keep their row.
+
+    A caller who doesn't read the quality measures, or the hashes, turns them off: they are null then, as an embedding without `embed` is.
+    """
+    return images.mapInArrow(_measure(embed, decoder, tuple(extra), quality, hashes), ", ".join(f"`{n}` {k}" for n, k in measured_columns(extra)))

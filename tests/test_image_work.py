@@ -26,3 +26,12 @@ def test_weights_of_a_size_are_computed_once(monkeypatch):
     for seed in range(5):
         kernels.average_hash(np.random.default_rng(seed).integers(0, 256, (37, 53, 3)).astype(np.uint8))
     assert len(calls) <= 2
+
+
+def test_image_measures_skips_hashes(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    asked = []
+    measure = images.measure
+    monkeypatch.setattr(images, "measure", lambda *a, **k: asked.append(k) or measure(*a, **k))
+    assert {"ahash_bits", "dhash_bits"}.isdisjoint(entry.queries()["image_measures"](spark, sf_dir).columns) and asked == [{"hashes": False}]

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and up to which a table is one; rows a cell should hold; pivots at most.
 BLOCK, CELL, PIVOTS = 4096, 256, 4096
-#: Groups of a table, rows of one at least, and what its vectors and lists may take: only tables above GROUPS * HELD bytes have more groups.
-GROUPS, LEAST, HELD = 36, 1024, 64 << 20
+#: Groups of a table, rows of one at least, and what its vectors and lists may take: only tables above GROUPS * HELD bytes have more groups. Tables of more than
+#: a BLOCK have GROUPS of them, so that every table is shuffled as often.
+GROUPS, LEAST, HELD = 12, 256, 128 << 20
 #: Rows of a group whose pairs with a block are looked at together; pairs that are measured together; measured pairs that wait for each place of the group's lists.
 AT_ONCE, MEASURED, WAITING = 2048, 1 << 15, 0.25
 

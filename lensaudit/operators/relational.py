@@ -189,12 +189,19 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
     """column scaled to 0..1 as out; 0 throughout where its range is next to nothing."""
-    x = F.col(column).cast("double")
-    one = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    x = F.col(f"_row.`{column}`").cast("double")
-    flat = F.abs(F.col("_hi") - F.col("_lo")) <= F.lit(1e-8) + F.lit(1e-5) * F.abs("_lo")
-    scaled = F.when(x.isNull(), F.lit(None)).when(flat, 0.0).otherwise((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
-    return _carried(df, one, {out: scaled})
+    return min_max_all(df, {column: out})
+
+
+def min_max_all(df: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """min_max() of several columns (column to out), whose ranges come from one aggregate."""
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{i}") for i, c in enumerate(outs) for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(i: int, column: str) -> Column:
+        x, lo, hi = F.col(f"_row.`{column}`").cast("double"), F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
+        flat = F.abs(hi - lo) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(lo)
+        return F.when(x.isNull(), F.lit(None)).when(flat, 0.0).otherwise((x - lo) / F.nullif(hi - lo, F.lit(0.0)))
+
+    return _carried(df, one, {out: scaled(i, c) for i, (c, out) in enumerate(outs.items())})
 
 
 def distinct_rank(df: DataFrame, key: str, out: str, prefix: int = 3) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance, mean_of_present, outlier_reason
+from ..scratch import settled
 from .neighbours import BLOCK, nearest
-from .relational import min_max
+from .relational import min_max_all
 
 
 def usable(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +54,8 @@ def knn_distance(df: DataFrame, index: str, vector: str, k: int = 6, out: str =
 
 
 def combine_scores(df: DataFrame, isolation: str, neighbours: str, centroid: str) -> DataFrame:
-    """Raw scores scaled to 0..1, their mean over those present, and why a row stands out."""
-    for raw, out in ((isolation, "outlier_quality_isolation"), (neighbours, "outlier_embedding_nn"), (centroid, "outlier_class_centroid")):
-        df = min_max(df, raw, out)
+    """Raw scores scaled to 0..1, their mean over those present, and why a row stands out. df is written first, so that what the ranges read isn't computed again for the rows."""
+    df = min_max_all(settled(df, "scores"), {isolation: "outlier_quality_isolation", neighbours: "outlier_embedding_nn", centroid: "outlier_class_centroid"})
     parts = [F.col(c) for c in ("outlier_quality_isolation", "outlier_embedding_nn", "outlier_class_centroid")]
     return df.withColumn("outlier_score", mean_of_present(*parts)).withColumn("outlier_reason", outlier_reason(*parts))
 

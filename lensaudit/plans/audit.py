@@ -285,7 +285,7 @@ def find_outliers(spine: DataFrame, config: AuditConfig, out: Outputs) -> tuple[
         raw = vectors.centroid_distance(base, "label", "embedding").join(vectors.knn_distance(base, "row_index", "embedding"), "row_index", "left")
     else:
         raw = base.withColumns({"centroid_distance": F.lit(0.0), "knn_distance": F.lit(0.0)})
-    scored = vectors.combine_scores(raw.join(forest, "row_index", "left"), "isolation", "knn_distance", "centroid_distance").select("row_index", *SCORES)
+    scored = vectors.combine_scores(raw.drop("label", "embedding").join(forest, "row_index", "left"), "isolation", "knn_distance", "centroid_distance").select("row_index", *SCORES)
     full = spine.join(out.table("scores.parquet", scored), "row_index", "left")
     ranked = full.where("outlier_score IS NOT NULL").orderBy(F.desc("outlier_score"), "row_index")
     out.csv("outlier_scores.csv", ranked)

@@ -44,3 +44,33 @@ def test_few_equal_and_far_vectors(spark, monkeypatch):
         got = {r["_i"]: [e["d"] for e in r["near"]] for r in neighbours.nearest(df, 40).collect()}
         want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, :40]
         assert np.allclose([got[i] for i in range(400)], want, rtol=1e-12, atol=0)
+
+
+def test_every_table_of_more_than_a_block_has_as_many_copies(spark, monkeypatch):
+    """Groups once grew with the table up to 36 of 1,024 rows, so that shuffled bytes grew with its square until then."""
+    monkeypatch.setattr(neighbours, "BLOCK", 1000)
+    took = []
+    for n in (4000, 12000):
+        x = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "_i bigint, _v array<float>").cache()
+        took.append(shuffled(spark, lambda df=df: neighbours.nearest(df, 4).write.format("noop").mode("overwrite").save()))
+    assert 0 < took[1] < 3 * 1.2 * took[0], took
+
+
+def test_neighbours_are_searched_once_for_combined_scores(spark, monkeypatch, tmp_path):
+    """The ranges of scores and the rows once searched anew, each from the shuffled copies."""
+    for module, part, value in ((neighbours, "CELL", 16), (neighbours, "GROUPS", 4), (neighbours, "LEAST", 1), (vectors, "BLOCK", 64)):
+        monkeypatch.setattr(module, part, value)
+    x = np.random.default_rng(0).normal(size=(1000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = spark.sparkContext.accumulator(0)
+    met = neighbours._met
+
+    def counted(*args):
+        run = met(*args)
+        return lambda batches: (seen.add(1), run(batches))[1]
+
+    monkeypatch.setattr(neighbours, "_met", counted)
+    entry.queries()["outlier_combined"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert seen.value == 4  # a task a group

@@ -134,8 +134,8 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "array<float>": pa.list_(pa.float32())}
-#: Rows that wait for a batch to fill, at most.
-WAITING = 4096
+#: Rows that wait for a batch to fill, at most; pixels' bytes that wait to be measured together, about.
+WAITING, STACKED = 4096, 1 << 19
 
 
 def measured_columns(extra: Sequence[Measure] = ()) -> list[tuple[str, str]]:
@@ -147,9 +147,8 @@ def measured_columns(extra: Sequence[Measure] = ()) -> list[tuple[str, str]]:
 def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[str, np.ndarray | None, str]]:
     """Path, pixels or None, and why there are none."""
     if decoder is None:
-        for path, height, width, channels, data in zip(*(batch.column(i) for i in range(5)), strict=True):
-            good = (height.as_py() or -1) > 0
-            yield path.as_py(), pixels(height.as_py(), width.as_py(), channels.as_py(), data.as_buffer()) if good else None, "cannot identify image file"
+        for path, height, width, channels, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            yield path, pixels(height, width, channels, data.as_buffer()) if (height or -1) > 0 else None, "cannot identify image file"
         return
     for path, content in zip(batch.column(0), batch.column(1), strict=True):
         try:
@@ -158,25 +157,46 @@ def _pictures(batch: pa.RecordBatch, decoder: Decoder | None) -> Iterator[tuple[
             yield path.as_py(), None, str(e) or type(e).__name__
 
 
-def _row(path: str, rgb: np.ndarray | None, error: str, extra: Sequence[Measure], quality: bool, hashes: bool) -> dict:
+def _row(path: str, rgb: np.ndarray | None, error: str, extra: Sequence[Measure], hashes: bool) -> dict:
     if rgb is None:
         return {"image_path": path, "is_readable": False, "load_error": error}
     row = {"image_path": path, "width": rgb.shape[1], "height": rgb.shape[0], "is_readable": True, "load_error": None}
-    if quality:
-        row |= kernels.quality(rgb)
     if hashes:
         row |= {"ahash_bits": kernels.average_hash(rgb), "dhash_bits": kernels.difference_hash(rgb)}
     return row | {m.name: m.value(rgb) for m in extra}
 
 
+class _Quality:
+    """Quality measures of rows, computed together for images of one size; small ones cost mostly calls."""
+
+    def __init__(self):
+        self.sizes: dict[tuple[int, ...], list[tuple[dict, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, row: dict, rgb: np.ndarray) -> None:
+        self.sizes.setdefault(rgb.shape, []).append((row, rgb))
+        self.held += rgb.nbytes
+        if self.held >= STACKED:
+            self.settle()
+
+    def settle(self) -> None:
+        for some in self.sizes.values():
+            found = kernels.qualities(np.stack([x for _, x in some]) if len(some) > 1 else some[0][1][None])
+            for (row, _), values in zip(some, zip(*(x.tolist() for x in found.values()), strict=True), strict=True):
+                row.update(zip(found, values, strict=True))
+        self.sizes, self.held = {}, 0
+
+
 def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Measure], quality: bool = True, hashes: bool = True):
     model = embed if isinstance(embed, Batched) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         waiting: list[tuple[dict, np.ndarray]] = []
+        measures = _Quality()
 
         def out() -> pa.RecordBatch:
+            measures.settle()
             if waiting:
                 for (row, _), vector in zip(waiting, model.vectors([x for _, x in waiting]), strict=True):
                     row["embedding"] = vector
@@ -188,7 +208,9 @@ def _measure(embed: Embedder | None, decoder: Decoder | None, extra: Sequence[Me
         columns = measured_columns(extra)
         for batch in batches:
             for path, rgb, error in _pictures(batch, decoder):
-                rows.append(_row(path, rgb, error, extra, quality, hashes))
+                rows.append(_row(path, rgb, error, extra, hashes))
+                if quality and rgb is not None:
+                    measures.add(rows[-1], rgb)
                 if model is None:
                     if rgb is not None and embed is not None:
                         rows[-1]["embedding"] = embed(rgb)

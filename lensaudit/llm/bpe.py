@@ -22,9 +22,9 @@ from .common import aranges, operator, text_of
 
 #: Fixed by the tokenizer: how byte-level BPE splits text before merges.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Encodings of pre-tokens that a worker keeps: at most twice so many, the older half goes first.
+#: Encodings of pre-tokens that a task keeps: at most twice so many, the older half goes first.
 CACHED = 200_000
-#: Pairs of tokens whose compatibility a worker keeps.
+#: Pairs of tokens whose compatibility a task keeps.
 PAIRS = 250_000
 _NEVER = 1 << 60
 
@@ -179,6 +179,12 @@ class Bpe:
         parts = self._split_special.split(text)
         return b"".join(struct.pack("<I", self.special[x]) if i % 2 else b"".join(map(get, self._pre_tokens(x))) for i, x in enumerate(parts))
 
+    def forget(self) -> None:
+        """What was kept for speed goes: a worker outlives its tasks, and the next stage needs the memory."""
+        self._piece.clear()
+        self._piece.older = {}
+        self._fits.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text that the ids' bytes give, U+FFFD for what isn't UTF-8."""
         tokens = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -214,17 +220,20 @@ def _load(content: bytes) -> Bpe:
     return _LOADED[key]
 
 
-def _run(vocabulary, work, limit: int = 4 << 20):
+def _run(vocabulary, work, limit: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(vocabulary.value)
-        for batch in batches:
-            lo, size, held = 0, 0, []
-            for i, x in enumerate(batch.column(1)):
-                held.append(work(bpe, x.as_py()))
-                size += sum(map(len, held[-1]))
-                if size >= limit or i + 1 == batch.num_rows:
-                    yield batch.column(0).slice(lo, i + 1 - lo), held
-                    lo, size, held = i + 1, 0, []
+        try:
+            for batch in batches:
+                lo, size, held = 0, 0, []
+                for i, x in enumerate(batch.column(1)):
+                    held.append(work(bpe, x.as_py()))
+                    size += sum(map(len, held[-1]))
+                    if size >= limit or i + 1 == batch.num_rows:
+                        yield batch.column(0).slice(lo, i + 1 - lo), held
+                        lo, size, held = i + 1, 0, []
+        finally:
+            bpe.forget()
 
     return run
 

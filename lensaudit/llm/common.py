@@ -50,22 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_FOLDERS[context.applicationId]}"
 
 
-#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default of 64 MB: both sides hold several.
-_BATCHES, _SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+#: Bytes of a batch that goes to a Python worker, where the session leaves Spark's default of 64 MB: both sides hold several, in buffers that double as they fill.
+_BATCHES, _SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"
+#: Rows that a Parquet reader holds decoded, where the session leaves Spark's default of 4,096: texts of all of them lie in one array.
+_READ, _SPARKS_READ, READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize", "4096", "512"
 #: With this on, Spark deletes a plan's shuffle files when its action ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """For jobs: bound the session's Arrow batches by bytes. Rows of 10,000 long texts are too much for a small executor; operators leave the setting alone."""
-    if spark.conf.get(_BATCHES) == _SPARKS_OWN:
-        spark.conf.set(_BATCHES, BATCH_BYTES)
+    """For jobs: bound the session's Arrow batches by bytes, and the rows that readers hold. Thousands of long texts are too much for a small executor; operators leave the settings alone."""
+    for name, default, bound in ((_BATCHES, _SPARKS_OWN, BATCH_BYTES), (_READ, _SPARKS_READ, READ_ROWS)):
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, bound)
 
 
 @contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
     """Bounded batches and early deletion of shuffle files for the actions of an operator; afterwards all is as it was."""
-    before = {name: spark.conf.get(name, None) for name in (_BATCHES, _CLEANUP)}
+    before = {name: spark.conf.get(name, None) for name in (_BATCHES, _READ, _CLEANUP)}
     bound_batches(spark)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -18,8 +18,8 @@ FEATURES, CENTROIDS, SAMPLE, SAMPLE_ALL = 8192, 4, 400, 4000
 #: A document is rejected if its cosine falls below this share of what nearly all sampled documents of the language have.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
 UNKNOWN = "und"
-#: Rows whose counts are held at once: some 16 MB.
-ROWS = 256
+#: Rows whose counts are held at once: some 4 MB.
+ROWS = 64
 
 #: Bytes as features see them: letters in lower case and all bytes of other scripts; anything else is a space.
 _SEEN = np.full(256, 32, np.uint8)

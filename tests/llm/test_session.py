@@ -63,3 +63,23 @@ def test_settings_are_put_back_and_used_tables_are_deleted(spark):
     assert there == [False, True] and out.count() == 2
     with pytest.raises(ValueError):
         common.operator(lambda df: (common.materialize(df), int("x")))(frame(spark, []))
+
+
+def test_jobs_bound_the_rows_that_readers_hold(spark, tmp_path):
+    """Texts of 4,096 rows, decoded into one array, and batches of megabytes were what executors of 3 GB ran out on."""
+    names = (common._BATCHES, common._READ)
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(common._READ, "4096")
+        seen = []
+        common.operator(lambda df: seen.append(spark.conf.get(common._READ)))(spark.range(1))
+        assert seen == ["512"] and spark.conf.get(common._READ) == "4096"
+        spark.conf.unset(common._BATCHES)
+        common.bound_batches(spark)
+        assert [spark.conf.get(n) for n in names] == ["1m", "512"]
+        spark.conf.set(common._READ, "100")  # the session's own bound stays
+        common.bound_batches(spark)
+        assert spark.conf.get(common._READ) == "100"
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
